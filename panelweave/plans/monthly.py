@@ -1,0 +1,33 @@
+"""The monthly chain: prices to features to scores to target weights, as one lazy plan over all dates."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from ..operators.construct import Branch, build_portfolio, regime_status
+from ..operators.features import sector_features, stock_features, with_benchmark
+from ..operators.shape import dense_grid
+from .staging import stage
+
+
+def feature_table(prices: DataFrame, universe: DataFrame, bench: DataFrame, fill: str = "none") -> DataFrame:
+    """One row per (date, ticker): own history, benchmark, label and sector features. ``prices`` is read twice
+    (calendar and values), so pass a staged table."""
+    features = stock_features(dense_grid(prices, universe, prices), fill)
+    described = features.join(universe, "ticker", "left")
+    return sector_features(stage(with_benchmark(described, bench), "features"))
+
+
+def monthly_signal(
+    features: DataFrame, branches: dict[str, tuple[str, Branch]], universe: DataFrame, regime_sector: str | None,
+    threshold: float = -0.20, cash_weight: float = 1.0,
+) -> DataFrame:
+    """Target weights of every date. ``branches`` maps a name to (score column, Branch)."""
+    scored = [
+        (features.select("date", "ticker", "vol_12m", F.col(col).alias("ranker_score")), b) for col, b in branches.values()
+    ]
+    regime = (
+        regime_status(features.select("date", "ticker", "price"), universe, regime_sector, threshold, cash_weight)
+        if regime_sector else None
+    )
+    return build_portfolio(scored, regime)[0]
