@@ -81,16 +81,25 @@ class Rolling:
         """Running product of 1 + r (an unknown return leaves the product unchanged)."""
         return F.product(1.0 + as_col(r)).over(self.so_far())
 
-    def _pair(self, fn, a, b, n, min_obs=None) -> Column:
+    def _pair(self, fn, a, b, n, min_obs=None, over=False) -> Column:
         a, b = as_col(a), as_col(b)
         both = F.when(a.isNotNull() & b.isNotNull(), F.lit(1))
-        return self.gated(fn(a, b).over(self.rows(n)), both, n, min_obs)
+        value = fn(a, b, self.rows(n)) if over else fn(a, b).over(self.rows(n))
+        return self.gated(value, both, n, min_obs)
+
+    @staticmethod
+    def _corr_parts(a: Column, b: Column, w: WindowSpec) -> Column:
+        return ratio(
+            F.covar_samp(a, b).over(w),
+            F.stddev_samp(F.when(b.isNotNull(), a)).over(w) * F.stddev_samp(F.when(a.isNotNull(), b)).over(w),
+        )
 
     def cov(self, a, b, n, min_obs=None):
         return self._pair(F.covar_samp, a, b, n, min_obs)
 
     def corr(self, a, b, n, min_obs=None):
-        return self._pair(F.corr, a, b, n, min_obs)
+        """Correlation; NULL when one side does not vary (the built-in divides by zero there)."""
+        return self._pair(self._corr_parts, a, b, n, min_obs, over=True)
 
     def var(self, c, n, min_obs=None):
         return self._agg(F.var_samp, c, n, min_obs)

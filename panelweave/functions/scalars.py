@@ -71,3 +71,10 @@ def toward_zero(c: Column | str) -> Column:
 
 def rounded(c: Column | str, digits: int = 6) -> Column:
     return F.round(as_col(c), digits)
+
+
+def correlation(a: Column | str, b: Column | str) -> Column:
+    """Aggregate correlation; NULL when one side does not vary (the built-in divides by zero there)."""
+    a, b = as_col(a), as_col(b)
+    spread = F.stddev_samp(F.when(b.isNotNull(), a)) * F.stddev_samp(F.when(a.isNotNull(), b))
+    return ratio(F.covar_samp(a, b), spread)

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.scalars import ratio
+from ..functions.scalars import correlation, ratio
 from .construct import CASH
 from .cross import column_profile, table_profiles
 from .medians import exact_medians
@@ -122,7 +122,7 @@ def signal_diff_summary(diff: DataFrame) -> DataFrame:
         F.count_if(a & b).alias("overlap_count"),
         F.count_if(a & ~b).alias("only_a_count"),
         F.count_if(b & ~a).alias("only_b_count"),
-        F.corr("a_weight", "b_weight").alias("weight_correlation"),
+        correlation("a_weight", "b_weight").alias("weight_correlation"),
         F.sum("abs_weight_diff").alias("total_abs_weight_diff"),
         F.coalesce(F.sum(F.when(~stock, F.col("a_weight"))), F.lit(0.0)).alias("a_cash_weight"),
         F.coalesce(F.sum(F.when(~stock, F.col("b_weight"))), F.lit(0.0)).alias("b_cash_weight"),

@@ -31,22 +31,24 @@ def completed_only(df: DataFrame, as_of: dt.date | Column, date: str = "date") -
     return df.filter(F.col(date) <= last_completed_month(as_of))
 
 
-def dense_grid(prices: DataFrame, tickers: DataFrame, dates: DataFrame, value: str = "price") -> DataFrame:
+def dense_grid(
+    prices: DataFrame, tickers: DataFrame, dates: DataFrame, value: str | list[str] = "price"
+) -> DataFrame:
     """Every ticker on every date, NULL where there is no price.
 
     The calendar (bounded by the number of dates) becomes one array inside the plan and is exploded per ticker.
     Skeleton and prices are then brought together by ticker alone, so the windows that follow need no second
-    exchange."""
+    exchange. Prices outside the requested tickers are not part of the grid."""
+    values = [value] if isinstance(value, str) else value
     calendar = dates.select(F.array_sort(F.collect_set("date"))).scalar()
     skeleton = tickers.select("ticker").distinct().select("ticker", F.explode(calendar).alias("date"))
-    # prices outside the requested tickers are not part of the grid
-    known = skeleton.withColumn(value, F.lit(None).cast("double")).withColumn("_asked", F.lit(True))
-    seen = prices.select("ticker", "date", value).withColumn("_asked", F.lit(None).cast("boolean"))
+    asked = skeleton.withColumn("_asked", F.lit(True))
+    seen = prices.select("ticker", "date", *values)
     return (
-        known.unionByName(seen)
+        asked.unionByName(seen, allowMissingColumns=True)
         .repartition("ticker")
         .groupBy("ticker", "date")
-        .agg(F.max(value).alias(value), F.max("_asked").alias("_asked"))
+        .agg(*[F.max(v).alias(v) for v in values], F.max("_asked").alias("_asked"))
         .filter("_asked")
         .drop("_asked")
     )
