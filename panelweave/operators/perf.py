@@ -196,18 +196,20 @@ def evaluate_periods(signals: DataFrame, prices: DataFrame, bench: DataFrame) ->
     both prices drops out of the return and is listed. Signals of the last date have no end yet and do not appear."""
     from .shape import asof_join
 
-    calendar = small_side(prices.select("date").distinct())
-    one = signals.select(F.col("signal_date").alias("date")).distinct().withColumn("_k", F.lit(1))
     # date-level tables: one row per calendar date
-    start = asof_join(one, calendar.withColumn("_k", F.lit(1)).withColumn("signal_price_date", F.col("date")), ["_k"])
-    lead = Window.partitionBy("_k").orderBy("date")
-    following = calendar.withColumn("_k", F.lit(1)).withColumn("evaluation_date", F.lead("date").over(lead))
-    span = (
-        start.join(following, (following["date"] == start["signal_price_date"]), "inner")
-        .select(start["date"].alias("signal_date"), "signal_price_date", "evaluation_date")
+    lead = Window.orderBy("date")
+    calendar = small_side(prices.select("date").distinct()).select(
+        "date",
+        F.lit(1).alias("_k"),
+        F.col("date").alias("signal_price_date"),
+        F.lead("date").over(lead).alias("evaluation_date"),
+    )
+    asked = signals.select(F.col("signal_date").alias("date")).distinct().withColumn("_k", F.lit(1))
+    span = small_side(
+        asof_join(asked, calendar, ["_k"])
+        .select(F.col("date").alias("signal_date"), "signal_price_date", "evaluation_date")
         .filter(F.col("evaluation_date").isNotNull())
     )
-    span = small_side(span)
     held = signals.join(span, "signal_date")
     p0 = prices.select(F.col("date").alias("signal_price_date"), "ticker", F.col("price").alias("start_price"))
     p1 = prices.select(F.col("date").alias("evaluation_date"), "ticker", F.col("price").alias("end_price"))
