@@ -26,7 +26,7 @@ os0 AS (SELECT f.ticker, final_weight, {START}*final_weight AS target_dollars, C
   FROM fin f LEFT JOIN quote0 q ON q.ticker = f.ticker WHERE f.date = DATE '{OPENED}'),
 os1 AS (SELECT *, CASE WHEN order_type = 'BUY_TO_TARGET' THEN target_dollars/latest_price END AS target_shares FROM os0),
 os2 AS (SELECT *, floor(target_shares) AS rounded_shares, CASE WHEN ticker = 'CASH' THEN target_dollars ELSE floor(target_shares)*latest_price END AS rounded_dollars FROM os1),
-os AS (SELECT *, (SELECT max(date) FROM grid WHERE date <= DATE '{OPENED}') AS price_date, {START} AS starting_cash,
+os AS (SELECT *, (SELECT max(date) FROM grid WHERE date <= DATE '{OPENED}') AS price_date, {START}::DOUBLE AS starting_cash,
   (SELECT coalesce(sum(rounded_dollars) FILTER (ticker <> 'CASH'), 0) FROM os2) AS invested_rounded_total,
   (SELECT coalesce(sum(target_dollars) FILTER (ticker = 'CASH'), 0) FROM os2) AS explicit_cash_target FROM os2),
 sheet AS (SELECT *, greatest(starting_cash - invested_rounded_total - explicit_cash_target, 0) AS leftover_cash_from_rounding FROM os),

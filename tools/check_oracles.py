@@ -41,6 +41,11 @@ def compare(spark, con, name: str, sf_dir: str) -> str:
     want = cur.fetchall()
     if sorted(cols) != sorted(df.columns):
         return f"COLUMNS differ: only ours {sorted(set(df.columns) - set(cols))}, only SQL {sorted(set(cols) - set(df.columns))}"
+    kinds = {"BIGINT": "bigint", "VARCHAR": "string", "DOUBLE": "double", "DATE": "date", "BOOLEAN": "boolean"}
+    ours = dict(df.dtypes)
+    odd = [(d[0], str(d[1]), ours[d[0]]) for d in cur.description if kinds.get(str(d[1])) != ours[d[0]]]
+    if odd:
+        return f"TYPES differ: {odd}"
     a, b = canonical(df.columns, got), canonical(cols, want)
     if a == b:
         return f"ok {len(a)}"
