@@ -297,9 +297,16 @@ def imputed_state(spark, sf):
     return medians.impute(f, PROFILE, dt.date(1999, 12, 31))
 
 
+STATE = (
+    [f"ret_{n}m" for n in (1, 3, 6, 12)] + [f"price_ma_{n}m" for n in (3, 6, 12)] + ["stock_drawdown_6m", "stock_drawdown_12m", "stock_drawdown"]
+    + [f"price_to_ma_{n}m" for n in (3, 6, 12)] + [f"vol_{n}m" for n in (3, 6, 12)] + [f"bench_ret_{n}m" for n in (1, 3, 6, 12)]
+    + [f"bench_vol_{n}m" for n in (3, 6, 12)] + ["bench_drawdown"]
+)
+
+
 @query(
     "feature_sets",
-    f"""WITH {X.LABELLED} SELECT 'original_only' AS feature_set, {len(RETS)} + 21 AS n_features""" if False else None,
+    f"WITH {X.LABELLED} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) AS known, 3::BIGINT AS in_sets FROM lab" for c in STATE),
 )
 def feature_sets(spark, sf):
     """How many inputs each feature set has, checked for leaks; from the schema alone, over the whole table."""

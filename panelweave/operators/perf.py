@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.rolling import Rolling
 from ..functions.scalars import holds, positive, ratio
-from ..plans.staging import small_side
+from ..plans.staging import pick, small_side
 from .construct import CASH
 
 MONTHS = 12
@@ -15,7 +15,7 @@ INF = float("inf")
 
 def attach_returns(book: DataFrame, realized: DataFrame) -> DataFrame:
     """Book rows with the return of their period. Cash earns zero; a missing return stays NULL here."""
-    r = realized.select("date", "ticker", F.col("future_1m_return").alias("ret"))
+    r = pick(realized.select("date", "ticker", F.col("future_1m_return").alias("ret")), book, ["date", "ticker"])
     return book.join(r, ["date", "ticker"], "left").withColumn(
         "ret", F.when(F.col("ticker") == CASH, F.lit(0.0)).otherwise(F.col("ret"))
     )
@@ -211,8 +211,15 @@ def evaluate_periods(signals: DataFrame, prices: DataFrame, bench: DataFrame) ->
         .filter(F.col("evaluation_date").isNotNull())
     )
     held = signals.join(span, "signal_date")
-    p0 = prices.select(F.col("date").alias("signal_price_date"), "ticker", F.col("price").alias("start_price"))
-    p1 = prices.select(F.col("date").alias("evaluation_date"), "ticker", F.col("price").alias("end_price"))
+    # only the prices of held names at the ends of their period leave the panel
+    p0 = pick(
+        prices.select(F.col("date").alias("signal_price_date"), "ticker", F.col("price").alias("start_price")),
+        held, ["signal_price_date", "ticker"],
+    )
+    p1 = pick(
+        prices.select(F.col("date").alias("evaluation_date"), "ticker", F.col("price").alias("end_price")),
+        held, ["evaluation_date", "ticker"],
+    )
     stock_ret = ratio("end_price", positive("start_price")) - 1.0
     detail = (
         held.join(p0, ["signal_price_date", "ticker"], "left")

@@ -27,11 +27,12 @@ def monthly_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ticker, date, cents, qty): one row per supplier and month; map-side sums absorb hot suppliers."""
     return (
         load(spark, sf_dir, "lineitem")
-        .groupBy(F.concat(F.lit("S"), F.col("l_suppkey")).alias("ticker"), month_end("l_shipdate").alias("date"))
+        .groupBy("l_suppkey", month_end("l_shipdate").alias("date"))
         .agg(
             F.sum(cents("l_extendedprice")).alias("cents"),
             F.sum(F.col("l_quantity").cast("bigint")).alias("qty"),
         )
+        .select(F.concat(F.lit("S"), F.col("l_suppkey")).alias("ticker"), "date", "cents", "qty")
     )
 
 
@@ -57,13 +58,14 @@ def net_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         load(spark, sf_dir, "lineitem")
         .filter(F.col("l_returnflag") != "R")
-        .groupBy(F.concat(F.lit("S"), F.col("l_suppkey")).alias("ticker"), month_end("l_shipdate").alias("date"))
+        .groupBy("l_suppkey", month_end("l_shipdate").alias("date"))
         .agg(
             (
                 F.sum(cents("l_extendedprice") * (100 - cents("l_discount"))).cast("double")
                 / (F.sum(F.col("l_quantity").cast("bigint")) * 10000).cast("double")
             ).alias("price")
         )
+        .select(F.concat(F.lit("S"), F.col("l_suppkey")).alias("ticker"), "date", "price")
     )
 
 
