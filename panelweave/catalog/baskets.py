@@ -58,25 +58,26 @@ held AS (SELECT b.date, b.ticker, b.weight, f.future_1m_return AS ret FROM book
 series AS (SELECT 1 AS series_id, net.date, net_return AS ret, bf.future_1m_bench_return AS bench_ret FROM net LEFT JOIN bf ON bf.date = net.date)"""
 
 
-def _features(spark, sf):
-    return stage(X.feat(spark, sf), "features")
+def _features(spark, sf, read=None):
+    return stage(X.feat(spark, sf, read), "features")
 
 
-def _held(spark, sf):
-    f = _features(spark, sf)
+def _held(spark, sf, read=None):
+    f = _features(spark, sf, read)
     return perf.attach_returns(X.book(f), f)
 
 
-def _bench_returns(spark, sf):
+def _bench_returns(spark, sf, read=None):
     from ..operators.features import benchmark_features
 
-    return benchmark_features(X.bench(spark, sf)).select("date", F.col("future_1m_bench_return").alias("bench_ret"))
+    return benchmark_features(X.bench(spark, sf, read)).select("date", F.col("future_1m_bench_return").alias("bench_ret"))
 
 
 def _series(spark, sf):
-    net = perf.net_returns(stage(_held(spark, sf), "held"))
+    read = X.sums(spark, sf)
+    net = perf.net_returns(stage(_held(spark, sf, read), "held"))
     return net.select(F.lit(1).alias("series_id"), "date", F.col("net_return").alias("ret")).join(
-        small_side(_bench_returns(spark, sf)), "date", "left"
+        small_side(_bench_returns(spark, sf, read)), "date", "left"
     )
 
 
@@ -101,8 +102,8 @@ def sector_regime(spark, sf):
     return C.regime_status(X.grid(spark, sf), A.universe(spark, sf), X.SECTOR, -0.20, 0.5)
 
 
-def final_portfolio_of(spark, sf) -> DataFrame:
-    f = _features(spark, sf)
+def final_portfolio_of(spark, sf, read=None) -> DataFrame:
+    f = _features(spark, sf, read)
     scored = [
         (f.select("date", "ticker", "vol_12m", F.col(c).alias("ranker_score")), b)
         for c, b in (("ret_6m", X.CORE), ("ret_12m", X.SIDE))
@@ -144,13 +145,13 @@ hedges AS (SELECT date, 'none' AS hedge, 1.0::DOUBLE AS exposure FROM rules UNIO
 UNION ALL SELECT date, 'credit', credit FROM rules UNION ALL SELECT date, 'trend_or_credit', least(trend, credit) FROM rules)"""
 
 
-def _hedges(spark, sf):
+def _hedges(spark, sf, read=None):
     from ..functions.rolling import Rolling
     from ..functions.scalars import ratio
     from ..operators.features import benchmark_features
 
     t = Rolling("_one")
-    b = benchmark_features(X.bench(spark, sf)).withColumn("_one", F.lit(1))
+    b = benchmark_features(X.bench(spark, sf, read)).withColumn("_one", F.lit(1))
     state = b.select(
         "date", ratio("bench_price", t.mean("bench_price", 10)).alias("market_to_ma"),
         (F.col("bench_vol_12m") * 100).alias("level"), F.col("bench_drawdown").alias("credit_drawdown"),
@@ -289,13 +290,13 @@ def fold_dispersion(spark, sf):
     return perf.fold_dispersion(perf.by_fold(_series(spark, sf), 5, ["series_id"]), ["series_id"])
 
 
-def _variant_books(spark, sf):
+def _variant_books(spark, sf, read):
     """Baseline, dip-tilted and trend-hedged versions of one book."""
-    f = _features(spark, sf)
+    f = _features(spark, sf, read)
     base = stage(X.book(f), "book")
     near = f.select("date", "ticker", (1.0 + F.col("price_to_ma_6m")).alias("ratio_to_ma"))
     tilted = C.dip_tilt(base.join(near, ["date", "ticker"], "left")).select("date", "ticker", F.col("tilted_weight").alias("weight"))
-    off = C.trend_on(X.bench(spark, sf)).select("date", F.when(F.col("trend_on"), 1.0).otherwise(0.4).alias("_e"))
+    off = C.trend_on(X.bench(spark, sf, read)).select("date", F.when(F.col("trend_on"), 1.0).otherwise(0.4).alias("_e"))
     trend = base.join(small_side(off), "date").select("date", "ticker", (F.col("weight") * F.col("_e")).alias("weight"))
     named = {"baseline": base, "dip_tilt": tilted, "trend_hedge": trend}
     return reduce(DataFrame.unionByName, [b.withColumn("variant", F.lit(n)) for n, b in named.items()]), f
@@ -322,10 +323,11 @@ tr AS (SELECT variant, avg(turnover) AS avg_turnover, avg(cost)*12 AS avg_cost_a
     STATS + " fold_sharpe_mean fold_sharpe_std fold_sharpe_min avg_turnover avg_cost_annualized",
 )
 def variant_comparison(spark, sf):
-    books, f = _variant_books(spark, sf)
+    read = X.sums(spark, sf)
+    books, f = _variant_books(spark, sf, read)
     held = stage(perf.attach_returns(books, f), "held")
     net = stage(perf.net_returns(held, by=["variant"]), "net")
-    bench = _bench_returns(spark, sf).join(small_side(net.select("date").distinct()), "date", "left_semi")
+    bench = _bench_returns(spark, sf, read).join(small_side(net.select("date").distinct()), "date", "left_semi")
     return perf.compare_variants(net, bench, 5)
 
 
@@ -358,12 +360,13 @@ JOIN vr ON s.variant = concat_ws('|', orig_feats, orig_topn, neigh_dim, neigh_to
 
 
 def _grid(spark, sf):
-    f = _features(spark, sf)
+    read = X.sums(spark, sf)
+    f = _features(spark, sf, read)
     long = f.select("date", "ticker", "vol_12m", *GRID_SIZES).unpivot(
         ["date", "ticker", "vol_12m"], list(GRID_SIZES), "branch", "ranker_score"
     ).filter("ranker_score is not null")
     v = G.variants(spark, ["ret_6m", "ret_12m"], [10, 20], ["ret_1m", "ret_3m"], [5, 10], [(0.7, 0.3), (0.5, 0.5)])
-    return G.run_grid(v, G.sleeves(long, GRID_SIZES), _hedges(spark, sf), f, _bench_returns(spark, sf))
+    return G.run_grid(v, G.sleeves(long, GRID_SIZES), _hedges(spark, sf, read), f, _bench_returns(spark, sf, read))
 
 
 @query("construction_grid", f"WITH {GRID_SQL} SELECT * FROM st", STATS + " fold_sharpe_mean fold_sharpe_std fold_sharpe_min")
@@ -411,11 +414,12 @@ FROM per p LEFT JOIN bench b0 ON b0.date = signal_date LEFT JOIN bench b1 ON b1.
 
 
 def period_evaluation_of(spark, sf):
-    signals = final_portfolio_of(spark, sf).select(
+    read = X.sums(spark, sf)
+    signals = final_portfolio_of(spark, sf, read).select(
         F.lit("blend").alias("model_name"), F.col("date").alias("signal_date"), "ticker", "final_weight"
     )
     return perf.evaluate_periods(
-        stage(signals, "signals"), A.monthly_prices(spark, sf), X.bench(spark, sf)
+        stage(signals, "signals"), A.with_price(read), X.bench(spark, sf, read)
     )[0].drop("signal_price_date")
 
 

@@ -15,26 +15,30 @@ CORE = Branch("core", 20, 0.7)
 SIDE = Branch("side", 10, 0.3)
 
 
-def grid(spark: SparkSession, sf: str) -> DataFrame:
-    p = A.monthly_prices(spark, sf)
+def sums(spark: SparkSession, sf: str) -> DataFrame:
+    """Per ticker and month sums of the raw lines, staged: the calendar, the prices and the benchmark all come
+    from this one read."""
+    return stage(A.monthly_sums(spark, sf), "monthly-sums")
+
+
+def grid(spark: SparkSession, sf: str, read: DataFrame | None = None) -> DataFrame:
+    p = A.with_price(read if read is not None else sums(spark, sf))
     return dense_grid(p, A.universe(spark, sf), p)
 
 
-def feat(spark: SparkSession, sf: str) -> DataFrame:
-    return stock_features(grid(spark, sf))
+def feat(spark: SparkSession, sf: str, read: DataFrame | None = None) -> DataFrame:
+    return stock_features(grid(spark, sf, read))
 
 
-def bench(spark: SparkSession, sf: str) -> DataFrame:
-    return A.benchmark_from(A.monthly_sums(spark, sf))
+def bench(spark: SparkSession, sf: str, read: DataFrame | None = None) -> DataFrame:
+    return A.benchmark_from(read if read is not None else A.monthly_sums(spark, sf))
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
     """Features, universe and benchmark, from one staged read of the raw lines."""
-    sums = stage(A.monthly_sums(spark, sf), "monthly-sums")
-    prices = A.with_price(sums)
-    universe = A.universe(spark, sf)
-    f = stock_features(dense_grid(prices, universe, prices)).join(universe, "ticker", "left")
-    return with_benchmark(f, A.benchmark_from(sums))
+    read = sums(spark, sf)
+    f = feat(spark, sf, read).join(A.universe(spark, sf), "ticker", "left")
+    return with_benchmark(f, bench(spark, sf, read))
 
 
 def basket(features: DataFrame, score: str, branch: Branch) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.feature_names import feature_columns
 from ..operators import cross, extras, features as feats, medians, ranks
+from ..operators.shape import by_ticker
 from ..plans.staging import small_side, stage
 from ..sources import adapters as A
 from ..sources.tables import normalize_universe
@@ -178,6 +179,48 @@ def market_beta(spark, sf):
     return feats.market_features(feats.daily_returns(X.daily(spark, sf)), _daily_market(spark, sf))
 
 
+_DAILY = {
+    "v3_log_dollar_vol_1m": f"ln(CASE WHEN ({X.roll('avg', 'dv', 21)}) < 1 THEN 1.0 ELSE ({X.roll('avg', 'dv', 21)}) END)",
+    "v3_volume_ratio_3m_12m": f"({X.roll('avg', 'volume', 63)})/({X.roll('avg', 'volume', 252)})",
+    "v3_amihud_3m": f"({X.roll('avg', 'impact', 63, 40)})*1e9",
+    "v3_parkinson_vol_1m": f"sqrt(({X.roll('avg', 'hl2', 21)})/(4*ln(2)))*sqrt(252)",
+    "v3_parkinson_vol_3m": f"sqrt(({X.roll('avg', 'hl2', 63)})/(4*ln(2)))*sqrt(252)",
+    "v3_intramonth_range": f"(({X.roll('max', 'high', 21)}) - ({X.roll('min', 'low', 21)}))/close",
+    "v3_downside_vol_3m": f"({X.roll('stddev_samp', 'down', 63, 20)})*sqrt(252)",
+    "v3_ret_skew_3m": X.roll("skewness", "dret", 63, 40),
+    "v3_ret_kurt_3m": X.roll("kurtosis", "dret", 63, 40),
+    "v3_max_daily_ret_1m": X.roll("max", "dret", 21),
+    "v3_min_daily_ret_1m": X.roll("min", "dret", 21),
+    "v3_pct_from_52w_high": f"close/({X.roll('max', 'close', 252)}) - 1",
+    "v3_pct_from_52w_low": f"close/({X.roll('min', 'close', 252)}) - 1",
+    "v3_price_to_ma50": f"close/({X.roll('avg', 'close', 50)})",
+    "v3_price_to_ma200": f"close/({X.roll('avg', 'close', 200)})",
+    "v3_ma50_over_ma200": f"({X.roll('avg', 'close', 50)})/({X.roll('avg', 'close', 200)})",
+    "v3_beta_12m": "beta",
+    "v3_corr_6m": "corr",
+    "v3_idio_vol_6m": f"({X.roll('stddev_samp', 'resid', 126, 60)})*sqrt(252)",
+}
+
+
+@query(
+    "daily_feature_snapshot",
+    f"""WITH {X.DRET}, {_MKT}, q AS (SELECT d.*, bench_dret, close*volume AS dv, abs(dret)/nullif(close*volume,0) AS impact,
+pow(ln(CASE WHEN high/low < 1 THEN 1.0 ELSE high/low END), 2) AS hl2, CASE WHEN dret < 0 THEN dret END AS down FROM dret d LEFT JOIN mret m ON m.date = d.date),
+b AS (SELECT *, ({X.roll('covar_samp', 'dret,bench_dret', 252)})/({X.roll('var_samp', 'bench_dret', 252)}) AS beta, {X.roll('corr', 'dret,bench_dret', 126)} AS corr FROM q),
+r AS (SELECT *, dret - beta*bench_dret AS resid FROM b),
+df AS (SELECT ticker, date, {", ".join(f"{e} AS {c}" for c, e in _DAILY.items())} FROM r),
+ff AS (SELECT ticker, date, {", ".join(f"last_value({c} IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS {c}" for c in _DAILY)} FROM df),
+ends AS (SELECT DISTINCT ticker, last_day(date) AS date FROM dgrid)
+SELECT e.ticker, e.date, {", ".join(_DAILY)} FROM ends e ASOF LEFT JOIN ff ON e.ticker = ff.ticker AND e.date >= ff.date""",
+    " ".join(_DAILY),
+)
+def daily_feature_snapshot(spark, sf):
+    """All daily-bar features, read at each month end."""
+    bars = stage(X.daily(spark, sf), "bars")
+    ends = bars.select("ticker", F.last_day("date").alias("date")).distinct()
+    return feats.period_snapshot(feats.daily_features(by_ticker(bars), _daily_market(spark, sf)), ends)
+
+
 @query(
     "macro_features",
     f"""WITH m AS (SELECT CAST(ts AS DATE) AS date, event_type AS series, CAST(sum(CAST(round(value*100) AS BIGINT)) AS DOUBLE)/CAST(100*count(value) AS DOUBLE) AS v

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.rolling import Rolling
 from ..functions.scalars import clip, holds, positive, ratio
 from ..plans.staging import bounded_rows, small_side
+from .shape import asof_join, bounded_fill
 
 RETURN_WINDOWS = (1, 3, 6, 12)
 MA_WINDOWS = (3, 6, 12)
@@ -105,20 +106,24 @@ def daily_returns(bars: DataFrame) -> DataFrame:
     return bars.withColumn("_c", t.fill("close")).withColumn("dret", t.ret("_c")).drop("_c")
 
 
-def liquidity_features(bars: DataFrame, short: int = 21, mid: int = 63, long: int = 252, min_obs: int = 40):
+KEYS = ("ticker", "date")
+
+
+def liquidity_features(
+    bars: DataFrame, short: int = 21, mid: int = 63, long: int = 252, min_obs: int = 40, keep=KEYS
+) -> DataFrame:
     t = Rolling()
     turnover = F.col("close") * F.col("volume")
     df = bars.withColumn("_dv", turnover).withColumn("_impact", ratio(F.abs("dret"), F.nullif("_dv", F.lit(0.0))))
     return df.select(
-        "ticker",
-        "date",
+        *keep,
         F.log(clip(t.mean("_dv", short), lo=1.0)).alias("v3_log_dollar_vol_1m"),
         ratio(t.mean("volume", mid), t.mean("volume", long)).alias("v3_volume_ratio_3m_12m"),
         (t.mean("_impact", mid, min_obs) * 1e9).alias("v3_amihud_3m"),
     )
 
 
-def range_features(bars: DataFrame, short: int = 21, mid: int = 63, min_down: int = 20) -> DataFrame:
+def range_features(bars: DataFrame, short: int = 21, mid: int = 63, min_down: int = 20, keep=KEYS) -> DataFrame:
     t = Rolling()
     year = math.sqrt(PERIODS_PER_YEAR_DAILY)
     log_range = F.log(clip(ratio("high", "low"), lo=1.0))
@@ -128,8 +133,7 @@ def range_features(bars: DataFrame, short: int = 21, mid: int = 63, min_down: in
         return F.sqrt(t.mean("_hl2", n) / (4.0 * math.log(2.0))) * year
 
     return df.select(
-        "ticker",
-        "date",
+        *keep,
         parkinson(short).alias("v3_parkinson_vol_1m"),
         parkinson(mid).alias("v3_parkinson_vol_3m"),
         ratio(t.max("high", short) - t.min("low", short), "close").alias("v3_intramonth_range"),
@@ -137,11 +141,10 @@ def range_features(bars: DataFrame, short: int = 21, mid: int = 63, min_down: in
     )
 
 
-def shape_features(bars: DataFrame, short: int = 21, mid: int = 63, min_obs: int = 40) -> DataFrame:
+def shape_features(bars: DataFrame, short: int = 21, mid: int = 63, min_obs: int = 40, keep=KEYS) -> DataFrame:
     t = Rolling()
     return bars.select(
-        "ticker",
-        "date",
+        *keep,
         t.skew("dret", mid, min_obs).alias("v3_ret_skew_3m"),
         t.kurt("dret", mid, min_obs).alias("v3_ret_kurt_3m"),
         t.max("dret", short).alias("v3_max_daily_ret_1m"),
@@ -149,11 +152,10 @@ def shape_features(bars: DataFrame, short: int = 21, mid: int = 63, min_obs: int
     )
 
 
-def position_features(bars: DataFrame, year: int = 252, fast: int = 50, slow: int = 200) -> DataFrame:
+def position_features(bars: DataFrame, year: int = 252, fast: int = 50, slow: int = 200, keep=KEYS) -> DataFrame:
     t = Rolling()
     return bars.select(
-        "ticker",
-        "date",
+        *keep,
         (ratio("close", t.max("close", year)) - 1.0).alias("v3_pct_from_52w_high"),
         (ratio("close", t.min("close", year)) - 1.0).alias("v3_pct_from_52w_low"),
         ratio("close", t.mean("close", fast)).alias(f"v3_price_to_ma{fast}"),
@@ -163,7 +165,7 @@ def position_features(bars: DataFrame, year: int = 252, fast: int = 50, slow: in
 
 
 def market_features(
-    bars: DataFrame, bench_returns: DataFrame, year: int = 252, half: int = 126, min_resid: int = 60
+    bars: DataFrame, bench_returns: DataFrame, year: int = 252, half: int = 126, min_resid: int = 60, keep=KEYS
 ) -> DataFrame:
     """Beta and correlation to the benchmark's (date, bench_dret), and the volatility of what beta leaves over."""
     t = Rolling()
@@ -171,8 +173,7 @@ def market_features(
     with_beta = df.withColumn("_beta", ratio(t.cov("dret", "bench_dret", year), t.var("bench_dret", year)))
     with_resid = with_beta.withColumn("_resid", F.col("dret") - F.col("_beta") * F.col("bench_dret"))
     return with_resid.select(
-        "ticker",
-        "date",
+        *keep,
         F.col("_beta").alias("v3_beta_12m"),
         t.corr("dret", "bench_dret", half).alias("v3_corr_6m"),
         (t.std("_resid", half, min_resid) * math.sqrt(PERIODS_PER_YEAR_DAILY)).alias("v3_idio_vol_6m"),
@@ -180,14 +181,20 @@ def market_features(
 
 
 def daily_features(bars: DataFrame, bench_returns: DataFrame) -> DataFrame:
-    """All daily-bar features in one pass over one partitioning by ticker."""
-    keyed = daily_returns(bars)
-    parts = [liquidity_features, range_features, shape_features, position_features]
-    out = keyed
-    for f in parts:
-        new = f(keyed)
-        out = out.join(new, ["ticker", "date"])
-    return out.join(market_features(keyed, bench_returns), ["ticker", "date"])
+    """All daily-bar features: the steps are chained on one partitioning by ticker, so there is nothing to join."""
+    start = daily_returns(bars)
+    out = start
+    for step in (liquidity_features, range_features, shape_features, position_features):
+        out = step(out, keep=out.columns)
+    out = market_features(out, bench_returns, keep=out.columns)
+    return out.select(*KEYS, *[c for c in out.columns if c.startswith("v3_")])
+
+
+def period_snapshot(daily: DataFrame, ends: DataFrame, limit: int = 7) -> DataFrame:
+    """Daily features on the given (ticker, date) period ends: filled for at most ``limit`` rows, then the last row
+    at or before the end."""
+    filled = bounded_fill(daily, [c for c in daily.columns if c not in KEYS], limit)
+    return asof_join(ends, filled, ["ticker"])
 
 
 def macro_wide(macro: DataFrame, series: list[str]) -> DataFrame:

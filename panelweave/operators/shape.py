@@ -31,6 +31,12 @@ def completed_only(df: DataFrame, as_of: dt.date | Column, date: str = "date") -
     return df.filter(F.col(date) <= last_completed_month(as_of))
 
 
+def by_ticker(df: DataFrame) -> DataFrame:
+    """Rows of a ticker together, in a given number of partitions. Adaptive execution would merge them by bytes, but
+    rolling windows are bound by arithmetic: a few megabytes can be minutes of work for one core."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ticker")
+
+
 def dense_grid(
     prices: DataFrame, tickers: DataFrame, dates: DataFrame, value: str | list[str] = "price"
 ) -> DataFrame:
@@ -40,16 +46,12 @@ def dense_grid(
     Skeleton and prices are then brought together by ticker alone, so the windows that follow need no second
     exchange. Prices outside the requested tickers are not part of the grid."""
     values = [value] if isinstance(value, str) else value
-    # a given number of partitions keeps adaptive execution from merging them: rolling windows are bound by
-    # arithmetic, not by bytes, and a few megabytes can be minutes of work for one core
-    parts = int(prices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     calendar = dates.select(F.array_sort(F.collect_set("date"))).scalar()
     skeleton = tickers.select("ticker").distinct().select("ticker", F.explode(calendar).alias("date"))
     asked = skeleton.withColumn("_asked", F.lit(True))
     seen = prices.select("ticker", "date", *values)
     return (
-        asked.unionByName(seen, allowMissingColumns=True)
-        .repartition(parts, "ticker")
+        by_ticker(asked.unionByName(seen, allowMissingColumns=True))
         .groupBy("ticker", "date")
         .agg(*[F.max(v).alias(v) for v in values], F.max("_asked").alias("_asked"))
         .filter("_asked")

@@ -28,10 +28,10 @@ def test_wide_panel_round_trip(spark):
 
 def test_feature_table_is_pruned_and_typed(spark):
     path = new_path(spark, "features")
-    spark.createDataFrame([("2020-01-31", " a ", float("inf"), 1.0)], "date string, ticker string, x double, y double").write.parquet(path)
+    spark.createDataFrame([("2020-01-31", " a ", float("inf"), 1.0)], "date string, ticker string, x double, unused_column double").write.parquet(path)
     df = T.read_features(spark, path, ["date", "ticker", "x"])
     assert df.first() == (D(2020, 1, 31), "A", None)
-    assert "y" not in df._jdf.queryExecution().executedPlan().toString()
+    assert "unused_column" not in df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_universe_defaults_and_first_row(spark):
