@@ -138,7 +138,7 @@ blend AS (SELECT date, ticker, w/sum(w) OVER (PARTITION BY date) AS final_weight
   avg_ranker_score, best_rank FROM blend0)"""
 REGIME = f"""reg1 AS (SELECT g.ticker, g.date, g.price, g.price/lag(g.price) OVER (PARTITION BY g.ticker ORDER BY g.date) - 1 AS r
   FROM grid g JOIN uni u ON u.ticker = g.ticker WHERE u.sector = '{SECTOR}'),
-reg2 AS (SELECT date, avg(r) AS r FROM reg1 GROUP BY 1 HAVING count(price) > 0),
+reg2 AS (SELECT date, avg(r) AS r FROM reg1 GROUP BY 1),
 reg3 AS (SELECT date, exp(sum(ln(1 + coalesce(r, 0))) OVER (ORDER BY date)) AS idx FROM reg2),
 regime AS (SELECT date, idx/max(idx) OVER (ORDER BY date) - 1 AS regime_drawdown,
   idx/max(idx) OVER (ORDER BY date) - 1 > -0.20 AS risk_on FROM reg3)"""

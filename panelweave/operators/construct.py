@@ -94,8 +94,8 @@ def regime_status(
         grid.join(members, "ticker", "left_semi")
         .withColumn("_r", returns.ret("price"))
         .groupBy("date")
-        .agg(F.avg("_r").alias("_r"), F.count("price").alias("_priced"))
-        .filter("_priced > 0")
+        # a date on which the sector has no return leaves its index where it was
+        .agg(F.avg("_r").alias("_r"))
     )
     t = Rolling("_one")
     index = by_date.withColumn("_one", F.lit(1)).withColumn("_index", t.growth(F.coalesce("_r", F.lit(0.0))))
