@@ -385,7 +385,7 @@ def construction_grid(spark, sf):
 def grid_marginals(spark, sf):
     from ..operators.cross import marginals
 
-    return marginals(_grid(spark, sf), G.DIMENSIONS).withColumnRenamed("value", "grid_value").withColumnRenamed("grid_value", "value")
+    return marginals(_grid(spark, sf), G.DIMENSIONS)
 
 
 @query(
