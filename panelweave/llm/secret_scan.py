@@ -177,17 +177,14 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
             F.regexp_extract_all(F.col("q"), F.lit(CANDIDATE), F.lit(0)).alias("tokens"),
         ),
     )
-    ordered = F.sort_array(
-        F.concat(
-            *[
-                F.transform(
-                    F.filter(f"q.{kind}", lambda s: s["ok"]),
-                    lambda s, k=k: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end")),
-                )
-                for k, kind in enumerate(KINDS[:3])
-            ]
+
+    def of_kind(k: int) -> Column:
+        return F.transform(
+            F.filter(f"q.{KINDS[k]}", lambda s: s["ok"]),
+            lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end")),
         )
-    )
+
+    ordered = F.sort_array(F.concat(*[of_kind(k) for k in range(3)]))
     with_base = placed.withColumn("q", F.struct("q.t", "q.tokens", ordered.alias("base")))
     apart = lambda c: ~F.exists("q.base", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
     zipped = F.zip_with(
