@@ -16,10 +16,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..plans.staging import stage
-from .text import columns
+from .text import Remembered, columns
 
 CAPACITY = 4096
-KNOWN_WORDS = 300_000  # words whose ids a worker remembers
+KNOWN_WORDS = 500_000  # words whose ids a worker remembers, in each of two generations
 SLICE = 1 << 20  # characters that are split into words at a time
 
 _GAPS = re.compile(r"[ \t\n\r\x0b\x0c]+")
@@ -41,7 +41,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.spaced, self.kind = Tokenizer.from_file(path), spaced, np.dtype(kind)
-        self.known: dict[str, bytes] = {}
+        self.known = Remembered(self._solve, KNOWN_WORDS)
 
     @classmethod
     def of(cls, path: str, spaced: bool, kind: str) -> "WordIds":
@@ -50,6 +50,9 @@ class WordIds:
             _encoders[key] = cls(*key)
         return _encoders[key]
 
+    def _solve(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+
     def words(self, text: str) -> list[str]:
         if self.spaced:
             return _SPACED.findall(text)
@@ -64,13 +67,7 @@ class WordIds:
                 gap = _GAPS.search(text, end)
                 end = gap.start() if gap else len(text)
             words = self.words(text[at:end])
-            new = list(set(words).difference(self.known))
-            if len(self.known) + len(new) > KNOWN_WORDS:
-                self.known.clear()
-                new = list(set(words))
-            for word, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(e.ids, self.kind).tobytes()
-            out.append(b"".join(map(self.known.__getitem__, words)))
+            out.append(self.known.joined(words))
             at = end
         return b"".join(out)
 

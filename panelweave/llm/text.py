@@ -27,6 +27,27 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
 
 
+class Remembered:
+    """Results by word, bounded: two generations of at most ``limit`` words, of which the older is dropped."""
+
+    def __init__(self, solve, limit: int):
+        self.solve, self.limit = solve, limit
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def joined(self, words: list[str]) -> bytes:
+        """The results of all words, one after the other. ``solve`` maps a list of new words to their results."""
+        missing = set(words).difference(self.young)
+        if missing:
+            if len(self.young) + len(missing) > self.limit:
+                self.old, self.young, missing = self.young, {}, set(words)
+            young, old = self.young, self.old
+            new = [w for w in missing if w not in old]
+            young.update((w, old[w]) for w in missing if w in old)
+            young.update(zip(new, self.solve(new), strict=True))
+        return b"".join(map(self.young.__getitem__, words))
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer; spreads every input bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
