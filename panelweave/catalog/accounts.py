@@ -318,9 +318,13 @@ def regime_members(spark, sf):
 NET = f"""{X.PX}, netpx AS (SELECT 'S'||l_suppkey AS ticker, last_day(CAST(l_shipdate AS DATE)) AS date,
 CAST(sum(CAST(round(l_extendedprice*100) AS BIGINT)*(100 - CAST(round(l_discount*100) AS BIGINT))) AS DOUBLE)/CAST(10000*sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS price FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1, 2)"""
 DIFF = f"""{NET}, j AS (SELECT p.ticker, p.date, p.price AS a, n.price AS b, abs((n.price - p.price)/p.price) AS d FROM px p JOIN netpx n ON n.ticker = p.ticker AND n.date = p.date),
-sa AS (SELECT ticker, min(date) AS a_first_date, max(date) AS a_last_date FROM px GROUP BY 1), sb AS (SELECT ticker, min(date) AS b_first_date, max(date) AS b_last_date FROM netpx GROUP BY 1),
+cm AS (SELECT DISTINCT date FROM px INTERSECT SELECT DISTINCT date FROM netpx),
+sa AS (SELECT ticker, min(date) AS a_first_date, max(date) AS a_last_date FROM px WHERE date IN (SELECT date FROM cm) GROUP BY 1),
+sb AS (SELECT ticker, min(date) AS b_first_date, max(date) AS b_last_date FROM netpx WHERE date IN (SELECT date FROM cm) GROUP BY 1),
 st AS (SELECT ticker, count(*) AS overlap_count, avg(d) AS mean_abs_pct_diff, median(d) AS median_abs_pct_diff, max(d) AS max_abs_pct_diff, arg_max(a, date) AS latest_a_price, arg_max(b, date) AS latest_b_price, arg_max(d, date) AS latest_abs_pct_diff FROM j GROUP BY 1),
-diff AS (SELECT sa.*, sb.* EXCLUDE (ticker), st.* EXCLUDE (ticker) REPLACE (coalesce(overlap_count, 0) AS overlap_count) FROM sa JOIN sb ON sb.ticker = sa.ticker LEFT JOIN st ON st.ticker = sa.ticker)"""
+ct AS (SELECT ticker FROM px INTERSECT SELECT ticker FROM netpx),
+diff AS (SELECT ct.ticker, a_first_date, a_last_date, b_first_date, b_last_date, st.* EXCLUDE (ticker) REPLACE (coalesce(overlap_count, 0) AS overlap_count)
+FROM ct LEFT JOIN st ON st.ticker = ct.ticker LEFT JOIN sa ON sa.ticker = st.ticker LEFT JOIN sb ON sb.ticker = st.ticker)"""
 DIFF_DOUBLES = "mean_abs_pct_diff median_abs_pct_diff max_abs_pct_diff latest_a_price latest_b_price latest_abs_pct_diff"
 
 

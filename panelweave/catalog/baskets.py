@@ -297,7 +297,9 @@ def _variant_books(spark, sf, read):
     near = f.select("date", "ticker", (1.0 + F.col("price_to_ma_6m")).alias("ratio_to_ma"))
     tilted = C.dip_tilt(base.join(near, ["date", "ticker"], "left")).select("date", "ticker", F.col("tilted_weight").alias("weight"))
     off = C.trend_on(X.bench(spark, sf, read)).select("date", F.when(F.col("trend_on"), 1.0).otherwise(0.4).alias("_e"))
-    trend = base.join(small_side(off), "date").select("date", "ticker", (F.col("weight") * F.col("_e")).alias("weight"))
+    trend = base.join(off, "date", "left").select(
+        "date", "ticker", (F.col("weight") * F.coalesce("_e", F.lit(1.0))).alias("weight")
+    )
     named = {"baseline": base, "dip_tilt": tilted, "trend_hedge": trend}
     return reduce(DataFrame.unionByName, [b.withColumn("variant", F.lit(n)) for n, b in named.items()]), f
 
@@ -307,7 +309,7 @@ tl AS (SELECT b.date, b.ticker, b.weight, b.weight*least(greatest(1 - (coalesce(
 tw AS (SELECT date, CASE WHEN coalesce(price >= ({X.roll_all('avg', 'price', 10)}), true) THEN 1.0 ELSE 0.4 END AS e FROM bench),
 vb AS (SELECT 'baseline' AS variant, date, ticker, weight FROM book UNION ALL
 SELECT 'dip_tilt', date, ticker, t*sum(weight) OVER (PARTITION BY date)/sum(t) OVER (PARTITION BY date) FROM tl UNION ALL
-SELECT 'trend_hedge', b.date, b.ticker, b.weight*e FROM book b JOIN tw ON tw.date = b.date),
+SELECT 'trend_hedge', b.date, b.ticker, b.weight*coalesce(e, 1) FROM book b LEFT JOIN tw ON tw.date = b.date),
 held AS (SELECT b.variant, b.date, b.ticker, b.weight, f.future_1m_return AS ret FROM vb b LEFT JOIN feat f ON f.date = b.date AND f.ticker = b.ticker),
 {turnover_sql('held', 'variant')},
 series AS (SELECT variant, net.date, net_return AS ret, future_1m_bench_return AS bench_ret FROM net LEFT JOIN bf ON bf.date = net.date UNION ALL
@@ -331,7 +333,17 @@ def variant_comparison(spark, sf):
     return perf.compare_variants(net, bench, 5)
 
 
-GRID_SIZES = {"ret_6m": [10, 20], "ret_12m": [10, 20], "ret_1m": [5, 10], "ret_3m": [5, 10]}
+# two original and four neighbor branches; the feature panel's own trends stand in for their scores
+ORIGINALS, NEIGHBORS = ["ret_6m", "ret_12m"], ["ret_1m", "ret_3m", "price_to_ma_6m", "price_to_ma_12m"]
+# fixed: basket sizes and blends of the construction grid
+ORIGINAL_SIZES, NEIGHBOR_SIZES, BLENDS = [10, 20, 35, 50], [5, 10, 20], [(0.7, 0.3), (0.5, 0.5)]
+GRID_SIZES = {b: ORIGINAL_SIZES for b in ORIGINALS} | {b: NEIGHBOR_SIZES for b in NEIGHBORS}
+
+
+def _values(items) -> str:
+    return ", ".join(f"({i!r})" for i in items)
+
+
 _ALL_SIZES = " UNION ALL ".join(
     f"SELECT '{b}' AS branch, {n} AS top_n, date, ticker, {b} AS s, vol_12m, row_number() OVER (PARTITION BY date ORDER BY {b} DESC, ticker) AS rk FROM feat WHERE {b} IS NOT NULL QUALIFY rk <= {n}"
     for b, ns in GRID_SIZES.items() for n in ns
@@ -340,17 +352,18 @@ GRID_SQL = f"""{X.FEAT}, {HEDGE},
 sl0 AS ({_ALL_SIZES}),
 sl1 AS (SELECT *, coalesce(1/nullif(vol_12m,0), median(1/nullif(vol_12m,0)) OVER (PARTITION BY branch, top_n, date)) AS inv FROM sl0),
 sl AS (SELECT branch, top_n, date, ticker, coalesce(inv/nullif(sum(inv) OVER (PARTITION BY branch, top_n, date),0), 1.0::DOUBLE/count(*) OVER (PARTITION BY branch, top_n, date)) AS weight FROM sl1),
-cd AS (SELECT date FROM sl GROUP BY 1 HAVING count(DISTINCT branch) = 4),
-og AS (SELECT * FROM (VALUES ('ret_6m'), ('ret_12m')) a(o) CROSS JOIN (VALUES (10), (20)) b(otn)),
-ng AS (SELECT * FROM (VALUES ('ret_1m'), ('ret_3m')) a(n) CROSS JOIN (VALUES (5), (10)) b(ntn)),
+cd AS (SELECT date FROM sl GROUP BY 1 HAVING count(DISTINCT branch) = {len(GRID_SIZES)}),
+og AS (SELECT * FROM (VALUES {_values(ORIGINALS)}) a(o) CROSS JOIN (VALUES {_values(ORIGINAL_SIZES)}) b(otn)),
+ng AS (SELECT * FROM (VALUES {_values(NEIGHBORS)}) a(n) CROSS JOIN (VALUES {_values(NEIGHBOR_SIZES)}) b(ntn)),
+hn AS (SELECT * FROM (VALUES {_values(C.HEDGES)}) a(hedge)),
 vr AS (SELECT o AS orig_feats, otn::VARCHAR AS orig_topn, '-' AS neigh_dim, '-' AS neigh_topn, 1.0 AS wo, 0.0 AS wn, '100/0' AS blend FROM og
 UNION ALL SELECT o, otn::VARCHAR, n, ntn::VARCHAR, wo, wn, bl FROM og CROSS JOIN ng CROSS JOIN (VALUES (0.7, 0.3, '70/30'), (0.5, 0.5, '50/50')) c(wo, wn, bl)
 UNION ALL SELECT '-', '-', n, ntn::VARCHAR, 0.0, 1.0, '0/100' FROM ng),
 bk AS (SELECT orig_feats, orig_topn, neigh_dim, neigh_topn, blend, sl.date, ticker, sum(weight*CASE WHEN branch = orig_feats AND top_n::VARCHAR = orig_topn THEN wo::DOUBLE ELSE wn::DOUBLE END) AS w
 FROM vr JOIN sl ON (sl.branch = orig_feats AND top_n::VARCHAR = orig_topn AND wo > 0) OR (sl.branch = neigh_dim AND top_n::VARCHAR = neigh_topn AND wn > 0) JOIN cd ON cd.date = sl.date GROUP BY ALL),
 bkn AS (SELECT * EXCLUDE (w), w/sum(w) OVER (PARTITION BY orig_feats, orig_topn, neigh_dim, neigh_topn, blend, date) AS w FROM bk),
-held AS (SELECT concat_ws('|', orig_feats, orig_topn, neigh_dim, neigh_topn, blend) AS variant, hedge, b.date, b.ticker, w*exposure AS weight, future_1m_return AS ret
-FROM bkn b JOIN hedges h ON h.date = b.date LEFT JOIN feat f ON f.date = b.date AND f.ticker = b.ticker),
+held AS (SELECT concat_ws('|', orig_feats, orig_topn, neigh_dim, neigh_topn, blend) AS variant, hn.hedge, b.date, b.ticker, w*coalesce(exposure, 1.0) AS weight, future_1m_return AS ret
+FROM bkn b CROSS JOIN hn LEFT JOIN hedges h ON h.date = b.date AND h.hedge = hn.hedge LEFT JOIN feat f ON f.date = b.date AND f.ticker = b.ticker),
 {turnover_sql('held', 'variant, hedge')},
 series AS (SELECT variant, hedge, net.date, net_return AS ret, future_1m_bench_return AS bench_ret FROM net LEFT JOIN bf ON bf.date = net.date),
 folded AS (SELECT *, ntile(5) OVER (PARTITION BY variant, hedge ORDER BY date) AS fold FROM series WHERE ret IS NOT NULL),
@@ -365,7 +378,7 @@ def _grid(spark, sf):
     long = f.select("date", "ticker", "vol_12m", *GRID_SIZES).unpivot(
         ["date", "ticker", "vol_12m"], list(GRID_SIZES), "branch", "ranker_score"
     ).filter("ranker_score is not null")
-    v = G.variants(spark, ["ret_6m", "ret_12m"], [10, 20], ["ret_1m", "ret_3m"], [5, 10], [(0.7, 0.3), (0.5, 0.5)])
+    v = G.variants(spark, ORIGINALS, ORIGINAL_SIZES, NEIGHBORS, NEIGHBOR_SIZES, BLENDS)
     return G.run_grid(v, G.sleeves(long, GRID_SIZES), _hedges(spark, sf, read), f, _bench_returns(spark, sf, read))
 
 

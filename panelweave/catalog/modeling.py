@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.feature_names import feature_columns
-from ..operators import analogs as K, cross, latent as M, ranking_model as R
+from ..operators import analogs as K, construct as C, cross, latent as M, ranking_model as R
+from ..operators.construct import Branch
 from ..operators.ranks import fifths
 from ..plans.staging import stage
 from ..sources import adapters as A
@@ -15,8 +18,8 @@ from ..streaming.valuation import stream_snapshots
 from . import fixtures as X
 from .registry import query
 
-LAT = """lat AS (SELECT vec_id AS ticker, CAST(floor(vec_id/50) AS BIGINT) AS date, embedding::DOUBLE[] AS z,
-  CASE WHEN floor(vec_id/50) < (SELECT max(floor(vec_id/50)) FROM embeddings) THEN label - 4.5::DOUBLE END AS o FROM embeddings),
+LAT = f"""lat AS (SELECT vec_id AS ticker, CAST(vec_id % {A.PERIODS} AS BIGINT) AS date, embedding::DOUBLE[] AS z,
+  CASE WHEN vec_id % {A.PERIODS} < {A.PERIODS - 1} THEN label - 4.5::DOUBLE END AS o FROM embeddings),
 pool AS (SELECT date, CAST(coalesce(sum(n) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS history_rows FROM (SELECT date, count(o) AS n FROM lat GROUP BY 1))"""
 NN = f"""{LAT},
 pairs AS (SELECT q.ticker, q.date, h.ticker AS hist_ticker, h.date AS hist_date, h.o, round(list_distance(q.z, h.z), 9) AS distance FROM lat q JOIN pool p ON p.date = q.date AND history_rows >= 250 JOIN lat h ON h.date < q.date AND h.o IS NOT NULL),
@@ -95,14 +98,49 @@ def panel_latents_walk_forward(spark, sf):
     )
 
 
-@query("panel_analog_features")
-def panel_analog_features(spark, sf):
-    """Analog statistics of the feature panel, in the space of its first eight components."""
-    rows = stage(
-        M.prefix(_panel_latents(spark, sf), 8).select("ticker", "date", "z", "future_1m_return", "future_1m_excess_return"),
+DIMS = (4, 8, 16, 32)
+
+
+def _panel_analogs(spark, sf, dims):
+    """{dimension: analog statistics of the feature panel} in the space of its first components, all from one fit."""
+    full = stage(
+        _panel_latents(spark, sf, max(dims)).select("ticker", "date", "z", "future_1m_return", "future_1m_excess_return"),
         "panel-latents",
     )
-    return K.neighbor_stats(rows, K.nearest_earlier(rows))
+    out = {}
+    for dim in dims:
+        rows = M.prefix(full, dim)
+        out[dim] = K.neighbor_stats(rows, K.nearest_earlier(rows))
+    return out
+
+
+@query("panel_analog_features")
+def panel_analog_features(spark, sf):
+    """Analog statistics of the feature panel in 4, 8, 16 and 32 dimensions (or as many as there are features)."""
+    frames = [df.withColumn("dim", F.lit(dim)) for dim, df in _panel_analogs(spark, sf, DIMS).items()]
+    return reduce(DataFrame.unionByName, frames)
+
+
+@query(
+    "panel_analog_counts",
+    f"""WITH {X.LABELLED}, r AS (SELECT * FROM lab WHERE price IS NOT NULL),
+pool AS (SELECT date, coalesce(sum(n) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS h FROM (SELECT date, count(future_1m_return) AS n FROM r GROUP BY 1))
+SELECT dim, ticker, r.date, CAST(CASE WHEN h >= 250 THEN least(50, h) ELSE 0 END AS BIGINT) AS neighbor_count
+FROM r JOIN pool ON pool.date = r.date CROSS JOIN (VALUES (4::BIGINT), (16::BIGINT)) d(dim)""",
+)
+def panel_analog_counts(spark, sf):
+    """How many analogs every row of the panel has in two of the spaces: all of them, or none below the least history."""
+    frames = [df.withColumn("dim", F.lit(dim)) for dim, df in _panel_analogs(spark, sf, (4, 16)).items()]
+    return reduce(DataFrame.unionByName, frames).select("dim", "ticker", "date", "neighbor_count")
+
+
+@query(
+    "analog_probe_check",
+    f"WITH {NN} SELECT count(*) AS exact_pairs, true AS recall_holds FROM nn",
+)
+def analog_probe_check(spark, sf):
+    """The number of exact pairs, and whether the probed search finds at least three quarters of them."""
+    return analog_probe_recall(spark, sf).select("exact_pairs", (F.col("recall") >= 0.75).alias("recall_holds"))
 
 
 def _vectors(spark, sf):
@@ -126,6 +164,31 @@ def embedding_scaler(spark, sf):
     return M.fit_latents(rows, names, 4).scaler_table(spark)
 
 
+@query(
+    "embedding_variance_whole",
+    "SELECT 64::BIGINT AS components, 1.0::DOUBLE AS shares, true AS falling, 0.0::DOUBLE AS mean_error, true AS uncorrelated, count(*) AS rows FROM embeddings",
+    "shares mean_error",
+)
+def embedding_variance_whole(spark, sf):
+    """With as many components as inputs the shares sum to one, fall, are uncorrelated, and nothing of a row is left over."""
+    rows, names = _vectors(spark, sf)
+    model = M.fit_latents(rows, names, len(names))
+    share = [float(v) for v in model.pca.explainedVariance]
+    z = model.transform(rows)
+    pairs = [(i, i + 1) for i in range(0, 8)]
+    return z.agg(
+        F.lit(len(share)).alias("components"),
+        F.lit(sum(share)).alias("shares"),
+        F.lit(all(a >= b for a, b in zip(share, share[1:]))).alias("falling"),
+        F.avg("reconstruction_error").alias("mean_error"),
+        reduce(
+            lambda a, b: a & b,
+            [F.abs(F.corr(F.get("z", F.lit(i)), F.get("z", F.lit(j)))) < 1e-6 for i, j in pairs],
+        ).alias("uncorrelated"),
+        F.count(F.lit(1)).alias("rows"),
+    )
+
+
 @query("latent_dimension_sweep")
 def latent_dimension_sweep(spark, sf):
     """Mean squared length of the state kept at each dimension, all from one fit."""
@@ -148,6 +211,23 @@ def cluster_summary(spark, sf):
     return cross.cluster_summary(clustered, "cluster", "reconstruction_error")
 
 
+@query(
+    "cluster_check",
+    f"SELECT count(*) AS rows, CAST(count(DISTINCT vec_id % {A.PERIODS}) AS BIGINT) AS dates, 4::BIGINT AS clusters, 0::BIGINT AS misplaced FROM embeddings",
+)
+def cluster_check(spark, sf):
+    """Every row is in exactly one cluster, the one whose centre is nearest."""
+    rows, names = _vectors(spark, sf)
+    latents = M.fit_latents(rows, names, 16).transform(rows)
+    c = M.cluster(latents.select("ticker", "date", "z"), starts=2)
+    return c.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.countDistinct("date").alias("dates"),
+        F.countDistinct("cluster").alias("clusters"),
+        F.count_if(F.get("dist_cluster", F.col("cluster")) > F.array_min("dist_cluster") + 1e-9).alias("misplaced"),
+    )
+
+
 @query(
     "validation_split",
     f"""WITH {X.FEAT}, d AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM feat WHERE future_1m_return IS NOT NULL))
@@ -158,18 +238,54 @@ def validation_split(spark, sf):
     return R.time_split(f)
 
 
-@query("rank_model_scores")
-def rank_model_scores(spark, sf):
-    """Scores of the newest date by a model trained on all earlier ones, for two feature sets."""
+def _model_table(spark, sf):
+    """The feature panel with the statistics of its analogs, in the space of eight components."""
     f = stage(X.labelled(spark, sf).filter("price is not null"), "features")
+    return stage(K.with_neighbor_features(f, _panel_analogs(spark, sf, (8,))[8]), "model-table")
+
+
+def _scores(spark, sf):
+    """Scores of the newest date by the original and the neighbor branch, each trained on all earlier dates."""
+    f = _model_table(spark, sf)
     newest = f.agg(F.max("date")).first()[0]
-    base = feature_columns(f, "original_only")
-    branches = {"base": base, "momentum": [c for c in base if c.startswith("ret_")]}
+    branches = {"base": feature_columns(f, "original_only"), "neighbor": feature_columns(f, "original_plus_neighbors")}
     frames = [
-        R.train_and_score(f, cols, newest, trees=20, depth=4, step=0.1).withColumn("branch", F.lit(name))
+        R.train_and_score(f, cols, newest, trees=60, depth=4, step=0.1, patience=10).withColumn("branch", F.lit(name))
         for name, cols in branches.items()
     ]
-    return frames[0].unionByName(frames[1])
+    return f, frames[0].unionByName(frames[1])
+
+
+@query("rank_model_scores")
+def rank_model_scores(spark, sf):
+    return _scores(spark, sf)[1]
+
+
+@query(
+    "model_portfolio_check",
+    f"""WITH {X.LABELLED}, r AS (SELECT * FROM lab WHERE price IS NOT NULL), n AS (SELECT count(*) AS c FROM r WHERE date = (SELECT max(date) FROM r)),
+d AS (SELECT max(date) AS date FROM r) SELECT date, c AS base_rows, c AS neighbor_rows, true AS ranks_whole, true AS order_agrees, 1.0::DOUBLE AS weight FROM n, d""",
+    "weight",
+)
+def model_portfolio_check(spark, sf):
+    """Scores of both branches into one portfolio: ranks are whole and follow the scores, weights sum to one."""
+    f, scores = _scores(spark, sf)
+    scores = stage(scores, "scores")
+    with_vol = scores.join(f.select("date", "ticker", "vol_12m"), ["date", "ticker"])
+    baskets = [C.branch_basket(with_vol.filter(F.col("branch") == b.name), b) for b in (Branch("base", 20, 0.7), Branch("neighbor", 10, 0.3))]
+    weights = C.blend(baskets).groupBy("date").agg(F.sum("final_weight_before_regime").alias("weight"))
+    ordered = Window.partitionBy("branch", "date").orderBy("rank_by_date")
+    checked = scores.withColumn("above", F.lag("ranker_score").over(ordered))
+    per = checked.groupBy("date").agg(
+        F.count_if(F.col("branch") == "base").alias("base_rows"),
+        F.count_if(F.col("branch") == "neighbor").alias("neighbor_rows"),
+        (F.countDistinct("branch", "rank_by_date") == F.count(F.lit(1))).alias("_distinct"),
+        (F.max("rank_by_date") * 2 == F.count(F.lit(1))).alias("_top"),
+        (F.count_if(F.col("above") < F.col("ranker_score")) == 0).alias("order_agrees"),
+    )
+    return per.join(weights, "date").select(
+        "date", "base_rows", "neighbor_rows", (F.col("_distinct") & F.col("_top")).alias("ranks_whole"), "order_agrees", "weight"
+    )
 
 
 NDCG = f"""{X.FEAT}, lb AS (SELECT date, ticker, ret_6m AS s, row_number() OVER (PARTITION BY date ORDER BY future_1m_return, ticker)::DOUBLE/count(*) OVER (PARTITION BY date) AS share FROM feat WHERE future_1m_return IS NOT NULL),

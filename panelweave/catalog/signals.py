@@ -347,18 +347,35 @@ STATE = (
 )
 
 
+MADE = ("neighbor_avg_ret", "v3_range", "v3m_level")  # columns of the other kinds, made from the panel
+SETS = {
+    "original_only": (*STATE, *MADE[1:]),
+    "neighbor_only": MADE[:1],
+    "original_plus_neighbors": (*STATE, *MADE),
+    "base_only": STATE,
+    "state": (*STATE, *MADE[1:]),
+}
+
+
 @query(
     "feature_sets",
-    f"WITH {X.LABELLED} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) AS known, 3::BIGINT AS in_sets FROM lab" for c in STATE),
+    f"WITH {X.LABELLED}, m AS (SELECT *, ret_1m/2 AS neighbor_avg_ret, vol_3m AS v3_range, bench_ret_1m AS v3m_level FROM lab) "
+    + " UNION ALL ".join(f"SELECT '{s}' AS feature_set, '{c}' AS feature, count({c}) AS known FROM m" for s, cs in SETS.items() for c in cs),
 )
 def feature_sets(spark, sf):
-    """How many inputs each feature set has, checked for leaks; from the schema alone, over the whole table."""
-    f = X.labelled(spark, sf)
-    sets = {s: feature_columns(f, s) for s in ("original_only", "neighbor_only", "original_plus_neighbors", "state")}
-    counted = f.agg(*[F.count(c).alias(c) for c in sets["original_only"]])
-    return counted.unpivot([], sets["original_only"], "feature", "known").withColumn(
-        "in_sets", F.lit(sum(bool(v) for v in sets.values()))
+    """The inputs of each feature set and how often they are known. The table also has outcome and key columns, neighbor
+    columns, and daily and macro columns, which the sets must leave out or take in."""
+    f = X.labelled(spark, sf).select(
+        "*",
+        (F.col("ret_1m") / 2).alias("neighbor_avg_ret"),
+        F.col("vol_3m").alias("v3_range"),
+        F.col("bench_ret_1m").alias("v3m_level"),
     )
+    names = {s: feature_columns(f, s) for s in SETS}
+    every = sorted({c for cs in names.values() for c in cs})
+    counted = f.agg(*[F.count(c).alias(c) for c in every]).unpivot([], every, "feature", "known")
+    holder = F.array_compact(F.array(*[F.when(F.col("feature").isin(cs), F.lit(s)) for s, cs in names.items()]))
+    return counted.select(F.explode(holder).alias("feature_set"), "feature", "known")
 
 
 @query("date_group_sizes", f"WITH {X.GRID} SELECT date, count(*) AS rows FROM grid GROUP BY 1")

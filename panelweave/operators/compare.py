@@ -17,8 +17,12 @@ def price_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """Per common ticker: months in both, spans, and absolute relative differences of b against a."""
     am, bm = month_end(a), month_end(b)
 
+    # months that both tables know at all: spans are taken there, of each table's own prices
+    dates = am.select("date").distinct().join(bm.select("date").distinct(), "date")
+
     def span(df, side):
-        return df.groupBy("ticker").agg(F.min("date").alias(f"{side}_first_date"), F.max("date").alias(f"{side}_last_date"))
+        known = df.filter(F.col("price").isNotNull()).join(dates, "date", "left_semi")
+        return known.groupBy("ticker").agg(F.min("date").alias(f"{side}_first_date"), F.max("date").alias(f"{side}_last_date"))
 
     both = am.withColumnRenamed("price", "_a").join(bm.withColumnRenamed("price", "_b"), ["ticker", "date"])
     usable = both.filter(F.col("_a") != 0).withColumn("_d", F.abs(ratio(F.col("_b") - F.col("_a"), "_a")))
@@ -32,7 +36,8 @@ def price_diff(a: DataFrame, b: DataFrame) -> DataFrame:
         F.max_by("_b", "date").alias("latest_b_price"),
         F.max_by("_d", "date").alias("latest_abs_pct_diff"),
     )
-    common = span(am, "a").join(span(bm, "b"), "ticker")
+    stats = stats.join(span(am, "a"), "ticker").join(span(bm, "b"), "ticker")  # a ticker without overlap has no spans
+    common = am.select("ticker").distinct().join(bm.select("ticker").distinct(), "ticker")
     return common.join(stats, "ticker", "left").withColumn("overlap_count", F.coalesce("overlap_count", F.lit(0)))
 
 

@@ -168,6 +168,10 @@ def trend_on(bench: DataFrame, window: int = 10) -> DataFrame:
     )
 
 
+# fixed: names of the hedge rules
+HEDGES = ("none", "trend", "vix", "credit", "trend_or_credit")
+
+
 def hedge_exposures(
     state: DataFrame, when_off: float = 0.4, level_cap: float = 30.0, credit_floor: float = -0.05,
     trend: str = "market_to_ma", level: str = "level", credit: str = "credit_drawdown",
@@ -184,12 +188,16 @@ def hedge_exposures(
         rule(F.col(level) > level_cap).alias("vix"),
         rule(F.col(credit) < credit_floor).alias("credit"),
     ).withColumn("trend_or_credit", F.least("trend", "credit"))
-    return wide.unpivot(["date"], ["none", "trend", "vix", "credit", "trend_or_credit"], "hedge", "exposure")
+    return wide.unpivot(["date"], list(HEDGES), "hedge", "exposure")
 
 
-def hedged(book: DataFrame, exposures: DataFrame, weight: str = "weight") -> DataFrame:
-    """A copy of the book per hedge rule, scaled by that rule's exposure."""
-    return book.join(small_side(exposures), "date").withColumn(weight, F.col(weight) * F.col("exposure")).drop("exposure")
+def hedged(
+    book: DataFrame, exposures: DataFrame, weight: str = "weight", hedges: tuple[str, ...] = HEDGES
+) -> DataFrame:
+    """A copy of the book per hedge rule, scaled by that rule's exposure. A date without an exposure stays invested."""
+    copies = book.withColumn("hedge", F.explode(F.array(*[F.lit(h) for h in hedges])))
+    scaled = copies.join(exposures.select("date", "hedge", "exposure"), ["date", "hedge"], "left")
+    return scaled.withColumn(weight, F.col(weight) * F.coalesce("exposure", F.lit(1.0))).drop("exposure")
 
 
 def vol_target(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.rolling import Rolling
 from ..functions.scalars import clip, holds, positive, ratio
-from ..plans.staging import bounded_rows, small_side
+from ..plans.staging import small_side
 from .shape import asof_join, bounded_fill
 
 RETURN_WINDOWS = (1, 3, 6, 12)
@@ -78,15 +78,24 @@ def sector_features(df: DataFrame) -> DataFrame:
     return out.select("*", *[(F.col(c) - F.col(f"sector_{c}")).alias(f"{c}_minus_sector") for c in columns])
 
 
-def indicator_columns(df: DataFrame, columns: list[str], max_values: int = 1000) -> DataFrame:
-    """0/1 columns per value (sector_*, industry_*). The value list is taken once and must be short."""
+def indicator_columns(df: DataFrame, columns: list[str], values: dict[str, list[str]] | None = None) -> DataFrame:
+    """0/1 columns per value (sector_*, industry_*). ``values`` names them per column; a column that is not named there
+    gets one for each value it has, read once, since a table's columns must be known when it is planned."""
     out = df
     for c in columns:
-        values = sorted(r[0] for r in bounded_rows(df.select(c).distinct().filter(F.col(c).isNotNull()), max_values))
-        out = out.select("*", *[holds(F.col(c) == v).cast("int").alias(f"{c}_{v}") for v in values])
+        found = (values or {}).get(c)
+        if found is None:
+            found = sorted(r[0] for r in df.select(c).distinct().filter(F.col(c).isNotNull()).toLocalIterator())
+        out = out.select("*", *[holds(F.col(c) == v).cast("int").alias(f"{c}_{v}") for v in found])
     return out
 
 
+def indicator_rows(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """The same in long form for wide vocabularies: (keys, indicator), one row per indicator that is 1."""
+    marks = F.array(*[F.when(F.col(c).isNotNull(), F.concat_ws("_", F.lit(c), F.col(c).cast("string"))) for c in columns])
+    return df.select(*keys, F.explode(F.array_compact(marks)).alias("indicator"))
+
+
 def drop_unpriced(df: DataFrame, benchmark: str | None = None) -> DataFrame:
     out = df.filter(F.col("price").isNotNull())
     return out if benchmark is None else out.filter(F.col("ticker") != benchmark)

@@ -74,11 +74,16 @@ def flat_components(df: DataFrame, k: int, vec: str = "z") -> DataFrame:
     return df.select(*[c for c in df.columns if c != vec], *[F.get(vec, F.lit(i)).alias(f"z{i + 1}") for i in range(k)])
 
 
-def cluster(df: DataFrame, k: int = 4, seed: int = 42, vec: str = "z", iterations: int = 20) -> DataFrame:
-    """Cluster label and the distance to every centre (an array in centre order)."""
+def cluster(
+    df: DataFrame, k: int = 4, seed: int = 42, vec: str = "z", iterations: int = 300, starts: int = 10
+) -> DataFrame:
+    """Cluster label and the distance to every centre (an array in centre order), from the best of ``starts`` fits."""
     data = stage(df, "cluster-input")
     v = data.withColumn("_v", array_to_vector(vec))
-    model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="cluster", maxIter=iterations).fit(v)
+    fits = [
+        KMeans(k=k, seed=seed + i, featuresCol="_v", predictionCol="cluster", maxIter=iterations).fit(v) for i in range(starts)
+    ]
+    model = min(fits, key=lambda m: m.summary.trainingCost)
     centres = [[float(x) for x in c] for c in model.clusterCenters()]
 
     def to_centre(c: list[float]) -> Column:

@@ -54,8 +54,9 @@ def rank_within(
 
 
 def score_rank(scores: DataFrame, score: str = "ranker_score", rank: str = "rank_by_date", **kw) -> DataFrame:
-    """Rank by descending score inside each date; equal scores go by ticker."""
-    return rank_within(scores, ["date"], [-F.col(score), F.col("ticker")], rank, **kw)
+    """Rank by descending score inside each date; equal scores go by ticker, rows without a score (null or NaN) last."""
+    value = F.nanvl(F.col(score).cast("double"), F.lit(None).cast("double"))
+    return rank_within(scores, ["date"], [value.isNull(), -value, F.col("ticker")], rank, **kw)
 
 
 def top_n(df: DataFrame, n: int | Column, by: list[str], order: list[Column], rank: str = "rank_by_date") -> DataFrame:

@@ -55,11 +55,3 @@ def pick(big: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """Rows of a large table that a few keys ask for. With few keys the table is filtered where it lies, by a
     broadcast; with many the semi-join shuffles."""
     return big.join(small_side(keys.select(*on).distinct()), on, "left_semi")
-
-
-def bounded_rows(df: DataFrame, max_rows: int = SMALL_ROWS) -> list:
-    """Rows of a table whose size must be bounded (calendar, parameters); fails loudly when it is not."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"expected at most {max_rows} rows")
-    return rows

@@ -143,12 +143,14 @@ def event_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+PERIODS = 40  # of the vectors: a calendar does not grow with the number of keys
+
+
 def latents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors with a period and an outcome; the newest period's outcome is not known yet."""
     e = load(spark, sf_dir, "embeddings")
-    period = F.floor(F.col("vec_id") / 50).cast("bigint")
-    last = e.select(F.max(F.floor(F.col("vec_id") / 50)).cast("bigint")).scalar()
-    outcome = F.when(period < last, F.col("label") - 4.5)
+    period = F.pmod(F.col("vec_id"), F.lit(PERIODS)).cast("bigint")
+    outcome = F.when(period < PERIODS - 1, F.col("label") - 4.5)
     return e.select(
         F.col("vec_id").cast("bigint").alias("ticker"),
         period.alias("date"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from panelweave.functions import scalars as S
 from panelweave.functions.feature_names import check_no_leak, feature_columns, numbered_columns
 from panelweave.functions.rolling import Rolling
-from panelweave.operators import book as B, construct as C, features as feats, medians, perf, ranks, shape
+from panelweave.operators import book as B, compare as Q, construct as C, features as feats, medians, perf, ranks, shape
 
 MONTHS = [d.date() for d in pd.date_range("2020-01-31", periods=14, freq="ME")]
 
@@ -252,3 +252,36 @@ def test_vol_target_looks_back_only(spark):
     df = rows(spark, [(1, MONTHS[i], v) for i, v in enumerate(r)], "series_id int, date date, ret double")
     got = column(C.vol_target(df), "exposure")
     assert got[:6] == [1.0] * 6 and got[6] == pytest.approx(0.15 / (np.std(r[:6], ddof=1) * 12**0.5))
+
+
+def test_scores_that_are_missing_rank_last(spark):
+    data = [(MONTHS[0], "A", None), (MONTHS[0], "B", float("nan")), (MONTHS[0], "C", -1.0), (MONTHS[0], "D", 2.0)]
+    out = ranks.score_rank(rows(spark, data, "date date, ticker string, ranker_score double"))
+    assert {r.ticker: r.rank_by_date for r in out.collect()} == {"D": 1, "C": 2, "A": 3, "B": 4}
+
+
+def test_dates_without_an_exposure_stay_invested(spark):
+    book = rows(spark, [(MONTHS[0], "A", 1.0), (MONTHS[1], "A", 1.0)], "date date, ticker string, weight double")
+    exposures = rows(spark, [(MONTHS[0], "trend", 0.4)], "date date, hedge string, exposure double")
+    out = {(r.date, r.hedge): r.weight for r in C.hedged(book, exposures).collect()}
+    assert len(out) == 2 * len(C.HEDGES)
+    assert out.pop((MONTHS[0], "trend")) == 0.4 and set(out.values()) == {1.0}
+
+
+def test_indicators_of_many_values(spark):
+    df = rows(spark, [(i, f"v{i}") for i in range(1200)] + [(5000, None)], "id long, industry string")
+    wide = feats.indicator_columns(df, ["industry"], {"industry": ["v1", "v2"]})
+    assert wide.columns == ["id", "industry", "industry_v1", "industry_v2"]
+    assert {r.id for r in wide.collect() if r.industry_v2} == {2}
+    long = feats.indicator_rows(df, ["id"], ["industry"])
+    assert long.count() == 1200 and long.filter("id = 7").first().indicator == "industry_v7"
+    assert len(feats.indicator_columns(df.limit(3), ["industry"]).columns) == 5
+
+
+def test_price_spans_cover_common_dates_only(spark):
+    schema = "ticker string, date date, price double"
+    a = rows(spark, [("A", MONTHS[0], 1.0), ("A", MONTHS[1], 2.0), ("B", MONTHS[0], 1.0), ("A", MONTHS[2], 4.0)], schema)
+    b = rows(spark, [("A", MONTHS[1], 3.0), ("B", MONTHS[1], 1.0), ("A", MONTHS[2], 4.0), ("A", MONTHS[5], 9.0)], schema)
+    got = {r.ticker: r for r in Q.price_diff(a, b).collect()}
+    assert (got["A"].a_first_date, got["A"].b_last_date, got["A"].overlap_count) == (MONTHS[1], MONTHS[2], 2)
+    assert (got["B"].overlap_count, got["B"].a_first_date, got["B"].b_last_date) == (0, None, None)

@@ -10,8 +10,8 @@ from panelweave.catalog import QUERIES
 from panelweave.plans.grid import variants
 from panelweave.plans.staging import new_path, pick, small_side
 from panelweave.sources import adapters as A, ledgers as L, schemas, tables as T
-from panelweave.streaming.period_close import closed_days
-from panelweave.streaming.valuation import last_quotes, merge_quotes, run_valuation
+from panelweave.streaming.period_close import close_months, closed_days
+from panelweave.streaming.valuation import all_quotes, day_snapshots, last_quotes, merge_quotes, run_valuation
 
 D = dt.date
 
@@ -106,13 +106,39 @@ def test_closed_days_equal_batch(spark):
     assert closed_days(A.tick_stream(spark, SMALL)).isStreaming
 
 
-def test_quotes_are_the_same_after_a_replay(spark):
-    holdings = A.event_book(spark, SMALL)
-    path = new_path(spark, "quotes")
-    run_valuation(A.tick_stream(spark, SMALL), holdings, path, new_path(spark, "check"))
-    once = sorted(map(tuple, spark.read.parquet(path).select("day", "ticker", "current_price").collect()))
-    run_valuation(A.tick_stream(spark, SMALL), holdings, path, new_path(spark, "check"))  # a lost checkpoint
-    twice = sorted(map(tuple, spark.read.parquet(path).select("day", "ticker", "current_price").collect()))
-    assert once == twice and len(once) > 0
+def _split_stream(spark):
+    """The quotes in several files, one for each micro-batch."""
+    folder = new_path(spark, "split-events")
+    spark.read.parquet(f"{SMALL}/events.parquet").repartition(4, "event_id").write.parquet(folder)
+    return A.ticks(spark.readStream.schema(schemas.EVENTS).option("maxFilesPerTrigger", 1).parquet(folder))
+
+
+def test_quotes_are_the_same_after_a_replay_of_several_batches(spark):
+    path, want = new_path(spark, "quotes"), None
+    for _ in range(2):  # the second time the checkpoint is lost and every batch comes again
+        run_valuation(_split_stream(spark), path, new_path(spark, "check"))
+        assert spark.read.parquet(path).select("batch_id").distinct().count() >= 3
+        got = sorted(map(tuple, all_quotes(spark, path).select("day", "ticker", "current_price").collect()))
+        assert want in (None, got) and got
+        want = got
+    whole = last_quotes(A.quote_ticks(spark, SMALL)).select("day", "ticker", "current_price").collect()
+    assert sorted(map(tuple, whole)) == want
     q = last_quotes(A.quote_ticks(spark, SMALL))
-    assert merge_quotes(q, q).count() == q.count()
+    assert merge_quotes(q.unionByName(q)).count() == q.count()
+
+
+def test_snapshots_keep_cash(spark):
+    q = spark.createDataFrame([(D(2020, 1, 1), "A", 10.0), (D(2020, 1, 2), "A", 12.0)], "day date, ticker string, current_price double")
+    book = spark.createDataFrame([("A", 2.0), ("CASH", 100.0), ("B", 1.0)], "ticker string, shares double")
+    got = {r.day: r for r in day_snapshots(q, book).collect()}
+    first, second = got[D(2020, 1, 1)], got[D(2020, 1, 2)]
+    assert (first.current_value, first.cash_value, first.missing_quote_count) == (120.0, 100.0, 1)
+    assert (second.current_value, second.previous_close_value, second.day_pnl) == (124.0, 120.0, 4.0)
+
+
+def test_months_of_closed_days(spark):
+    days = spark.createDataFrame(
+        [(D(2020, 1, 5), "A", 1.0), (D(2020, 1, 30), "A", 2.0), (D(2020, 2, 3), "A", 3.0)], "date date, series string, price double"
+    )
+    got = {(r.date, r.price) for r in close_months(days).collect()}
+    assert got == {(D(2020, 1, 31), 2.0), (D(2020, 2, 29), 3.0)}
