@@ -9,8 +9,13 @@ exact Jaccard on full sets decides.
   ``size - required + 1`` values of a sketch, by their count over all texts, need a list (prefix principle). Passages
   and lines that many texts share drop out of the lists without being capped.
 * In every list the texts first meet one centre per size band: the one whose values are the most common, which in a
-  group of variants is their source. Texts joined that way are never paired with each other. Only pairs from
-  different components are then looked at, all of them.
+  group of variants is their source. Texts joined that way are never paired with each other.
+* Two texts near one centre are compared by what sets them apart from it. If they are linked, then either both are linked
+  with the centre, and so connected, or they share such differences: at least half of those of the one, when the other is
+  not linked with the centre. So the rarer half of the differences needs lists, and in a group of variants those are
+  mostly each text's own. Nothing is paired because it resembles the centre.
+* By the triangle inequality a text well inside a centre's reach has no partner outside it. What is left, texts that are
+  near no centre of their list, is paired within the list, all of it.
 """
 
 from __future__ import annotations
@@ -30,6 +35,8 @@ PERCENT = 85
 K = 64
 REQUIRED = 0.56  # share of a sketch; 36 of 64 when 54 are expected at the threshold
 ESTIMATE = 0.56
+CENTRE_ESTIMATE = 0.25
+NEAR_PERCENT = 57  # similarity to a centre from which differences are compared
 
 
 def sketches(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:
@@ -71,39 +78,75 @@ def full_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return columns(docs, doc_id="bigint", text="string").mapInArrow(run, "doc_id bigint, shingles binary")
 
 
-def _similar_size(a: Column, b: Column, percent: int) -> Column:
-    return (F.least(a, b) * 100) >= (F.greatest(a, b) * percent)
-
-
-def estimated(pairs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
-    """Pairs whose similarity, estimated on the sketch of the union, is not far below the threshold."""
+def estimated(pairs: DataFrame, reps: DataFrame, k: int, least: float) -> DataFrame:
+    """Pairs whose similarity, estimated on the sketch of the union, is not far below the one sought."""
     side = lambda name: reps.select(F.col("rep").alias(name), F.col("sketch").alias(f"s_{name}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     union = F.slice(F.sort_array(F.array_union("s_a", "s_b")), 1, k)
     return both.filter(
-        F.size(F.array_intersect(union, F.array_intersect("s_a", "s_b"))) >= F.size(union) * F.lit(ESTIMATE)
+        F.size(F.array_intersect(union, F.array_intersect("s_a", "s_b"))) >= F.size(union) * F.lit(least)
     ).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= percent * union, counted on the full sets."""
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    side = lambda name: sets.select(F.col("doc_id").alias(name), F.col("shingles").alias(f"s{name}"))
+    return pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb")
+
+
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Batches with (set of a, set of b) of every row; equal neighbours share the set of a."""
+    last, known = None, None
+    for batch in batches:
+        rows = []
+        for a, sa, sb in zip(batch.column("a").to_pylist(), batch.column("sa"), batch.column("sb"), strict=True):
+            if a != last:
+                last, known = a, np.frombuffer(sa.as_buffer(), np.int64)
+            rows.append((known, np.frombuffer(sb.as_buffer(), np.int64)))
+        yield batch, rows
+
+
+def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, shared, na, nb): sizes of the full sets of each pair and of their intersection."""
+
+    def shared(x: np.ndarray, y: np.ndarray) -> int:
+        small, large = sorted((x, y), key=len)
+        at = np.searchsorted(large, small)
+        return int((large[np.minimum(at, len(large) - 1)] == small).sum()) if len(large) else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, known = None, None
-        for batch in batches:
-            keep = []
-            for a, sa, sb in zip(batch.column("a").to_pylist(), batch.column("sa"), batch.column("sb"), strict=True):
-                if a != last:
-                    last, known = a, np.frombuffer(sa.as_buffer(), np.int64)
-                other = np.frombuffer(sb.as_buffer(), np.int64)
-                small, large = sorted((known, other), key=len)
-                at = np.searchsorted(large, small)
-                shared = int((large[np.minimum(at, len(large) - 1)] == small).sum()) if len(large) else 0
-                keep.append(shared > 0 and 100 * shared >= percent * (len(known) + len(other) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for batch, rows in _decoded(batches):
+            counts = [[shared(x, y) for x, y in rows], [len(x) for x, _ in rows], [len(y) for _, y in rows]]
+            yield pa.record_batch(
+                [batch.column("a"), batch.column("b"), *[pa.array(c, pa.int64()) for c in counts]],
+                names=["a", "b", "shared", "na", "nb"],
+            )
 
-    side = lambda name: sets.select(F.col("doc_id").alias(name), F.col("shingles").alias(f"s{name}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+    return _with_sets(pairs, sets).mapInArrow(run, "a bigint, b bigint, shared bigint, na bigint, nb bigint")
+
+
+def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, e): the shingles that are in one set of the pair only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, rows in _decoded(batches):
+            apart = [np.setxor1d(x, y, assume_unique=True) for x, y in rows]
+            ends = np.cumsum([0, *map(len, apart)]).astype(np.int32)
+            values = pa.array(np.concatenate(apart) if apart else np.zeros(0, np.int64), pa.int64())
+            yield pa.record_batch(
+                [batch.column("a"), batch.column("b"), pa.ListArray.from_arrays(pa.array(ends), values)], names=["a", "b", "e"]
+            )
+
+    made = _with_sets(pairs, sets).mapInArrow(run, "a bigint, b bigint, e array<bigint>")
+    return made.select("a", "b", F.explode("e").alias("e"))
+
+
+def _at_least(percent: int) -> Column:
+    return F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * percent
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) with 100 * intersection >= percent * union, counted on the full sets."""
+    return measured(pairs, sets).filter(_at_least(percent)).select("a", "b")
 
 
 def inverted_lists(reps: DataFrame, k: int, percent: int) -> DataFrame:
@@ -132,39 +175,80 @@ def inverted_lists(reps: DataFrame, k: int, percent: int) -> DataFrame:
     return stage(lists.join(several, "v"), "lists")
 
 
-def _to_centres(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a: centre, b: member) of one list, in the member's own size band or the one below."""
+def with_centres(lists: DataFrame) -> DataFrame:
+    """(v, level, rep, own, centre): every entry under the centre of its own size band and, for pairs with a text of the band
+    below, under that band's."""
     centre = (
         lists.groupBy("v", "band")
-        .agg(F.max(F.struct("weight", (-F.col("rep")).alias("r"), F.col("n").alias("an"))).alias("c"))
-        .select("v", "band", (-F.col("c.r")).alias("a"), F.col("c.an").alias("an"))
+        .agg(F.max(F.struct("weight", (-F.col("rep")).alias("r"))).alias("c"))
+        .select("v", F.col("band").alias("level"), (-F.col("c.r")).alias("centre"))
     )
-    reach = centre.unionAll(centre.withColumn("band", F.col("band") + 1))
-    return (
-        lists.join(reach, ["v", "band"])
-        .filter(F.col("a") != F.col("rep"))
-        .filter(_similar_size(F.col("an"), F.col("n"), percent))
-        .select("a", F.col("rep").alias("b"))
-        .distinct()
+    entries = lists.select("v", F.col("band").alias("level"), "rep", F.lit(True).alias("own")).unionAll(
+        lists.select("v", (F.col("band") - 1).alias("level"), "rep", F.lit(False).alias("own"))
     )
+    return entries.join(centre, ["v", "level"])
+
 
+def by_differences(near: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs that may be linked among the texts near one centre, for centres whose texts are not yet connected.
 
-def _between(lists: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """All pairs of one list whose ends are not known to be connected."""
-    placed = lists.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
-        "v", "rep", "n", "band", F.coalesce("component", "rep").alias("comp")
+    ``near`` has (a: centre, b: member, shared, na, nb). With r = (100 - percent) / (100 + percent), x and y are linked if
+    |x differs from y| <= r (|x| + |y|); so x, not linked with the centre c, and y share at least
+    (|dy| + r (|c| - |y|)) / 2 of y's differences dy from c."""
+    comp = lambda key, name: comps.select(F.col("node").alias(key), F.col("component").alias(name))
+    placed = (
+        near.join(comp("b", "cb"), "b", "left")
+        .join(comp("a", "ca"), "a", "left")
+        .withColumn("cb", F.coalesce("cb", "b"))
+        .withColumn("ca", F.coalesce("ca", "a"))
+    )
+    mixed = (
+        placed.groupBy("a")
+        .agg(F.min("cb").alias("lo"), F.max("cb").alias("hi"), F.min("ca").alias("ca"))
+        .filter((F.col("lo") != F.col("hi")) | (F.col("lo") != F.col("ca")))
+        .select("a")
     )
-    placed = stage(placed, "placed")
-    mixed = placed.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("v")
-    left = placed.join(mixed, "v")
-    right = left.select("v", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"), "band")
-    right = right.unionAll(right.withColumn("band", F.col("band") + 1))
-    pairs = (
-        left.join(right, ["v", "band"])
-        .filter((F.col("comp") != F.col("bc")) & (F.col("rep") != F.col("b")))
-        .filter(_similar_size(F.col("n"), F.col("bn"), percent))
+    members = stage(
+        placed.join(mixed, "a").select(
+            "a", "b", "na", "nb", F.col("cb").alias("comp"), _at_least(percent).alias("linked")
+        ),
+        "members",
     )
-    return pairs.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
+    apart = stage(differences(members, sets), "apart")
+    counted = apart.join(apart.groupBy("a", "e").agg(F.count("*").alias("df")), ["a", "e"])
+    ordered = counted.groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("by_df"))
+    share = (100 - percent) / (100 + percent)
+    needed = F.ceil((F.size("by_df") + share * (F.col("na") - F.col("nb"))) / 2 - 1e-9)
+    both = stage(ordered.join(members, ["a", "b"]), "ordered")
+    rare = both.select(
+        "a",
+        F.col("b").alias("y"),
+        F.col("comp").alias("cy"),
+        F.explode(F.slice("by_df", F.lit(1), F.greatest(F.size("by_df") - F.greatest(needed, F.lit(1)) + 1, F.lit(0)).cast("int"))).alias("d"),
+    )
+    full = both.filter("NOT linked").select("a", F.col("b").alias("x"), F.col("comp").alias("cx"), F.explode("by_df").alias("d"))
+    several = lambda df, *c: df.filter("d.df > 1").select("a", F.col("d.e").alias("e"), *c)
+    met = several(rare, "y", "cy").join(several(full, "x", "cx"), ["a", "e"]).filter("x <> y AND cx <> cy")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def within_lists(entries: DataFrame, near: DataFrame, comps: DataFrame, inner: int) -> DataFrame:
+    """Pairs of one list that no centre accounts for: one text near no centre, the other not well inside one's reach."""
+    grade = near.select(
+        F.col("a").alias("centre"), F.col("b").alias("rep"), F.when(_at_least(inner), 2).otherwise(1).alias("grade")
+    )
+    placed = stage(
+        entries.filter(F.col("centre") != F.col("rep"))
+        .join(grade, ["centre", "rep"], "left")
+        .filter(F.coalesce("grade", F.lit(0)) < 2)
+        .join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        .select("v", "level", "rep", "own", F.col("grade").isNull().alias("far"), F.coalesce("component", "rep").alias("comp")),
+        "placed",
+    )
+    far = placed.filter("far").select("v", "level", "rep", "own", "comp")
+    other = placed.select("v", "level", F.col("rep").alias("b"), F.col("own").alias("o"), F.col("comp").alias("cb"))
+    met = far.join(other, ["v", "level"]).filter("rep <> b AND comp <> cb AND (own OR o)")
+    return met.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, k: int = K) -> DataFrame:
@@ -195,9 +279,15 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     wanted = lists.select(F.col("rep").alias("doc_id")).distinct()
     sets = stage(full_sets(columns(docs, doc_id="bigint", text="string").join(wanted, "doc_id", "left_semi"), width), "sets")
 
-    first = stage(confirmed(estimated(_to_centres(lists, percent), reps, k), sets, percent).unionAll(tied), "links")
+    entries = stage(with_centres(lists), "entries")
+    stars = entries.filter(F.col("centre") != F.col("rep")).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    near = stage(measured(estimated(stars, reps, k, CENTRE_ESTIMATE), sets).filter(_at_least(NEAR_PERCENT)), "near")
+    first = stage(near.filter(_at_least(percent)).select("a", "b").unionAll(tied), "links")
     found = components(first)
-    second = stage(confirmed(estimated(_between(lists, found, percent), reps, k), sets, percent), "links")
+    left = by_differences(near, found, sets, percent).unionAll(
+        within_lists(entries, near, found, NEAR_PERCENT + 100 - percent)
+    )
+    second = stage(confirmed(estimated(left.distinct(), reps, k, ESTIMATE), sets, percent), "links")
     final = components(first.unionAll(second))
 
     ids = member.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
