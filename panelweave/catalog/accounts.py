@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import month_end
 from ..operators import book as B, compare as Q, cross
 from ..operators.construct import CASH
-from ..plans.staging import small_side, stage
+from ..plans.staging import stage
 from ..sources import adapters as A, ledgers as L
 from . import fixtures as X
 from .baskets import EVAL, final_portfolio_of, period_evaluation_of
@@ -52,7 +52,6 @@ def _prices(spark, sf):
     return stage(X.grid(spark, sf), "grid")
 
 
-
 def _final(spark, sf):
     return stage(final_portfolio_of(spark, sf), "portfolio")
 
@@ -184,7 +183,7 @@ SELECT *, day_return - bench_day_return AS excess_day_return, day_pnl - previous
 def live_valuation(spark, sf):
     prices, _, marked = _marked(spark, sf)
     snap = B.value_snapshot(B.value_positions(marked, _quotes(prices)))
-    b = small_side(X.bench(spark, sf))
+    b = X.bench(spark, sf)
     before = month_end(F.add_months(F.lit(VALUED), -1))
     with_bench = snap.withColumn(
         "bench_current_price", b.filter(F.col("date") == VALUED).select("price").scalar()
@@ -229,7 +228,7 @@ total_value/{START} - 1 - (b.price/(SELECT price FROM a) - 1) AS excess_cum_retu
     "current_value bench_current_price bench_equivalent_value bench_cum_return excess_cum_return excess_cum_pnl", 4,
 )
 def inception_benchmark(spark, sf):
-    b = small_side(X.bench(spark, sf))
+    b = X.bench(spark, sf)
     anchor = B.inception_anchor(b, OPENED, START)
     values = _value_history(spark, sf).withColumnRenamed("total_value", "current_value")
     snaps = values.join(
@@ -248,7 +247,7 @@ FROM t ASOF LEFT JOIN bench b ON t.valuation_date >= b.date""",
 )
 def buy_and_hold_benchmark(spark, sf):
     values = _value_history(spark, sf).withColumn("total_return", F.col("total_value") / START - 1.0)
-    return B.buy_and_hold(values, small_side(X.bench(spark, sf)), START)
+    return B.buy_and_hold(values, X.bench(spark, sf), START)
 
 
 # two signals of the newest date: 6-month and 12-month momentum

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import construct as C, extras, perf
 from ..plans import grid as G
-from ..plans.staging import small_side, stage
+from ..plans.staging import stage
 from ..sources import adapters as A
 from . import fixtures as X
 from .registry import query
@@ -77,7 +77,7 @@ def _series(spark, sf):
     read = X.sums(spark, sf)
     net = perf.net_returns(stage(_held(spark, sf, read), "held"))
     return net.select(F.lit(1).alias("series_id"), "date", F.col("net_return").alias("ret")).join(
-        small_side(_bench_returns(spark, sf, read)), "date", "left"
+        _bench_returns(spark, sf, read), "date", "left"
     )
 
 
@@ -329,7 +329,7 @@ def variant_comparison(spark, sf):
     books, f = _variant_books(spark, sf, read)
     held = stage(perf.attach_returns(books, f), "held")
     net = stage(perf.net_returns(held, by=["variant"]), "net")
-    bench = _bench_returns(spark, sf, read).join(small_side(net.select("date").distinct()), "date", "left_semi")
+    bench = _bench_returns(spark, sf, read).join(net.select("date").distinct(), "date", "left_semi")
     return perf.compare_variants(net, bench, 5)
 
 

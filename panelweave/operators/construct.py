@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.rolling import Rolling
 from ..functions.scalars import clip, holds, positive, ratio
-from ..plans.staging import small_side
 from .ranks import top_n
 
 CASH = "CASH"
@@ -109,7 +108,7 @@ def regime_status(
 
 def apply_regime(portfolio: DataFrame, regime: DataFrame) -> DataFrame:
     """Scale stocks down where the regime is off and hold the rest as a CASH row; weights sum to one again."""
-    joined = portfolio.join(small_side(regime), "date", "left")
+    joined = portfolio.join(regime, "date", "left")
     cash_share = F.when(holds(F.col("risk_on")), 0.0).otherwise(F.col("cash_weight_when_off"))
     with_share = joined.withColumn("_cash", F.coalesce(cash_share, F.lit(0.0)))
     stocks = with_share.withColumn("_w", F.col("final_weight_before_regime") * (1.0 - F.col("_cash")))

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import NumericType
 
 from ..functions.scalars import ratio
-from ..plans.staging import small_side
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -141,7 +140,7 @@ def market_state(features: DataFrame) -> DataFrame:
         F.avg("vol_12m").alias("avg_vol_12m"),
         F.avg("stock_drawdown").alias("avg_drawdown"),
     )
-    return state.join(small_side(dispersion), "date", "left")
+    return state.join(dispersion, "date", "left")
 
 
 def marginals(results: DataFrame, dimensions: list[str]) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.rolling import Rolling
 from ..functions.scalars import holds, positive, ratio
-from ..plans.staging import small_side
 from .ranks import rank_within, top_n
 
 
@@ -15,7 +14,7 @@ def sector_scores(df: DataFrame, columns: list[str], by: str = "sector") -> Data
     stats = df.groupBy("date", by).agg(
         *[F.avg(c).alias(f"_m_{c}") for c in columns], *[F.stddev_samp(c).alias(f"_s_{c}") for c in columns]
     )
-    out = df.join(small_side(stats), ["date", by], "left")
+    out = df.join(stats, ["date", by], "left")
     for c in columns:
         gap = F.col(c) - F.col(f"_m_{c}")
         out = out.withColumn(f"{c}_minus_{by}", gap).withColumn(f"{c}_{by}_z", ratio(gap, positive(f"_s_{c}")))
@@ -81,7 +80,7 @@ def leadership(df: DataFrame, windows: tuple[int, ...] = (1, 3, 6, 12)) -> DataF
         means = df.groupBy("date", level).agg(*[F.avg(f"ret_{n}m").alias(f"{level}_ret_{n}m") for n in windows])
         w = Window.partitionBy("date").orderBy(F.col(f"{level}_ret_{windows[-1]}m").desc_nulls_last(), level)
         means = means.withColumn(f"{level}_rank_by_date", F.row_number().over(w).cast("bigint"))
-        out = out.join(small_side(means), ["date", level], "left")
+        out = out.join(means, ["date", level], "left")
         for n in windows:
             out = out.withColumn(f"{level}_minus_bench_{n}m", F.col(f"{level}_ret_{n}m") - F.col(f"bench_ret_{n}m"))
             out = out.withColumn(f"stock_minus_{level}_{n}m", F.col(f"ret_{n}m") - F.col(f"{level}_ret_{n}m"))

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.rolling import Rolling
 from ..functions.scalars import clip, holds, positive, ratio
-from ..plans.staging import small_side
 from .shape import asof_join, bounded_fill
 
 RETURN_WINDOWS = (1, 3, 6, 12)
@@ -58,7 +57,7 @@ def benchmark_features(bench: DataFrame) -> DataFrame:
 
 def with_benchmark(features: DataFrame, bench: DataFrame) -> DataFrame:
     """Benchmark features by date, and the label: an unknown excess return counts as not outperforming."""
-    out = features.join(small_side(benchmark_features(bench)), "date", "left")
+    out = features.join(benchmark_features(bench), "date", "left")
     excess = F.col("future_1m_return") - F.col("future_1m_bench_return")
     return out.withColumn("future_1m_excess_return", excess).withColumn(
         "target_outperform_1m", holds(excess > 0).cast("double")
@@ -69,7 +68,7 @@ def group_means(df: DataFrame, by: list[str], columns: list[str], prefix: str) -
     """Mean of each column per group, joined back. Groups are averaged with map-side combine, so a sector that
     holds most of a date is no hot task; the means are broadcast once their number is known to be small."""
     means = df.groupBy(*by).agg(*[F.avg(c).alias(f"{prefix}_{c}") for c in columns])
-    return df.join(small_side(means), by, "left")
+    return df.join(means, by, "left")
 
 
 def sector_features(df: DataFrame) -> DataFrame:
@@ -178,7 +177,7 @@ def market_features(
 ) -> DataFrame:
     """Beta and correlation to the benchmark's (date, bench_dret), and the volatility of what beta leaves over."""
     t = Rolling()
-    df = bars.join(small_side(bench_returns), "date", "left")
+    df = bars.join(bench_returns, "date", "left")
     with_beta = df.withColumn("_beta", ratio(t.cov("dret", "bench_dret", year), t.var("bench_dret", year)))
     with_resid = with_beta.withColumn("_resid", F.col("dret") - F.col("_beta") * F.col("bench_dret"))
     return with_resid.select(

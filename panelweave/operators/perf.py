@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.rolling import Rolling
 from ..functions.scalars import holds, positive, ratio
-from ..plans.staging import pick, small_side
+from ..plans.staging import pick
 from .construct import CASH
 
 MONTHS = 12
@@ -46,7 +46,7 @@ def drifted(held: DataFrame, by: list[str] = [], weight: str = "weight") -> Data
     keys = [*by, "date"]
     r = F.coalesce("ret", F.lit(0.0))
     gross = held.groupBy(*keys).agg(F.sum(F.col(weight) * r).alias("_gross"))
-    per_date = small_side(gross.join(_next_dates(held, by), keys))
+    per_date = gross.join(_next_dates(held, by), keys)
     return (
         held.join(per_date, keys)
         .filter(F.col("next_date").isNotNull())
@@ -162,7 +162,7 @@ def fold_dispersion(folds: DataFrame, by: list[str]) -> DataFrame:
 
 def compare_variants(net: DataFrame, bench: DataFrame, k: int, by: str = "variant") -> DataFrame:
     """Statistics, mean turnover, yearly cost and fold dispersion per variant, and a row for the benchmark."""
-    series = net.select(by, "date", F.col("net_return").alias("ret")).join(small_side(bench), "date", "left")
+    series = net.select(by, "date", F.col("net_return").alias("ret")).join(bench, "date", "left")
     own = bench.select(F.lit("buy_and_hold").alias(by), "date", F.col("bench_ret").alias("ret")).withColumn(
         "bench_ret", F.lit(None).cast("double")
     )
@@ -198,14 +198,14 @@ def evaluate_periods(signals: DataFrame, prices: DataFrame, bench: DataFrame) ->
 
     # date-level tables: one row per calendar date
     lead = Window.orderBy("date")
-    calendar = small_side(prices.select("date").distinct()).select(
+    calendar = prices.select("date").distinct().select(
         "date",
         F.lit(1).alias("_k"),
         F.col("date").alias("signal_price_date"),
         F.lead("date").over(lead).alias("evaluation_date"),
     )
     asked = signals.select(F.col("signal_date").alias("date")).distinct().withColumn("_k", F.lit(1))
-    span = small_side(
+    span = (
         asof_join(asked, calendar, ["_k"])
         .select(F.col("date").alias("signal_date"), "signal_price_date", "evaluation_date")
         .filter(F.col("evaluation_date").isNotNull())
@@ -229,8 +229,9 @@ def evaluate_periods(signals: DataFrame, prices: DataFrame, bench: DataFrame) ->
     )
     b0 = bench.select(F.col("date").alias("signal_price_date"), F.col("price").alias("_b0"))
     b1 = bench.select(F.col("date").alias("evaluation_date"), F.col("price").alias("_b1"))
-    bench_span = small_side(
-        span.join(b0, "signal_price_date", "left").join(b1, "evaluation_date", "left")
+    bench_span = (
+        span.join(b0, "signal_price_date", "left")
+        .join(b1, "evaluation_date", "left")
         .select("signal_date", (ratio("_b1", positive("_b0")) - 1.0).alias("bench_return"))
     )
     stock = F.col("ticker") != CASH

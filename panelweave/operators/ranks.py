@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..plans.staging import small_side, stage
+from ..plans.staging import stage
 
 TASK_ROWS = 2_000_000
 
@@ -31,7 +31,7 @@ def rank_within(
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
     largest = sizes.agg(F.max("_size")).first()[0] or 0
     if size:
-        rows = rows.join(small_side(sizes.withColumnRenamed("_size", size)), by)
+        rows = rows.join(sizes.withColumnRenamed("_size", size), by)
     if largest <= task_rows:
         w = Window.partitionBy(*by).orderBy("_key")
         return rows.withColumn(rank, F.row_number().over(w).cast("bigint")).drop("_key")
@@ -39,7 +39,7 @@ def rank_within(
     # about one boundary per half task; the hash of the unique key spreads them over the order
     spread = F.pmod(F.xxhash64(*by, "_key"), F.lit(max(task_rows // 2, 1))) == 0
     bounds = rows.filter(spread).groupBy(*by).agg(F.array_sort(F.collect_list("_key")).alias("_bounds"))
-    ranged = rows.join(small_side(bounds), by, "left").withColumn(
+    ranged = rows.join(bounds, by, "left").withColumn(
         "_range", F.coalesce(F.size(F.filter("_bounds", lambda b: b <= F.col("_key"))), F.lit(0))
     ).drop("_bounds")
     counts = ranged.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
@@ -47,7 +47,7 @@ def rank_within(
     shift = counts.select(*by, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
     w = Window.partitionBy(*by, "_range").orderBy("_key")
     return (
-        ranged.join(small_side(shift), [*by, "_range"])
+        ranged.join(shift, [*by, "_range"])
         .withColumn(rank, (F.row_number().over(w) + F.col("_shift")).cast("bigint"))
         .drop("_key", "_range", "_shift")
     )

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.rolling import Rolling
 from ..functions.scalars import as_col, month_end as month_end_of, ratio
-from ..plans.staging import small_side
 
 
 def month_end(df: DataFrame, key: str = "ticker", date: str = "date", value: str = "price") -> DataFrame:
@@ -185,7 +184,7 @@ def change_over_rows(grid: DataFrame, steps: tuple[int, ...] = (1, 21, 252), val
 
 def join_by_date(panel: DataFrame, dated: DataFrame, how: str = "left") -> DataFrame:
     """Date-level values onto a panel. The dated side is one row per date; it is broadcast only once counted."""
-    return panel.join(small_side(dated), "date", how)
+    return panel.join(dated, "date", how)
 
 
 def at_least(c: Column | str, floor: float) -> Column:

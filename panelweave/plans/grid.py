@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..operators import perf
 from ..operators.construct import hedged, inverse_vol
 from ..operators.ranks import top_n
-from .staging import small_side, stage
+from .staging import stage
 
 DIMENSIONS = ["orig_feats", "orig_topn", "neigh_dim", "neigh_topn", "blend", "hedge"]
 
@@ -69,15 +69,13 @@ def books(variant_table: DataFrame, sleeve_table: DataFrame) -> DataFrame:
     """(variant, date, ticker, weight): sleeves weighted, summed per ticker and renormalised.
 
     A variant takes at most two sleeves; only dates on which every branch has a sleeve are kept."""
-    v = small_side(variant_table)
+    v = variant_table
     s = sleeve_table.withColumn("top_n", F.col("top_n").cast("string"))
     legs = v.select("variant", F.col("orig_feats").alias("branch"), F.col("orig_topn").alias("top_n"), F.col("w_orig").alias("w")).unionByName(
         v.select("variant", F.col("neigh_dim").alias("branch"), F.col("neigh_topn").alias("top_n"), F.col("w_neigh").alias("w"))
     ).filter(F.col("w") > 0)
     n_branches = s.select(F.countDistinct("branch")).scalar()
-    common = small_side(
-        s.groupBy("date").agg(F.countDistinct("branch").alias("_n")).filter(F.col("_n") == n_branches).select("date")
-    )
+    common = s.groupBy("date").agg(F.countDistinct("branch").alias("_n")).filter(F.col("_n") == n_branches).select("date")
     joined = s.join(common, "date", "left_semi").join(legs, ["branch", "top_n"])
     summed = joined.groupBy("variant", "date", "ticker").agg(F.sum(F.col("weight") * F.col("w")).alias("_w"))
     total = F.sum("_w").over(Window.partitionBy("variant", "date"))
@@ -93,8 +91,8 @@ def run_grid(
     held = stage(perf.attach_returns(held, realized), "grid-books")
     by = ["variant", "hedge"]
     net = perf.net_returns(held, cost_rate, by).select(*by, "date", F.col("net_return").alias("ret"))
-    net = stage(net.join(small_side(bench), "date", "left"), "grid-returns")
+    net = stage(net.join(bench, "date", "left"), "grid-returns")
     stats = perf.summarize(net, by, bench="bench_ret")
     folds = perf.fold_dispersion(perf.by_fold(net, n_folds, by), by)
-    names = small_side(variant_table.select("variant", *DIMENSIONS[:5]))
+    names = variant_table.select("variant", *DIMENSIONS[:5])
     return stats.join(folds, by).join(names, "variant")

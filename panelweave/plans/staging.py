@@ -1,9 +1,8 @@
-"""Where a plan is cut: staged tables in the shared folder, and small sides of a checked size.
+"""Where a plan is cut: staged tables in the shared folder.
 
 ``stage`` writes a frame that several branches of a plan read, so that the expensive part runs once, and
-an executor loss costs a re-read instead of a recomputation. ``small_side`` fetches a keyed table only when
-it is proven to be small; the planner then sees its true size and may broadcast it. Above the bound the
-frame comes back untouched and the join shuffles.
+an executor loss costs a re-read instead of a recomputation. How a join runs is left to adaptive execution, which
+knows the bytes of both sides.
 """
 
 from __future__ import annotations
@@ -13,8 +12,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-SMALL_ROWS = 100_000
-
 _local_roots: dict[str, str] = {}
 
 
@@ -43,15 +40,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """``df`` as a local relation when it has at most ``max_rows`` rows, else ``df`` itself."""
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
-        return df
-    return df.sparkSession.createDataFrame(rows, schema=df.schema)
-
-
 def pick(big: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """Rows of a large table that a few keys ask for. With few keys the table is filtered where it lies, by a
-    broadcast; with many the semi-join shuffles."""
-    return big.join(small_side(keys.select(*on).distinct()), on, "left_semi")
+    """Rows of a large table that some keys ask for. Spark measures the keys when it has them: a few are sent to where the
+    table lies, many are shuffled."""
+    return big.join(keys.select(*on).distinct(), on, "left_semi")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from conftest import SMALL
 from panelweave.catalog import QUERIES
 from panelweave.plans.grid import variants
-from panelweave.plans.staging import new_path, pick, small_side
+from panelweave.plans.staging import new_path, pick
 from panelweave.sources import adapters as A, ledgers as L, schemas, tables as T
 from panelweave.streaming.period_close import close_months, closed_days
 from panelweave.streaming.valuation import all_quotes, day_snapshots, last_quotes, merge_quotes, run_valuation
@@ -78,10 +78,8 @@ def test_latest_and_pending(spark):
     assert sorted(r.day for r in L.pending(df.select("day"), df.filter("day = 2").select("day"), "day").collect()) == [1, 3]
 
 
-def test_small_side_only_when_small(spark):
+def test_pick_takes_the_rows_that_are_asked_for(spark):
     df = spark.range(100).filter("id >= 0")
-    assert "LocalRelation" in small_side(df)._jdf.queryExecution().optimizedPlan().toString()
-    assert "LocalRelation" not in small_side(df, 99)._jdf.queryExecution().optimizedPlan().toString()
     assert pick(df, spark.range(5), ["id"]).count() == 5
 
 
