@@ -20,19 +20,23 @@ from .text import Remembered, columns
 
 CAPACITY = 4096
 KNOWN_WORDS = 500_000  # words whose ids a worker remembers, in each of two generations
+MARKS = ".,;:!?|$&%*#"
+TOGETHER = 256
 SLICE = 1 << 20  # characters that are split into words at a time
 
 _GAPS = re.compile(r"[ \t\n\r\x0b\x0c]+")
 _SPACED = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
 _ODD_GAPS = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+_RUNS = [c + " " for c in " \t\n\r\x0b\x0c"]
 _encoders: dict[tuple, "WordIds"] = {}
 
 
 class WordIds:
     """Token ids of whole texts, by way of the ids of their words.
 
-    ``spaced``: the vocabulary keeps white space, so a word is taken with the gap before it; else gaps are dropped. Both
-    are exact for vocabularies whose rules never join characters across a gap."""
+    ``spaced``: the vocabulary keeps white space, so a word is taken with the space before it, where all spaces are single,
+    and with the whole gap before it elsewhere; else gaps are dropped. Both are exact for vocabularies whose rules never
+    join characters across a gap."""
 
     def __init__(self, path: str, spaced: bool, kind: str):
         import os
@@ -42,6 +46,10 @@ class WordIds:
 
         self.tokenizer, self.spaced, self.kind = Tokenizer.from_file(path), spaced, np.dtype(kind)
         self.known = Remembered(self._solve, KNOWN_WORDS)
+        self.cores: dict[str, bytes] = {}
+        self.rests: dict[str, bytes] = {}
+        tokens = (self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size()))
+        self.edge = np.array([t.startswith("Ġ") if spaced else t.endswith("</w>") for t in tokens])
 
     @classmethod
     def of(cls, path: str, spaced: bool, kind: str) -> "WordIds":
@@ -50,13 +58,66 @@ class WordIds:
             _encoders[key] = cls(*key)
         return _encoders[key]
 
-    def _solve(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        batch = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, self.kind).tobytes() for e in batch]
+
+    def _letters(self, cores: list[str]) -> Iterator[bytes]:
+        """Ids of words of letters only, encoded many at a time: each has exactly one token that begins (or ends) a word."""
+        texts = [("" if self.spaced else " ").join(cores[i : i + TOGETHER]) for i in range(0, len(cores), TOGETHER)]
+        for i, e in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            own = cores[i * TOGETHER : (i + 1) * TOGETHER]
+            ids = np.array(e.ids, self.kind)
+            cuts = np.flatnonzero(self.edge[ids]) + (0 if self.spaced else 1)
+            if len(cuts) != len(own):  # a letter that the vocabulary's own rules take apart
+                yield from self._encoded(own)
+                continue
+            ends = [*cuts[1:].tolist(), len(ids)] if self.spaced else cuts.tolist()
+            raw, at, step = ids.tobytes(), 0, self.kind.itemsize
+            for end in ends:
+                yield raw[at * step : end * step]
+                at = end
+
+    def _parts(self, word: str) -> list[tuple[bool, str]]:
+        """(letters only, text) parts of a word that the vocabulary's own rules take apart, marks and line ends."""
+        lines = word.split("\n") if self.spaced else [word]
+        if len(lines) > 1 and lines != word.split():
+            return [(False, " " + word)]
+        out = []
+        for i, line in enumerate(lines):
+            core = line.rstrip(MARKS)
+            lead = " " if self.spaced and not i else ""
+            if i:
+                out.append((False, "\n"))
+            if core.isalpha() and (core.isascii() or core.lower().isalpha()):
+                whole = core.lower() if core.isascii() and not self.spaced else lead + core
+                out.append((not self.spaced or bool(lead), whole))
+                if len(core) < len(line):
+                    out.append((False, line[len(core) :]))
+            elif lead + line:
+                out.append((False, lead + line))
+        return out
+
+    def _kept(self, cache: dict[str, bytes], wanted: set[str], encode) -> dict[str, bytes]:
+        new = list(wanted.difference(cache))
+        if len(cache) + len(new) > KNOWN_WORDS:
+            cache = {k: cache[k] for k in wanted if k in cache}
+        cache.update(zip(new, encode(new), strict=True))
+        return cache
 
-    def words(self, text: str) -> list[str]:
-        if self.spaced:
-            return _SPACED.findall(text)
-        return _GAPS.split(text) if _ODD_GAPS.search(text) else text.split()
+    def _solve(self, words: list[str]) -> list[bytes]:
+        parts = [self._parts(w) for w in words]
+        self.cores = self._kept(self.cores, {t for p in parts for plain, t in p if plain}, self._letters)
+        self.rests = self._kept(self.rests, {t for p in parts for plain, t in p if not plain}, self._encoded)
+        return [b"".join([(self.cores if plain else self.rests)[t] for plain, t in p]) for p in parts]
+
+    def _slice(self, text: str) -> bytes:
+        if not self.spaced:
+            return self.known.joined(_GAPS.split(text) if _ODD_GAPS.search(text) else text.split())
+        if text.endswith(" ") or any(two in text for two in _RUNS) or _ODD_GAPS.search(text):
+            return b"".join(self._encoded(_SPACED.findall(text)))
+        first, *words = text.split(" ")
+        return (self._encoded([first])[0] if first else b"") + self.known.joined(words)
 
     def ids(self, text: str) -> bytes:
         """Little-endian ids, one after the other."""
@@ -66,8 +127,7 @@ class WordIds:
             if end < len(text):  # a slice ends before a gap
                 gap = _GAPS.search(text, end)
                 end = gap.start() if gap else len(text)
-            words = self.words(text[at:end])
-            out.append(self.known.joined(words))
+            out.append(self._slice(text[at:end]))
             at = end
         return b"".join(out)
 
