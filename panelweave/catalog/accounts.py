@@ -257,12 +257,14 @@ sd AS (SELECT coalesce(a.ticker, b.ticker) AS ticker, coalesce(a.w, 0) AS a_weig
 sdf AS (SELECT *, a_weight > 0 AS in_a, b_weight > 0 AS in_b, a_weight > 0 AND b_weight > 0 AS in_both, b_weight - a_weight AS weight_diff, abs(b_weight - a_weight) AS abs_weight_diff FROM sd)"""
 
 
-def _two_signals(spark, sf):
+def _two_signals(spark, sf, more=()):
     f = stage(X.feat(spark, sf), "features")
     sides = []
     for score in ("ret_6m", "ret_12m"):
         book = stage(X.book(f, score, 20), "book")
-        sides.append(L.latest_partition(book, "date").select("ticker", F.col("weight").alias("final_weight")))
+        newest = L.latest_partition(book, "date").withColumn("model_name", F.lit(score))
+        named = [F.col(c).alias({"date": "signal_date"}.get(c, c)) for c in more]
+        sides.append(newest.select("ticker", F.col("weight").alias("final_weight"), *named))
     return sides
 
 
@@ -282,6 +284,21 @@ def signal_diff_summary(spark, sf):
     return Q.signal_diff_summary(Q.signal_diff(*_two_signals(spark, sf)))
 
 
+_IN = "string_agg(ticker, ', ' ORDER BY ticker) FILTER"
+_TOP = "(SELECT string_agg(ticker, ', ' ORDER BY r) FROM (SELECT ticker, row_number() OVER (ORDER BY w DESC, ticker) AS r FROM {0} QUALIFY r <= 10))"
+
+
+@query(
+    "signal_lists",
+    f"""WITH {SIGNALS} SELECT (SELECT max(date) FROM sa) AS a_signal_date, (SELECT max(date) FROM sb) AS b_signal_date, 'ret_6m' AS a_model_name, 'ret_12m' AS b_model_name,
+coalesce({_IN} (in_both), '') AS overlap_tickers, coalesce({_IN} (in_a AND NOT in_b), '') AS only_a_tickers, coalesce({_IN} (in_b AND NOT in_a), '') AS only_b_tickers,
+{_TOP.format('a')} AS a_top_tickers, {_TOP.format('b')} AS b_top_tickers FROM sdf""",
+)
+def signal_lists(spark, sf):
+    """Dates, models and tickers of the two signals that ``signal_diff_summary`` counts."""
+    return Q.signal_lists(*_two_signals(spark, sf, ("date", "model_name")))
+
+
 @query(
     "branch_overlap",
     f"""WITH {SIGNALS}, m AS (SELECT ticker, CASE WHEN in_both THEN 'overlap' WHEN in_a THEN 'only_a' ELSE 'only_b' END AS membership FROM sdf)

@@ -137,6 +137,32 @@ def signal_diff_summary(diff: DataFrame) -> DataFrame:
     )
 
 
+def signal_lists(a: DataFrame, b: DataFrame, top: int = 10) -> DataFrame:
+    """One row: date and model of both signals, tickers in both, in one only, and each side's ``top`` by weight. A signal
+    names one portfolio, so its tickers fit a list."""
+    cols = ["ticker", "final_weight", "signal_date", "model_name"]
+    both = a.select(F.lit("a").alias("_s"), *cols).unionByName(b.select(F.lit("b").alias("_s"), *cols))
+    here = {s: F.col("_s") == s for s in "ab"}
+    stock = F.col("ticker") != CASH
+    row = both.agg(
+        *[F.max(F.when(here[s], F.col("signal_date"))).alias(f"{s}_signal_date") for s in "ab"],
+        *[F.min(F.when(here[s], F.col("model_name"))).alias(f"{s}_model_name") for s in "ab"],
+        *[F.collect_set(F.when(here[s] & stock, F.col("ticker"))).alias(f"_{s}") for s in "ab"],
+        *[F.collect_list(F.when(here[s] & stock, F.struct((-F.col("final_weight")).alias("w"), "ticker"))).alias(f"_{s}_w") for s in "ab"],
+    )
+    text = lambda array: F.array_join(F.array_sort(array), ", ")
+    return row.select(
+        *[f"{s}_{c}" for c in ("signal_date", "model_name") for s in "ab"],
+        text(F.array_intersect("_a", "_b")).alias("overlap_tickers"),
+        text(F.array_except("_a", "_b")).alias("only_a_tickers"),
+        text(F.array_except("_b", "_a")).alias("only_b_tickers"),
+        *[
+            F.array_join(F.transform(F.slice(F.sort_array(f"_{s}_w"), 1, top), lambda x: x["ticker"]), ", ").alias(f"{s}_top_tickers")
+            for s in "ab"
+        ],
+    )
+
+
 def freshness(tables: dict[str, DataFrame], as_of: dt.date, max_age_days: int = 45) -> DataFrame:
     """Which tables lag behind: base and neighbors against prices, signals against neighbors and prices.
 

@@ -7,6 +7,8 @@ knows the bytes of both sides.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -25,6 +27,7 @@ def shared_root(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _local_roots:
         _local_roots[app] = tempfile.mkdtemp(prefix="panelweave-")
+        atexit.register(shutil.rmtree, _local_roots[app], ignore_errors=True)  # made here, gone with the process
     return _local_roots[app]
 
 

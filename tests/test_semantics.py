@@ -254,6 +254,26 @@ def test_vol_target_looks_back_only(spark):
     assert got[:6] == [1.0] * 6 and got[6] == pytest.approx(0.15 / (np.std(r[:6], ddof=1) * 12**0.5))
 
 
+def test_no_snapshot_without_any_quote(spark):
+    schema = "ticker string, shares double, current_price double, previous_close double, quote_status string"
+    held = rows(spark, [("A", 2.0, None, None, None), ("CASH", 5.0, 1.0, 1.0, "cash")], schema)
+    quotes = held.select("ticker", "current_price", "previous_close", "quote_status")
+    detail = B.value_positions(held.select("ticker", "shares"), quotes)
+    assert B.value_snapshot(detail).count() == 0
+    cash_only = detail.filter("ticker = 'CASH'")
+    assert B.value_snapshot(cash_only).first().current_value == 5.0
+    priced = B.value_positions(held.select("ticker", "shares"), quotes.na.fill({"current_price": 3.0}))
+    assert B.value_snapshot(priced).first().current_value == 11.0
+
+
+def test_signal_lists(spark):
+    schema = "ticker string, final_weight double, signal_date date, model_name string"
+    a = rows(spark, [("A", 0.2, MONTHS[0], "m"), ("B", 0.7, MONTHS[0], "m"), ("CASH", 0.1, MONTHS[0], "m")], schema)
+    b = rows(spark, [("B", 0.5, MONTHS[1], "n"), ("C", 0.5, MONTHS[1], "n")], schema)
+    got = Q.signal_lists(a, b, top=1).first()
+    assert tuple(got) == (MONTHS[0], MONTHS[1], "m", "n", "B", "A", "C", "B", "B")
+
+
 def test_scores_that_are_missing_rank_last(spark):
     data = [(MONTHS[0], "A", None), (MONTHS[0], "B", float("nan")), (MONTHS[0], "C", -1.0), (MONTHS[0], "D", 2.0)]
     out = ranks.score_rank(rows(spark, data, "date date, ticker string, ranker_score double"))
