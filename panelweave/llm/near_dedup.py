@@ -220,15 +220,25 @@ def by_differences(near: DataFrame, comps: DataFrame, sets: DataFrame, percent:
     share = (100 - percent) / (100 + percent)
     needed = F.ceil((F.size("by_df") + share * (F.col("na") - F.col("nb"))) / 2 - 1e-9)
     both = stage(ordered.join(members, ["a", "b"]), "ordered")
+    size = F.size("by_df")
+    taken = F.greatest(size - F.greatest(needed, F.lit(1)) + 1, F.lit(0)).cast("int")
     rare = both.select(
-        "a",
-        F.col("b").alias("y"),
-        F.col("comp").alias("cy"),
-        F.explode(F.slice("by_df", F.lit(1), F.greatest(F.size("by_df") - F.greatest(needed, F.lit(1)) + 1, F.lit(0)).cast("int"))).alias("d"),
-    )
-    full = both.filter("NOT linked").select("a", F.col("b").alias("x"), F.col("comp").alias("cx"), F.explode("by_df").alias("d"))
+        "a", F.col("b").alias("y"), F.col("comp").alias("cy"), F.col("nb").alias("ny"), F.col("linked").alias("ly"),
+        size.alias("sy"), F.posexplode(F.slice("by_df", F.lit(1), taken)).alias("iy", "d"),
+    )
+    full = both.filter("NOT linked").select(
+        "a", F.col("b").alias("x"), F.col("comp").alias("cx"), F.col("nb").alias("nx"),
+        size.alias("sx"), F.posexplode("by_df").alias("ix", "d"),
+    )
     several = lambda df, *c: df.filter("d.df > 1").select("a", F.col("d.e").alias("e"), *c)
-    met = several(rare, "y", "cy").join(several(full, "x", "cx"), ["a", "e"]).filter("x <> y AND cx <> cy")
+    # what the pair has to share; from the rarest shared difference on, both must have that many
+    share_xy = F.ceil((F.col("sx") + F.col("sy") - share * (F.col("nx") + F.col("ny"))) / 2 - 1e-9)
+    met = (
+        several(rare, "y", "cy", "ny", "ly", "sy", "iy")
+        .join(several(full, "x", "cx", "nx", "sx", "ix"), ["a", "e"])
+        .filter("x <> y AND cx <> cy AND (ly OR y < x)")
+        .filter((F.col("sy") - F.col("iy") >= share_xy) & (F.col("sx") - F.col("ix") >= share_xy))
+    )
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
