@@ -22,6 +22,7 @@ CAPACITY = 4096
 KNOWN_WORDS = 500_000  # words whose ids a worker remembers, in each of two generations
 MARKS = ".,;:!?|$&%*#"
 TOGETHER = 256
+GROUP = 1 << 16  # characters of short texts that are encoded together
 SLICE = 1 << 20  # characters that are split into words at a time
 
 _GAPS = re.compile(r"[ \t\n\r\x0b\x0c]+")
@@ -31,11 +32,16 @@ _RUNS = [c + " " for c in " \t\n\r\x0b\x0c"]
 _encoders: dict[tuple, "WordIds"] = {}
 
 
+def _odd(text: str) -> bool:
+    """Whether the text has gaps that only some readers take for one."""
+    return any(c in text for c in "\x1c\x1d\x1e\x1f") or not text.isascii() and _ODD_GAPS.search(text) is not None
+
+
 class WordIds:
     """Token ids of whole texts, by way of the ids of their words.
 
     ``spaced``: the vocabulary keeps white space, so a word is taken with the space before it, where all spaces are single,
-    and with the whole gap before it elsewhere; else gaps are dropped. Both are exact for vocabularies whose rules never
+    and with the whole gap before it elsewhere; else gaps and case are dropped. Both are exact for vocabularies whose rules never
     join characters across a gap."""
 
     def __init__(self, path: str, spaced: bool, kind: str):
@@ -78,24 +84,27 @@ class WordIds:
                 yield raw[at * step : end * step]
                 at = end
 
-    def _parts(self, word: str) -> list[tuple[bool, str]]:
-        """(letters only, text) parts of a word that the vocabulary's own rules take apart, marks and line ends."""
-        lines = word.split("\n") if self.spaced else [word]
-        if len(lines) > 1 and lines != word.split():
+    def _parts(self, word: str, lead: str = "") -> list[tuple[bool, str]]:
+        """(letters only, text) parts of a word that the vocabulary's own rules take apart: letters and the marks behind."""
+        core = word.rstrip(MARKS)
+        if core.isalpha() and (core.isascii() or core.lower().isalpha()):
+            out = [(True, core.lower() if core.isascii() and not self.spaced else lead + core)]
+            if len(core) < len(word):
+                out.append((False, word[len(core) :]))
+            return out
+        return [(False, lead + word)]
+
+    def _spaced_parts(self, word: str) -> list[tuple[bool, str]]:
+        """The same for a word with a space before it, in which lines may end."""
+        first, *lines = word.split("\n")
+        if not lines:
+            return self._parts(word, " ")
+        if [first, *lines] != word.split():
             return [(False, " " + word)]
-        out = []
-        for i, line in enumerate(lines):
-            core = line.rstrip(MARKS)
-            lead = " " if self.spaced and not i else ""
-            if i:
-                out.append((False, "\n"))
-            if core.isalpha() and (core.isascii() or core.lower().isalpha()):
-                whole = core.lower() if core.isascii() and not self.spaced else lead + core
-                out.append((not self.spaced or bool(lead), whole))
-                if len(core) < len(line):
-                    out.append((False, line[len(core) :]))
-            elif lead + line:
-                out.append((False, lead + line))
+        out = self._parts(first, " ")
+        for line in lines:
+            out.append((False, "\n"))
+            out += [(False, text) for _, text in self._parts(line)]
         return out
 
     def _kept(self, cache: dict[str, bytes], wanted: set[str], encode) -> dict[str, bytes]:
@@ -106,31 +115,67 @@ class WordIds:
         return cache
 
     def _solve(self, words: list[str]) -> list[bytes]:
-        parts = [self._parts(w) for w in words]
-        self.cores = self._kept(self.cores, {t for p in parts for plain, t in p if plain}, self._letters)
-        self.rests = self._kept(self.rests, {t for p in parts for plain, t in p if not plain}, self._encoded)
-        return [b"".join([(self.cores if plain else self.rests)[t] for plain, t in p]) for p in parts]
-
-    def _slice(self, text: str) -> bytes:
+        split = self._spaced_parts if self.spaced else self._parts
+        lead = " " if self.spaced else ""
+        # most words are plain letters; only the others are taken apart
+        plain = [lead + w if w.isascii() and w.isalpha() else None for w in words]
         if not self.spaced:
-            return self.known.joined(_GAPS.split(text) if _ODD_GAPS.search(text) else text.split())
-        if text.endswith(" ") or any(two in text for two in _RUNS) or _ODD_GAPS.search(text):
-            return b"".join(self._encoded(_SPACED.findall(text)))
-        first, *words = text.split(" ")
-        return (self._encoded([first])[0] if first else b"") + self.known.joined(words)
+            plain = [w and w.lower() for w in plain]
+        parts = [None if p else split(w) for p, w in zip(plain, words, strict=True)]
+        rest = [part for found in parts if found for part in found]
+        self.cores = self._kept(self.cores, {*filter(None, plain), *(t for letters, t in rest if letters)}, self._letters)
+        self.rests = self._kept(self.rests, {t for letters, t in rest if not letters}, self._encoded)
+        cores, rests = self.cores, self.rests
+        return [
+            cores[p] if p else b"".join([(cores if letters else rests)[t] for letters, t in found])
+            for p, found in zip(plain, parts, strict=True)
+        ]
+
+    def _words(self, text: str) -> list[str]:
+        if _odd(text):
+            return _GAPS.split(text)
+        return text.lower().split() if text.isascii() else text.split()
+
+    def _all(self, texts: list[str]) -> list[bytes]:
+        if not self.spaced:
+            return self.known.all_joined([self._words(t) for t in texts])
+        heads, words = [], []
+        for text in texts:
+            if text.endswith(" ") or any(two in text for two in _RUNS) or _odd(text):
+                heads.append(b"".join(self._encoded(_SPACED.findall(text))))
+                words.append([])
+            else:
+                first, *rest = text.split(" ")
+                heads.append(self._encoded([first])[0] if first else b"")
+                words.append(rest)
+        return [h + w for h, w in zip(heads, self.known.all_joined(words), strict=True)]
 
     def ids(self, text: str) -> bytes:
-        """Little-endian ids, one after the other."""
+        """Little-endian ids, one after the other; a long text is taken in slices that end before a gap."""
         out, at = [], 0
         while at < len(text):
             end = at + SLICE
-            if end < len(text):  # a slice ends before a gap
+            if end < len(text):
                 gap = _GAPS.search(text, end)
                 end = gap.start() if gap else len(text)
-            out.append(self._slice(text[at:end]))
+            out += self._all([text[at:end]])
             at = end
         return b"".join(out)
 
+    def many(self, texts: Iterator[str]) -> Iterator[bytes]:
+        """The ids of every text, short ones together."""
+        some, size = [], 0
+        for text in texts:
+            if size + len(text) > GROUP:
+                yield from self._all(some)
+                some, size = [], 0
+            if len(text) > SLICE:
+                yield self.ids(text)
+            else:
+                some.append(text)
+                size += len(text)
+        yield from self._all(some)
+
 
 def pieces(
     docs: DataFrame, path: str, spaced: bool, end_id: int, capacity: int = CAPACITY, with_ids: bool = True, kind: str = "<u4"
@@ -144,8 +189,9 @@ def pieces(
         last, seen, step = np.array([end_id], kind).tobytes(), {}, np.dtype(kind).itemsize
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = encoder.ids(text.as_py() or "") + last
+            texts = (t.as_py() or "" for t in batch.column("text"))
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.many(texts), strict=True):
+                ids += last
                 for number, at in enumerate(range(0, len(ids), capacity * step)):
                     own = ids[at : at + capacity * step]
                     n = len(own) // step

@@ -35,17 +35,21 @@ class Remembered:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def joined(self, words: list[str]) -> bytes:
-        """The results of all words, one after the other. ``solve`` maps a list of new words to their results."""
-        missing = set(words).difference(self.young)
+    def all_joined(self, texts: list[list[str]]) -> list[bytes]:
+        """For every text the results of its words, one after the other. ``solve`` maps a list of new words to results."""
+        missing = set().union(*texts).difference(self.young)
         if missing:
             if len(self.young) + len(missing) > self.limit:
-                self.old, self.young, missing = self.young, {}, set(words)
+                self.old, self.young, missing = self.young, {}, set().union(*texts)
             young, old = self.young, self.old
             new = [w for w in missing if w not in old]
             young.update((w, old[w]) for w in missing if w in old)
             young.update(zip(new, self.solve(new), strict=True))
-        return b"".join(map(self.young.__getitem__, words))
+        get = self.young.__getitem__
+        return [b"".join(map(get, words)) for words in texts]
+
+    def joined(self, words: list[str]) -> bytes:
+        return self.all_joined([words])[0]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
