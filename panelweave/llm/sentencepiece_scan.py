@@ -47,6 +47,7 @@ class Codec:
         self.unknown = sp.unk_id()
         self.byte = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.longest = max(map(len, self.ids))
+        self.beginnings = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("pieces that run into the next word are not supported")
         self.bytes = [b""] * n
@@ -133,6 +134,7 @@ class Codec:
     def word(self, word: str) -> bytes:
         """The same for one word from its start, where every prefix has exactly one path."""
         n, ids, stable, joins, longest = len(word), self.ids, self.stable, self.joins, self.longest
+        beginnings = self.beginnings
         last: list[str | None] = ["", *[None] * n]
         origin = [0] * (n + 1)
         for i in range(n):
@@ -141,10 +143,10 @@ class Codec:
                 continue
             after = stable.setdefault(before, {})
             for j in range(i + 1, min(i + longest, n) + 1):
-                if last[j] is not None:
-                    continue
                 piece = word[i:j]
-                if piece in ids or j == i + 1:
+                if piece not in beginnings and j > i + 1:
+                    break
+                if last[j] is None and (piece in ids or j == i + 1):
                     ok = after.get(piece)
                     if ok is None:
                         ok = joins(before, piece)
