@@ -25,7 +25,7 @@ from .text import Remembered, columns
 VOCABULARY = "piece_bpe_32k.model"
 CHUNK = 1 << 16  # characters
 BLOCK = 256  # chunks whose matrices are multiplied together
-KNOWN_WORDS = 700_000  # in each of two generations
+KNOWN_WORDS = 400_000  # in each of two generations
 KNOWN_PAIRS = 20_000  # after one piece
 SPACE = "▁"
 
