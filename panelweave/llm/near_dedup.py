@@ -14,8 +14,9 @@ exact Jaccard on full sets decides.
   with the centre, and so connected, or they share such differences: at least half of those of the one, when the other is
   not linked with the centre. So the rarer half of the differences needs lists, and in a group of variants those are
   mostly each text's own. Nothing is paired because it resembles the centre.
-* By the triangle inequality a text well inside a centre's reach has no partner outside it. What is left, texts that are
-  near no centre of their list, is paired within the list, all of it.
+* By the triangle inequality a text well inside a centre's reach has no partner outside it. What is left are texts near no
+  centre of their list: in short lists they are paired, and those of longer lists are joined by the rarest shingles of
+  their whole sets.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ K = 64
 REQUIRED = 0.56  # share of a sketch; 36 of 64 when 54 are expected at the threshold
 ESTIMATE = 0.56
 CENTRE_ESTIMATE = 0.25
+SHORT_LIST = 16  # entries that are paired with each other
 NEAR_PERCENT = 57  # similarity to a centre from which differences are compared
 
 
@@ -176,15 +178,15 @@ def inverted_lists(reps: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def with_centres(lists: DataFrame) -> DataFrame:
-    """(v, level, rep, own, centre): every entry under the centre of its own size band and, for pairs with a text of the band
+    """(v, level, rep, n, own, centre): every entry under the centre of its own size band and, for pairs with a text of the band
     below, under that band's."""
     centre = (
         lists.groupBy("v", "band")
         .agg(F.max(F.struct("weight", (-F.col("rep")).alias("r"))).alias("c"))
         .select("v", F.col("band").alias("level"), (-F.col("c.r")).alias("centre"))
     )
-    entries = lists.select("v", F.col("band").alias("level"), "rep", F.lit(True).alias("own")).unionAll(
-        lists.select("v", (F.col("band") - 1).alias("level"), "rep", F.lit(False).alias("own"))
+    entries = lists.select("v", F.col("band").alias("level"), "rep", "n", F.lit(True).alias("own")).unionAll(
+        lists.select("v", (F.col("band") - 1).alias("level"), "rep", "n", F.lit(False).alias("own"))
     )
     return entries.join(centre, ["v", "level"])
 
@@ -242,8 +244,11 @@ def by_differences(near: DataFrame, comps: DataFrame, sets: DataFrame, percent:
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def within_lists(entries: DataFrame, near: DataFrame, comps: DataFrame, inner: int) -> DataFrame:
-    """Pairs of one list that no centre accounts for: one text near no centre, the other not well inside one's reach."""
+def within_lists(
+    entries: DataFrame, near: DataFrame, comps: DataFrame, sets: DataFrame, inner: int, percent: int
+) -> DataFrame:
+    """Pairs that no centre accounts for: one text near no centre of a list, the other not well inside one's reach. Short
+    lists are paired; the texts of longer ones, which share a passage that makes up much of each, go by their whole sets."""
     grade = near.select(
         F.col("a").alias("centre"), F.col("b").alias("rep"), F.when(_at_least(inner), 2).otherwise(1).alias("grade")
     )
@@ -252,13 +257,65 @@ def within_lists(entries: DataFrame, near: DataFrame, comps: DataFrame, inner: i
         .join(grade, ["centre", "rep"], "left")
         .filter(F.coalesce("grade", F.lit(0)) < 2)
         .join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        .select("v", "level", "rep", "own", F.col("grade").isNull().alias("far"), F.coalesce("component", "rep").alias("comp")),
+        .select("v", "level", "rep", "own", "n", F.col("grade").isNull().alias("far"), F.coalesce("component", "rep").alias("comp")),
         "placed",
     )
-    far = placed.filter("far").select("v", "level", "rep", "own", "comp")
-    other = placed.select("v", "level", F.col("rep").alias("b"), F.col("own").alias("o"), F.col("comp").alias("cb"))
-    met = far.join(other, ["v", "level"]).filter("rep <> b AND comp <> cb AND (own OR o)")
-    return met.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
+    size = placed.groupBy("v", "level").agg(F.count("*").alias("entries"), F.max("far").alias("any_far")).filter("any_far")
+    sized = placed.join(size, ["v", "level"])
+    short = sized.filter(F.col("entries") <= SHORT_LIST)
+    far = short.filter("far").select("v", "level", "rep", "own", "comp", "n")
+    other = short.select("v", "level", F.col("rep").alias("b"), F.col("own").alias("o"), F.col("comp").alias("cb"), F.col("n").alias("bn"))
+    met = (
+        far.join(other, ["v", "level"])
+        .filter("rep <> b AND comp <> cb AND (own OR o)")
+        .filter(F.least("n", "bn") * 100 >= F.greatest("n", "bn") * percent)
+    )
+    members = sized.filter(F.col("entries") > SHORT_LIST).groupBy("rep").agg(F.max("far").alias("far"), F.min("comp").alias("comp"))
+    return (
+        met.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"))
+        .unionAll(by_full_sets(stage(members, "members"), sets, percent))
+        .distinct()
+    )
+
+
+def by_full_sets(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of ``members`` (rep, far, comp) of which one is far and that may be linked, by the prefix principle on whole
+    sets: of two linked sets of sizes n and m, at least percent of the larger is shared, so a shingle among the rarest
+    n - percent of n + 1 of each is, and from the rarest one on both still have percent / (100 + percent) of n + m."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(b.as_buffer(), np.int64) for b in batch.column("shingles")]
+            ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
+            values = pa.array(np.concatenate(own) if own else np.zeros(0, np.int64), pa.int64())
+            yield pa.record_batch(
+                [batch.column("rep"), pa.array([len(o) for o in own], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values)],
+                names=["rep", "n", "e"],
+            )
+
+    held = members.select("rep").join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "shingles")
+    shingles = held.mapInArrow(run, "rep bigint, n bigint, e array<bigint>").select("rep", "n", F.explode("e").alias("e"))
+    shingles = stage(shingles, "shingles")
+    common = shingles.join(shingles.groupBy("e").agg(F.count("*").alias("df")).filter("df > 1"), "e")
+    ordered = common.groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("by_df"))
+    take = (F.size("by_df") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1).cast("int")
+    prefix = stage(
+        ordered.withColumn("take", take)
+        .filter("take > 0")
+        .join(members, "rep")
+        .select("rep", "n", "far", "comp", (F.col("n") - F.size("by_df")).alias("alone"), F.posexplode(F.slice("by_df", F.lit(1), F.col("take"))).alias("i", "d"))
+        .select("rep", "n", "far", "comp", (F.col("alone") + F.col("i")).alias("i"), "d.e"),
+        "prefix",
+    )
+    other = prefix.select("e", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("far").alias("bf"), F.col("comp").alias("cb"), F.col("i").alias("j"))
+    needed = F.ceil((F.col("n") + F.col("bn")) * percent / (100 + percent) - 1e-9)
+    met = (
+        prefix.join(other, "e")
+        .filter("rep < b AND comp <> cb AND (far OR bf)")
+        .filter((F.col("n") - F.col("i") >= needed) & (F.col("bn") - F.col("j") >= needed))
+        .filter(F.least("n", "bn") * 100 >= F.greatest("n", "bn") * percent)
+    )
+    return met.select(F.col("rep").alias("a"), "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, k: int = K) -> DataFrame:
@@ -295,7 +352,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     first = stage(near.filter(_at_least(percent)).select("a", "b").unionAll(tied), "links")
     found = components(first)
     left = by_differences(near, found, sets, percent).unionAll(
-        within_lists(entries, near, found, NEAR_PERCENT + 100 - percent)
+        within_lists(entries, near, found, sets, NEAR_PERCENT + 100 - percent, percent)
     )
     second = stage(confirmed(estimated(left.distinct(), reps, k, ESTIMATE), sets, percent), "links")
     final = components(first.unionAll(second))

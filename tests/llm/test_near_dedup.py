@@ -60,7 +60,7 @@ def fixture(seed):
         chain = [*chain[4:], *words(rng, 4)]
         texts.append(" ".join(chain))
     passage = words(rng, 60)
-    for _ in range(60):  # much in common, and yet not similar
+    for _ in range(90):  # much in common, and yet not similar
         texts.append(" ".join(words(rng, rng.randrange(5, 60)) + passage + words(rng, rng.randrange(5, 60))))
     for _ in range(40):
         texts.append(" ".join(words(rng, rng.randrange(1, 12), 4)))
