@@ -21,11 +21,14 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return quality_classifier.passing(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+NEAR_PERCENT = 80  # the rule for stages: five words, a similarity of 0.8 or more
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id. Of rows that repeat a doc_id one
+    """One document of each group of near-duplicates (0.8 or more on five words): the one with the smallest doc_id. Of rows that repeat a doc_id one
     stays; rows without doc_id stay."""
     ship(spark)
-    dropped = near_dedup.near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
+    dropped = near_dedup.near_duplicates(docs, percent=NEAR_PERCENT).filter("NOT kept").select("doc_id").distinct()
     left = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
     return left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id IS NULL"))
 

@@ -5,8 +5,8 @@ set). Inverted lists of the retained values propose pairs, the sketch of the uni
 exact Jaccard on full sets decides.
 
 * Equal sets are one class from the start: copies never meet in a list.
-* A pair at the threshold shares at least ``required`` retained values but for a chance of about 1e-9, so only the rarest
-  ``size - required + 1`` values of a sketch, by their count over all texts, need a list (prefix principle). Passages
+* A pair at the threshold shares at least ``required`` retained values but for a chance of at most ``MISSED``; the number
+  follows from the threshold (`least_shared`). So only the rarest ``size - required + 1`` values of a sketch, by their count over all texts, need a list (prefix principle). Passages
   and lines that many texts share drop out of the lists without being capped.
 * In every list the texts first meet one centre per size band: the one whose values are the most common, which in a
   group of variants is their source. Texts joined that way are never paired with each other.
@@ -22,6 +22,7 @@ exact Jaccard on full sets decides.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +35,24 @@ from .text import columns, digest, shingle_set
 WIDTH = 5
 PERCENT = 85
 K = 64
-REQUIRED = 0.56  # share of a sketch; 36 of 64 when 54 are expected at the threshold
-ESTIMATE = 0.56
+MISSED = 2e-9  # chance at most that a pair at the threshold shares too few values of a sketch
 CENTRE_ESTIMATE = 0.25
 SHORT_LIST = 16  # entries that are paired with each other
 NEAR_PERCENT = 57  # similarity to a centre from which differences are compared
 
 
+def least_shared(percent: int, k: int) -> int:
+    """Of the ``k`` values of a union's sketch, how many a pair of this similarity has in common but for a chance of ``MISSED``
+    (binomial, which is wider than drawing without replacement). 35 of 64 at 85, 30 at 80."""
+    tail, c = 0, 0
+    while c < k:
+        tail += comb(k, c) * percent**c * (100 - percent) ** (k - c)
+        if tail > MISSED * 100**k:
+            break
+        c += 1
+    return c
+
+
 def sketches(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:
     """(doc_id, n_shingles, set_key, sketch): size and digest of the whole set, and its ``k`` smallest hashes."""
 
@@ -155,7 +167,7 @@ def inverted_lists(reps: DataFrame, k: int, percent: int) -> DataFrame:
     """(v, rep, n, band, weight): the lists in which a text has to be looked for, without those that hold one text."""
     values = reps.select("rep", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
     common = values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
-    required = F.greatest(F.lit(1), F.floor(F.col("m") * REQUIRED))
+    required = F.greatest(F.lit(1), F.floor(F.col("m") * least_shared(percent, k) / k))
     ranked = (
         values.join(common, "v")
         .groupBy("rep", "n", "m")
@@ -354,7 +366,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     left = by_differences(near, found, sets, percent).unionAll(
         within_lists(entries, near, found, sets, NEAR_PERCENT + 100 - percent, percent)
     )
-    second = stage(confirmed(estimated(left.distinct(), reps, k, ESTIMATE), sets, percent), "links")
+    second = stage(confirmed(estimated(left.distinct(), reps, k, least_shared(percent, k) / k), sets, percent), "links")
     final = components(first.unionAll(second))
 
     ids = member.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select(

@@ -1,5 +1,7 @@
 """The pipeline stage by stage against plain Python, and the registered queries against their SQL."""
 
+import math
+import random
 import re
 import zlib
 
@@ -8,7 +10,7 @@ import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from panelweave.llm import quality_classifier, queries, secret_scan  # noqa: E402
+from panelweave.llm import near_dedup, quality_classifier, queries, secret_scan  # noqa: E402
 from test_near_dedup import brute_classes  # noqa: E402
 from test_text_rules import ASSIGN  # noqa: E402
 
@@ -75,3 +77,40 @@ def test_stages(spark):
     whole = corpus_pipeline.run(spark, SMALL)
     key = lambda r: (r.doc_id, r.piece, r.start, r.length, r.ids_crc32)
     assert sorted(map(key, whole.collect())) == sorted(map(key, packed))
+
+
+def near_pairs(seed):
+    """Texts of about 0.7 to 0.95 of each other, pair by pair."""
+    rng = random.Random(seed)
+    texts = []
+    for pair in range(60):
+        base = [f"p{pair}w{rng.randrange(5000)}" for _ in range(rng.randrange(60, 400))]
+        other = list(base)
+        cut = rng.randrange(1, 1 + len(base) // 6)
+        other[:cut] = [f"x{pair}y{i}" for i in range(cut)]
+        texts += [" ".join(base), " ".join(other)]
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_dedup_stage_joins_from_80(spark, rows, seed):
+    made = near_pairs(seed)
+    docs = rows("doc_id long, text string, n_chars long", [(i, t, len(t)) for i, t in made])
+    got = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SMALL).collect()}
+    kept = {p: {i for i, c in brute_classes(made, p).items() if c[2]} for p in (80, 85)}
+    assert got == kept[80] and len(kept[80]) < len(kept[85])
+
+
+def test_required_share_follows_the_threshold():
+    tail = lambda c, s: sum(math.comb(64, i) * s**i * (1 - s) ** (64 - i) for i in range(c))
+    for percent in (70, 80, 85, 95):
+        c = near_dedup.least_shared(percent, 64)
+        assert tail(c, percent / 100) <= near_dedup.MISSED < tail(c + 1, percent / 100)
+    assert near_dedup.least_shared(100, 64) == 64
+
+
+def test_near_dedup_stage_on_documents(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    got = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SMALL).collect()}
+    classes = brute_classes([(r.doc_id, r.text) for r in docs.collect()], 80)
+    assert got == {i for i, c in classes.items() if c[2]}
