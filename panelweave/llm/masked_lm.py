@@ -1,19 +1,27 @@
 """Masked pseudo-likelihood: a small network predicts every word from the words on both sides of it, and a document's score
 is the sum of the log-probabilities it gives to the document's own words.
 
-Words are counted over all documents; the most frequent ones are tokens of their own, the others share tokens by hash. The
-network (embeddings of the window, one hidden layer, a softmax in two steps: group, then token within the group) is
+Words are counted over all documents; the most frequent ones are tokens of their own, the others share tokens by hash and
+are told apart within theirs: the probability of such a word is that of its token, given by the network, times the word's
+share of all words of the token, taken from the counts. So every counted word has a probability of its own, they sum to
+one, and what is known of words grows with the corpus. The counts stay a table: the shares of the most frequent words are
+sent to the tasks, those of the others are joined to the words that ask for them.
+
+The network (embeddings of the window, one hidden layer, a softmax in two steps: group, then token within the group) is
 trained in numpy by tasks that each run through their part of the documents; after every round their weights are averaged
 by the number of tokens seen. Every document takes part in exactly one round."""
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.staging import stage
@@ -30,6 +38,8 @@ STEP_TOKENS = 8192
 RATE = 0.1
 PAD = TOKENS
 KNOWN_WORDS = 500_000
+SENT_WORDS = 60_000  # words whose shares are sent to the tasks, at most; the result does not depend on it
+SENT_CHARS = 64  # longer words are not sent
 
 SHAPES = {
     "e": (TOKENS + 1, EMBEDDED),
@@ -66,23 +76,33 @@ def initial(counts: np.ndarray) -> Weights:
     return w
 
 
+LEAF = np.dtype([("token", "<u2"), ("share", "<f8")])
+
+
 class Vocabulary:
-    """Word -> token, as two bytes each."""
+    """Word -> token and, for a word that shares its token, the log of its share of it: not a number where ``shares`` does
+    not hold the word, 0 for a word that has a token of its own."""
+
+    def __init__(self, words: list[str], shares: dict[str, float] | None = None):
+        shares = shares or {}
+        made = lambda token, share: np.array((token, share), LEAF).tobytes()
+        own = {w: made(i, 0.0) for i, w in enumerate(words)}
+        spare = TOKENS - HASHED
+        unsent = [made(spare + t, np.nan) for t in range(HASHED)]
 
-    def __init__(self, words: list[str]):
-        own = {w: i for i, w in enumerate(words)}
+        def one(w: str) -> bytes:
+            if w in own:
+                return own[w]
+            t = zlib.crc32(w.encode("utf-8", "surrogatepass")) % HASHED
+            return made(spare + t, shares[w]) if w in shares else unsent[t]
 
-        def solve(new: list[str]) -> list[bytes]:
-            spare = TOKENS - HASHED
-            return [
-                (own[w] if w in own else spare + zlib.crc32(w.encode("utf-8", "surrogatepass")) % HASHED).to_bytes(2, "little")
-                for w in new
-            ]
+        self.known = Remembered(lambda new: list(map(one, new)), KNOWN_WORDS)
 
-        self.known = Remembered(solve, KNOWN_WORDS)
+    def leaves(self, words: list[str]) -> np.ndarray:
+        return np.frombuffer(self.known.joined(words), LEAF)
 
     def tokens(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(self.known.joined(split(text)), "<u2").astype(np.int32)
+        return self.leaves(split(text))["token"].astype(np.int32)
 
 
 def split(text: str | None) -> list[str]:
@@ -223,19 +243,47 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[list[str], Weights]:
-    """(own words of the vocabulary, weights) from all of ``docs`` (text). Ties in frequency go by the word."""
+@dataclass(frozen=True)
+class Model:
+    """The network, and the shares of the words that share tokens: of the frequent ones here, of all in a table (word, share)."""
+
+    words: list[str]
+    weights: Weights
+    sent: dict[str, float]
+    shares: DataFrame
+
+
+def _frequent(rest: DataFrame) -> list:
+    """The rows of all words from some frequency on, at most SENT_WORDS; no sort of the words."""
+    short = rest.filter(F.char_length("word") <= SENT_CHARS)
+    step = F.floor(F.log2("n") * 8).cast("int")
+    sizes = short.groupBy(step.alias("s")).agg(F.count("*").alias("c")).collect()  # eight rows for each doubling
+    total, least = 0, None
+    for s, c in sorted(((r.s, r.c) for r in sizes), reverse=True):
+        total += c
+        if total > SENT_WORDS:
+            break
+        least = s
+    return [] if least is None else short.filter(step >= least).collect()
+
+
+def train(docs: DataFrame, rounds: int = ROUNDS) -> Model:
+    """From all of ``docs`` (text). Ties in frequency go by the word."""
     counts = stage(word_counts(docs), "words")
-    top = counts.orderBy(F.desc("n"), "word").limit(TOKENS - HASHED).collect()  # the vocabulary: a fixed number of rows
+    top = counts.orderBy(F.desc("n"), "word").limit(TOKENS - HASHED).collect()  # the tokens: a fixed number of rows
     words = [r.word for r in top]
-    bucket = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(HASHED)) + (TOKENS - HASHED)
-    rest = counts.join(docs.sparkSession.createDataFrame([(w,) for w in words], "word string"), "word", "left_anti")
-    shared = {r.t: r.n for r in rest.groupBy(bucket.alias("t")).agg(F.sum("n").alias("n")).collect()}  # HASHED rows
-    start = np.array([r.n for r in top] + [0] * (TOKENS - HASHED - len(top)) + [shared.get(t, 0) for t in range(TOKENS - HASHED, TOKENS)])
+    bucket = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(HASHED)).cast("int")
+    own = docs.sparkSession.createDataFrame([(w,) for w in words], "word string")
+    rest = counts.join(own, "word", "left_anti").withColumn("t", bucket)
+    shared = {r.t: r.n for r in rest.groupBy("t").agg(F.sum("n").alias("n")).collect()}  # HASHED rows
+    totals = [shared.get(t, 0) for t in range(HASHED)]
+    start = np.array([r.n for r in top] + [0] * (TOKENS - HASHED - len(top)) + totals)
     weights = initial(start.astype(float))
     for k in range(rounds):
         weights = _round(docs.filter(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k), words, weights)
-    return words, weights
+    sent = {r.word: math.log(r.n / totals[r.t]) for r in _frequent(rest)}
+    total = F.get(F.array(*[F.lit(float(n)) for n in totals]), F.col("t"))
+    return Model(words, weights, sent, rest.select("word", F.log(F.col("n") / total).alias("share")))
 
 
 def _round(docs: DataFrame, words: list[str], weights: Weights) -> Weights:
@@ -260,25 +308,55 @@ def _round(docs: DataFrame, words: list[str], weights: Weights) -> Weights:
     return unpack(flat)
 
 
+ASKED = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
+
+
 def scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_tokens, log_likelihood (the sum) and mean_log_likelihood (null without tokens) of every row.
 
     Null and blank texts have no token and a sum of 0. Null ids are kept; repeated rows train and score once each; other
     columns are ignored; an empty table gives an empty table."""
     clean = columns(docs, doc_id="bigint", text="string")
-    words, weights = train(clean, rounds)
+    model = train(clean, rounds)
+    words, weights, sent = model.words, model.weights, model.sent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(words)
+        vocabulary, row = Vocabulary(words, sent), TaskContext.get().partitionId() << 40
         for batch in batches:
-            texts = [vocabulary.tokens(t.as_py()) for t in batch.column("text")]
-            sums = score_texts(weights, texts)
-            means = [s / len(t) if len(t) else None for s, t in zip(sums.tolist(), texts, strict=True)]
+            tokens, shares, asked = [], [], []
+            for text in batch.column("text"):
+                own = split(text.as_py())
+                leaves = vocabulary.leaves(own)
+                unsent = np.isnan(leaves["share"])
+                tokens.append(leaves["token"].astype(np.int32))
+                shares.append(leaves["share"][~unsent].sum())
+                asked.append(list(Counter(own[i] for i in np.flatnonzero(unsent).tolist()).items()))
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(sums), pa.array(means, pa.float64())],
-                names=["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"],
+                [
+                    pa.array(np.arange(row, row + len(tokens), dtype=np.int64)),
+                    batch.column("doc_id"),
+                    pa.array([len(t) for t in tokens], pa.int64()),
+                    pa.array(score_texts(weights, tokens) + np.array(shares, float)),
+                    pa.array([[{"word": w, "n": n} for w, n in a] for a in asked], ASKED),
+                ],
+                names=["row", "doc_id", "n_tokens", "known", "asked"],
             )
+            row += len(tokens)
 
-    return clean.mapInArrow(
-        run, "doc_id bigint, n_tokens bigint, log_likelihood double, mean_log_likelihood double"
+    made = clean.mapInArrow(
+        run, "row bigint, doc_id bigint, n_tokens bigint, known double, asked array<struct<word: string, n: bigint>>"
+    )
+    made = stage(made, "scored")
+    asked = made.select("row", F.explode("asked").alias("q")).select("row", "q.word", "q.n")
+    rest = asked.join(model.shares, "word").groupBy("row").agg(F.sum(F.col("n") * F.col("share")).alias("rest"))
+    total = F.col("known") + F.coalesce("rest", F.lit(0.0))
+    return (
+        made.drop("asked")
+        .join(rest, "row", "left")
+        .select(
+            "doc_id",
+            "n_tokens",
+            total.alias("log_likelihood"),
+            F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_likelihood"),
+        )
     )

@@ -112,6 +112,23 @@ def test_order_is_learned(rows):
     assert masked_lm.scores(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sent", [0, masked_lm.SENT_WORDS])
+def test_words_that_share_a_token_are_told_apart(rows, monkeypatch, sent):
+    monkeypatch.setattr(masked_lm, "SENT_WORDS", sent)
+    own = [f"w{i}" for i in range(masked_lm.TOKENS - masked_lm.HASHED)]
+    token = lambda w: zlib.crc32(w.encode()) % masked_lm.HASHED
+    often, seldom = next((f"x{i}", f"x{j}") for j in range(2000) for i in range(j) if token(f"x{i}") == token(f"x{j}"))
+    line = " ".join(own)
+    data = [(i, line) for i in range(20)] + [(50 + i, often) for i in range(6)]
+    data += [(90, f"{line} {often} {line}"), (91, f"{line} {seldom} {line}")]
+    docs = rows("doc_id long, text string", data)
+    got = {r.doc_id: r for r in masked_lm.scores(docs).collect()}
+    assert len(got) == len(data) and got[90].n_tokens == got[91].n_tokens == 2 * len(own) + 1
+    assert got[90].log_likelihood - got[91].log_likelihood == pytest.approx(np.log(7 / 1), abs=1e-2)
+    shares = [r.share for r in masked_lm.train(docs).shares.collect()]
+    assert len(shares) == 2 and np.exp(shares).sum() == pytest.approx(1)
+
+
 def brute_nearest(data, every, top):
     clean = {}
     for i, v in data:
