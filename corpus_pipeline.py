@@ -10,9 +10,9 @@ from panelweave.session import ship
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the line-first rules, as they are."""
+    """Documents that pass the line-first rules, without the lines that fail them."""
     ship(spark)
-    return quality_rules.passing(docs)
+    return quality_rules.cleaned(docs)
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

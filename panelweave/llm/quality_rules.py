@@ -126,6 +126,16 @@ def passing(docs: DataFrame) -> DataFrame:
     return judged(text).filter("q.kept").select("row.*")
 
 
+def cleaned(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that pass, without the lines that fail or repeat an earlier one, and n_chars (if there) counted
+    anew; other columns as they are."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = judged(packed.withColumn("text", F.col("row.text"))).filter("q.kept")
+    kind, clean = dict(docs.dtypes), F.col("q.clean_text")
+    new = {"text": clean} | ({"n_chars": F.char_length(clean).cast(kind["n_chars"])} if "n_chars" in kind else {})
+    return kept.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
 # The same rules for DuckDB. A line keeps its text; hashes are not needed there.
 REPORT_SQL = rf"""
 WITH t AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),

@@ -114,3 +114,12 @@ def test_near_dedup_stage_on_documents(spark):
     got = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SMALL).collect()}
     classes = brute_classes([(r.doc_id, r.text) for r in docs.collect()], 80)
     assert got == {i for i, c in classes.items() if c[2]}
+
+
+def test_quality_stage_hands_on_the_cleaned_text(spark, rows):
+    prose = "\n".join(f"The {i} quiet rivers of the valley run slowly towards a distant sea in spring." for i in range(12))
+    nav = "home | about | contact | login"
+    text = f"{nav}\n{prose}\n{prose.splitlines()[0]}"
+    docs = rows("doc_id long, text string, n_chars int, q int", [(1, text, len(text), 7), (2, "short", 5, 7), (3, None, 0, 7)])
+    got = dict(corpus_pipeline.STAGES)["quality_rules"](spark, docs, SMALL)
+    assert got.dtypes == docs.dtypes and [tuple(r) for r in got.collect()] == [(1, prose, len(prose), 7)]
