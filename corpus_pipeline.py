@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelweave.llm import best_fit_packing, near_dedup, quality_classifier, quality_rules, secret_scan
+from panelweave.llm.text import GAP_CHARS
 from panelweave.plans.staging import stage
 from panelweave.session import ship
 
@@ -25,12 +26,16 @@ NEAR_PERCENT = 80  # the rule for stages: five words, a similarity of 0.8 or mor
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (0.8 or more on five words): the one with the smallest doc_id. Of rows that repeat a doc_id one
-    stays; rows without doc_id stay."""
+    """One document of each group of near-duplicates (0.8 or more on five words): the one with the smallest doc_id. Rows that
+    repeat a doc_id are one document, of which the row with the smallest text that is not blank stays (then the smallest
+    other columns, in order); rows without doc_id stay."""
     ship(spark)
     dropped = near_dedup.near_duplicates(docs, percent=NEAR_PERCENT).filter("NOT kept").select("doc_id").distinct()
     left = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    return left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id IS NULL"))
+    blank = F.coalesce(F.translate("text", GAP_CHARS, "") == "", F.lit(True))
+    order = F.struct(blank.alias("blank"), "text", *[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    one = left.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(order).alias("row")).select("row.*")
+    return one.select(*docs.columns).unionByName(left.filter("doc_id IS NULL"))
 
 
 def secret_scan_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -117,9 +117,17 @@ def test_near_dedup_stage_on_documents(spark):
 
 
 def test_quality_stage_hands_on_the_cleaned_text(spark, rows):
-    prose = "\n".join(f"The {i} quiet rivers of the valley run slowly towards a distant sea in spring." for i in range(12))
+    prose = "\n".join(" ".join(f"word{i}x{k}" for k in range(14)) + "." for i in range(12))
     nav = "home | about | contact | login"
     text = f"{nav}\n{prose}\n{prose.splitlines()[0]}"
     docs = rows("doc_id long, text string, n_chars int, q int", [(1, text, len(text), 7), (2, "short", 5, 7), (3, None, 0, 7)])
     got = dict(corpus_pipeline.STAGES)["quality_rules"](spark, docs, SMALL)
     assert got.dtypes == docs.dtypes and [tuple(r) for r in got.collect()] == [(1, prose, len(prose), 7)]
+
+
+def test_of_a_repeated_id_the_same_row_stays_in_any_order(spark, rows):
+    data = [(1, "pear " * 30, "x"), (1, "apple " * 30, "z"), (1, "apple " * 30, "y"), (1, " ", "a"), (1, None, "a"), (None, "c", "q")]
+    for made in (data, data[::-1]):
+        docs = rows("doc_id long, text string, source string", made).coalesce(1)
+        got = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SMALL)
+        assert sorted(map(tuple, got.collect()), key=str) == [(1, "apple " * 30, "y"), (None, "c", "q")]
