@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from conftest import SMALL
+from paths import SMALL
 from panelweave.catalog import QUERIES
 
 _path = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools", "check_oracles.py")

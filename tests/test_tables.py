@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from paths import SMALL
 from panelweave.catalog import QUERIES
 from panelweave.plans.grid import variants
 from panelweave.plans.staging import new_path, pick
