@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import (
     best_fit_packing,
     graph_search,
+    hard_negatives,
     masked_lm,
     near_dedup,
     packed_output,
@@ -14,7 +15,9 @@ from . import (
     quality_rules,
     secret_scan,
     sentencepiece_scan,
+    simhash_trees,
     url_filter,
+    vector_codes,
 )
 
 
@@ -62,6 +65,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_report(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_trees.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -75,6 +90,9 @@ QUERIES = {
         op8_graph_search,
         op9_quality_rules,
         op10_quality_classifier,
+        op11_vector_codes,
+        op12_hard_negatives,
+        op13_simhash_trees,
     )
 }
 
@@ -83,4 +101,6 @@ ORACLES = {
     "op2_url_filter": url_filter.VERDICTS_SQL,
     "op3_near_dedup": near_dedup.CLASSES_SQL,
     "op9_quality_rules": quality_rules.REPORT_SQL,
+    "op11_vector_codes": vector_codes.CODES_SQL,
+    "op12_hard_negatives": hard_negatives.NEGATIVES_SQL,
 }
