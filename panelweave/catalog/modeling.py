@@ -11,7 +11,7 @@ from ..functions.feature_names import feature_columns
 from ..operators import analogs as K, construct as C, cross, latent as M, ranking_model as R
 from ..operators.construct import Branch
 from ..operators.ranks import fifths
-from ..plans.staging import stage
+from ..plans.staging import new_path, stage
 from ..sources import adapters as A
 from ..streaming.period_close import close_days
 from ..streaming.valuation import stream_snapshots
@@ -249,16 +249,19 @@ def _model_table(spark, sf):
     return stage(K.with_neighbor_features(f, _panel_analogs(spark, sf, (8,))[8]), "model-table")
 
 
+MODEL = {"trees": 40, "depth": 3, "step": 0.1, "patience": 8, "min_train": 36}
+
+
+def _branches(f):
+    return {"base": feature_columns(f, "original_only"), "neighbor": feature_columns(f, "original_plus_neighbors")}
+
+
 def _scores(spark, sf):
     """Scores of the newest date by the original and the neighbor branch, each trained on all earlier dates."""
     f = _model_table(spark, sf)
     newest = f.agg(F.max("date")).first()[0]
-    branches = {"base": feature_columns(f, "original_only"), "neighbor": feature_columns(f, "original_plus_neighbors")}
-    frames = [
-        R.train_and_score(f, cols, newest, trees=60, depth=4, step=0.1, patience=10).withColumn("branch", F.lit(name))
-        for name, cols in branches.items()
-    ]
-    return f, frames[0].unionByName(frames[1])
+    branches = _branches(f)
+    return f, R.fit_and_score(f, branches, [(b, newest) for b in branches], **MODEL)
 
 
 @query("rank_model_scores")
@@ -266,6 +269,45 @@ def rank_model_scores(spark, sf):
     return _scores(spark, sf)[1]
 
 
+@query("walk_forward_scores")
+def walk_forward_scores(spark, sf):
+    """Scores of every date that can be scored, by both branches: each by a model that saw earlier dates only."""
+    f = _model_table(spark, sf)
+    return R.walk_forward(f, _branches(f), cross.scoreable_dates(f), new_path(spark, "rankings"), **MODEL)
+
+
+@query(
+    "walk_forward_check",
+    f"""WITH {X.LABELLED}, r AS (SELECT * FROM lab WHERE price IS NOT NULL),
+d AS (SELECT date, count(*) AS n, count(future_1m_return) AS labelled, row_number() OVER (ORDER BY date) - 1 AS position FROM r GROUP BY 1)
+SELECT branch, date, n AS rows, n AS last_rank, true AS ranks_whole, true AS order_agrees, true AS sees_nothing_later
+FROM d CROSS JOIN (VALUES ('base'), ('neighbor')) b(branch) WHERE labelled > 0 AND position >= 36""",
+)
+def walk_forward_check(spark, sf):
+    """Every scoreable date and branch: ranks are whole and follow the scores, and for one date in the middle the scores are
+    the same when all later rows are gone and all outcomes not known by then are."""
+    f = _model_table(spark, sf)
+    dates = [r.date for r in cross.scoreable_dates(f).select("date").orderBy("date").collect()]  # a calendar
+    branches = _branches(f)
+    short = MODEL | {"trees": 6}
+    scores = stage(R.fit_and_score(f, branches, [(b, d) for b in branches for d in dates], **short), "scores")
+    middle = dates[len(dates) // 2]
+    blind = f.filter(F.col("date") <= middle).withColumn(
+        "future_1m_return", F.when(F.col("date") < middle, F.col("future_1m_return"))
+    )
+    single = R.fit_and_score(blind, branches, [(b, middle) for b in branches], **short)
+    again = single.select("branch", "date", "ticker", F.col("ranker_score").alias("again"))
+    ordered = Window.partitionBy("branch", "date").orderBy("rank_by_date")
+    joined = scores.join(again, ["branch", "date", "ticker"], "left").withColumn("above", F.lag("ranker_score").over(ordered))
+    return joined.groupBy("branch", "date").agg(
+        F.count("*").alias("rows"),
+        F.max("rank_by_date").alias("last_rank"),
+        (F.countDistinct("rank_by_date") == F.count("*")).alias("ranks_whole"),
+        (F.count_if(F.col("above") < F.col("ranker_score")) == 0).alias("order_agrees"),
+        (F.count_if((F.col("date") == middle) & ~F.col("again").eqNullSafe(F.col("ranker_score"))) == 0).alias("sees_nothing_later"),
+    )
+
+
 @query(
     "model_portfolio_check",
     f"""WITH {X.LABELLED}, r AS (SELECT * FROM lab WHERE price IS NOT NULL), n AS (SELECT count(*) AS c FROM r WHERE date = (SELECT max(date) FROM r)),
