@@ -80,13 +80,29 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` plus one column ``q`` (struct) with the counts, the cleaned text and the verdict of each row.
 
     Null text counts as empty: no words, so it fails the base rules. A line that repeats an earlier one is removed
-    like a failing line. Blank lines are not counted and not kept. Rows are judged one by one: ties and repeated rows get
+    like a failing line. Blank lines are not counted; they fail no rule and stay between kept lines. Rows are judged one by one: ties and repeated rows get
     the same verdict; an empty table gives an empty table."""
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     base = docs.withColumn("q", F.struct(t.alias("t"), words_of(t).alias("w")))
-    lines = F.filter(F.split(F.col("q.t"), "\n"), lambda x: F.char_length(F.translate(x, GAP_CHARS, "")) > 0)
-    with_lines = base.withColumn("q", F.struct("q.*", lines.alias("all_lines"), F.array_distinct(lines).alias("lines")))
-    with_lines = with_lines.withColumn("q", F.struct("q.*", F.filter("q.lines", lambda x: ~line_fails(x)).alias("good")))
+    # no line holds a line feed: it marks a blank line, and its number keeps blank lines apart from each other
+    blank = lambda x: F.char_length(F.translate(x, GAP_CHARS, "")) == 0
+    marked = F.transform(
+        F.split(F.col("q.t"), "\n"), lambda x, i: F.when(blank(x), F.concat(F.lit("\n"), i.cast("string"), F.lit("\n"), x)).otherwise(x)
+    )
+    is_line = lambda x: ~x.startswith("\n")
+    with_lines = base.withColumn("q", F.struct("q.*", marked.alias("all")))
+    with_lines = with_lines.withColumn(
+        "q", F.struct("q.*", F.filter("q.all", is_line).alias("all_lines"), F.array_distinct("q.all").alias("kept"))
+    )
+    with_lines = with_lines.withColumn(
+        "q", F.struct("q.*", F.filter("q.kept", lambda x: ~is_line(x) | ~line_fails(x)).alias("good"))
+    )
+    def inner(flags: Column) -> Column:
+        """From the first line that is kept to the last, with the blank lines between."""
+        first, behind = F.array_position(flags, True), F.array_position(F.reverse(flags), True)
+        span = F.slice("q.good", first.cast("int"), (F.size(flags) + 2 - behind - first).cast("int"))
+        return F.when(first > 0, F.array_join(F.transform(span, lambda x: F.substring_index(x, "\n", -1)), "\n")).otherwise("")
+
     total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, x: s + F.char_length(x))
     counted = with_lines.withColumn(
         "q",
@@ -94,11 +110,11 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
             F.size("q.w").cast("bigint").alias("n_words"),
             F.char_length(F.translate("q.t", GAP_CHARS, "")).cast("bigint").alias("word_chars"),
             count_of(F.col("q.t"), SYMBOLS).cast("bigint").alias("n_symbols"),
-            (F.size("q.all_lines") - F.size("q.lines")).cast("bigint").alias("n_dup_lines"),
+            (F.size("q.all") - F.size("q.kept")).cast("bigint").alias("n_dup_lines"),
             bound(F.col("q.w"), repeated_words).cast("bigint").alias("n_repeat_words"),
             total(F.col("q.all_lines")).alias("line_chars"),
-            F.array_join("q.good", "\n").alias("clean_text"),
-            total(F.col("q.good")).alias("clean_chars"),
+            bound(F.transform("q.good", is_line), inner).alias("clean_text"),
+            total(F.filter("q.good", is_line)).alias("clean_chars"),
         ),
     )
     failed = (F.col("q.n_words") < LEAST_WORDS) | (100 * F.col("q.n_repeat_words") > REPEATED_PERCENT * F.col("q.n_words"))
@@ -130,7 +146,8 @@ def cleaned(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, without the lines that fail or repeat an earlier one, and n_chars (if there) counted
     anew; other columns as they are."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    kept = judged(packed.withColumn("text", F.col("row.text"))).filter("q.kept")
+    seen = judged(packed.withColumn("text", F.col("row.text")))
+    kept = seen.select("row", F.explode(F.array("q")).alias("q")).filter("q.kept")  # judged once, not once more for the filter
     kind, clean = dict(docs.dtypes), F.col("q.clean_text")
     new = {"text": clean} | ({"n_chars": F.char_length(clean).cast(kind["n_chars"])} if "n_chars" in kind else {})
     return kept.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

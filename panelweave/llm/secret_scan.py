@@ -25,6 +25,7 @@ HEX_ALPHABET = "0123456789abcdef"
 BASE32_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BASE64_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 UNEVENNESS = {16: 0.6, 32: 1.1, 64: 3.0}  # alphabet size * sum of squared letter shares of ordinary writing, less 1
+LEAST_BODY = 8  # characters that the battery is given at least
 NOT_RANDOM = 3.0  # deviations from randomness that fail a test of the battery
 FALSE_SHARE = 0.01
 BINS_PER_DECADE = 10
@@ -105,13 +106,16 @@ def _normal(z: Column) -> Column:
 
 
 def _scored(token: Column) -> Column:
-    """Bin of the p-value that ordinary writing looks as random as ``token``; 0 if the battery finds it not random."""
+    """Bin of the p-value that ordinary writing looks as random as ``token``; 0 if the battery finds it not random.
+
+    What is left of a token without its closing = signs has to have ``LEAST_BODY`` characters for tests to mean anything; a
+    shorter one is a candidate that is not random, and so is one letter repeated."""
     plain = F.regexp_replace(token, "=+$", "")
     body = F.when(plain.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.lower(plain)).otherwise(F.translate(plain, "-_", "+/"))
 
     def by_body(b: Column) -> Column:
         size = F.when(b.rlike("^[0-9a-f]+$"), 16).when(b.rlike("^[A-Z2-7]+$"), 32).otherwise(64)
-        return bound(size, lambda a: tests(b, a))
+        return F.when(F.char_length(b) < LEAST_BODY, 0).otherwise(bound(size, lambda a: tests(b, a)))
 
     def tests(b: Column, a: Column) -> Column:
         letters = F.when(a == 16, HEX_ALPHABET).when(a == 32, BASE32_ALPHABET).otherwise(BASE64_ALPHABET)
@@ -135,11 +139,11 @@ def _scored(token: Column) -> Column:
             )
         )
         free = (a - 1).cast("double")
-        chi = a * squares / n - n
+        chi = F.try_divide(a * squares, n) - n
         uneven = F.when(a == 16, UNEVENNESS[16]).when(a == 32, UNEVENNESS[32]).otherwise(UNEVENNESS[64])
-        z_chi = (F.pow(chi / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
+        z_chi = (F.pow(chi / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))  # free is 15, 31 or 63
         mean = free + uneven * (n - 1)
-        p = _normal((chi - mean) / F.sqrt(2 * free + 4 * uneven * (n - 1)))
+        p = _normal(F.try_divide(chi - mean, F.sqrt(2 * free + 4 * uneven * (n - 1))))
         high = total(F.transform(v, lambda x: (x >= a / 2).cast("double")))
         changes = total(
             F.transform(
@@ -147,17 +151,19 @@ def _scored(token: Column) -> Column:
             )
         )
         hi_lo = 2 * high * (n - high)
-        runs_mean = hi_lo / n + 1
-        runs_sd = F.sqrt(F.greatest(hi_lo * (hi_lo - n) / (n * n * (n - 1)), F.lit(0.0)))
-        z_runs = F.when(runs_sd > 0, (changes + 1 - runs_mean) / runs_sd).otherwise(F.lit(2 * NOT_RANDOM))
-        mid = total(v) / n
+        runs_mean = F.try_divide(hi_lo, n) + 1
+        runs_sd = F.sqrt(F.greatest(F.try_divide(hi_lo * (hi_lo - n), n * n * (n - 1)), F.lit(0.0)))
+        z_runs = F.coalesce(F.try_divide(changes + 1 - runs_mean, runs_sd), F.lit(2 * NOT_RANDOM))
+        mid = F.try_divide(total(v), n)
         serial = bound(
             mid,
-            lambda m: total(F.transform(v, lambda x, i: F.coalesce((x - m) * (F.get(v, i + 1) - m), F.lit(0.0))))
-            / total(F.transform(v, lambda x: (x - m) * (x - m))),
+            lambda m: F.try_divide(
+                total(F.transform(v, lambda x, i: F.coalesce((x - m) * (F.get(v, i + 1) - m), F.lit(0.0)))),
+                total(F.transform(v, lambda x: (x - m) * (x - m))),
+            ),
         )
         z_serial = F.coalesce(serial * F.sqrt(n), F.lit(2 * NOT_RANDOM))
-        fails = (z_chi > NOT_RANDOM) | (F.abs(z_runs) > NOT_RANDOM) | (F.abs(z_serial) > NOT_RANDOM)
+        fails = F.coalesce((z_chi > NOT_RANDOM) | (F.abs(z_runs) > NOT_RANDOM) | (F.abs(z_serial) > NOT_RANDOM), F.lit(True))
         binned = F.least(F.floor(-F.log10(F.greatest(p, F.lit(1e-30))) * BINS_PER_DECADE), F.lit(TOP_BIN)).cast("int")
         return F.when(fails, 0).otherwise(F.greatest(binned, F.lit(0)))
 
@@ -252,7 +258,8 @@ def secret_report(docs: DataFrame) -> DataFrame:
 
     Null text counts as empty and has no span: base_sha256 is that of an empty string, spans is empty. Rows are
     scanned one by one, so repeated rows repeat their result; equal strings in one length class share one verdict. Without
-    candidates nothing is cut; an empty table gives an empty table. Other columns are ignored."""
+    candidates nothing is cut; an empty table gives an empty table. Other columns are ignored. Very long texts are read
+    whole, by expressions over one row."""
     found = stage(scanned(columns(docs, doc_id="bigint", text="string")).select("doc_id", "q.base", "q.candidates"), "secrets")
     limits = cuts(found)
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint")
@@ -285,9 +292,9 @@ def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with every secret of its texts replaced by a mark, and n_chars (if there) counted anew; other columns as
     they are. Null texts stay null."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    seen = scanned(packed.withColumn("text", F.col("row.text")))
-    limits = cuts(stage(seen.select("q.candidates"), "secrets"))
-    tokens = F.transform(F.filter("q.candidates", lambda c: _is_found(c, limits)), lambda c: c["token"])
+    seen = stage(scanned(packed.withColumn("text", F.col("row.text"))).select("row", "q.candidates"), "secrets")
+    limits = cuts(seen)
+    tokens = F.transform(F.filter("candidates", lambda c: _is_found(c, limits)), lambda c: c["token"])
     out = seen.select("row", tokens.alias("tokens"), F.col("row.text").cast("string").alias("t"))
     long = lambda n: lambda g: F.char_length(g) >= n
     for pattern, group, hit in ((ASSIGN, 2, long(ASSIGN_CHARS)), (ACCESS, 0, long(1)), (HEX, 0, long(1))):

@@ -2,15 +2,21 @@
 
 Rules decide first. A host without a rule for its page is judged by two personalised PageRanks over host edges: trust flows along
 links from hosts with allowed pages, distrust flows against them from hosts with blocked pages. Host edges are the links
-of the pages to other hosts, and the tie between a host and its parent domain, in both directions."""
+of the pages to other hosts, and the tie between a host and the nearest domain above it that is a host itself, in both
+directions. A public suffix such as co.uk is no host, so it ties nobody; addresses (1.2.3.4) have no domain above them. User
+info and port are no part of a host's name in the graph."""
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.staging import stage
 from .text import columns
 
+log = logging.getLogger(__name__)
+
 # fixed: (verdict, rule); a rule is a host and the start of a path
 RULES = (
     ("allow", "org/"),
@@ -21,9 +27,10 @@ RULES = (
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ADDRESS = r"://([^/?#]*)([^?#]*)"
+NUMBERS = r"^[0-9.]+$"
 LINK = r"""(?i)(?:href|src|action)\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 DAMPING = 0.85
-ROUNDS = 20
+CHANGE = 1e-4  # share of a host's score below which what still arrives is not passed on
 MARGIN = 2.0  # a host is blocked when its distrust is more than so many times its trust
 
 
@@ -33,6 +40,11 @@ def located(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(u, ADDRESS, 1), UPPER, LOWER), F.regexp_extract(u, ADDRESS, 2)
 
 
+def node(host: Column) -> Column:
+    """A host's name in the graph: without user info and port."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+
+
 def ruled(host: Column, path: Column, rules=RULES) -> Column:
     """struct(rule, verdict) of the longest rule that fits, nulls if none does; equal lengths: the first listed."""
     found = F.lit(None).cast("struct<rule:string,verdict:string>")
@@ -44,40 +56,42 @@ def ruled(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, weight): number of links between different hosts, and 1 for each tie to a parent domain, either way."""
+    """(src, dst, weight): number of links between different hosts, and 1 for each tie to a parent host, either way."""
     host, _ = located(F.col("url"))
-    at = pages.select(host.alias("src"), "html").filter("src <> ''")
+    at = pages.select(node(host).alias("src"), "html").filter("src <> ''")
     links = (
         at.filter(F.col("html").isNotNull())
         .select("src", F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("to"))
-        .select("src", F.translate("to", UPPER, LOWER).alias("dst"))
-        .filter("src <> dst")
+        .select("src", node(F.translate("to", UPPER, LOWER)).alias("dst"))
+        .filter("src <> dst AND dst <> ''")
         .groupBy("src", "dst")
         .agg(F.count("*").cast("double").alias("weight"))
     )
     hosts = stage(at.select("src").unionAll(links.select("dst")).distinct().withColumnRenamed("src", "host"), "hosts")
     parts = F.split("host", r"\.")
     n = F.size(parts)
-    # every domain on the way from a host down to its last two labels, each tied to the next
-    suffix = lambda i: F.array_join(F.slice(parts, i + 1, n), ".")
-    ties = (
-        hosts.filter(n > 2)
-        .select(F.explode(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(suffix(i).alias("a"), suffix(i + 1).alias("b")))).alias("t"))
-        .select("t.a", "t.b")
-        .filter("a <> b")
-        .distinct()
+    # every domain above a host down to two labels; the longest that is a host is its parent
+    above = (
+        hosts.filter((n > 2) & ~F.col("host").rlike(NUMBERS))
+        .select("host", F.explode(F.sequence(F.lit(2), n - 1)).alias("labels"), parts.alias("parts"))
+        .select(F.col("host").alias("a"), "labels", F.array_join(F.slice("parts", -F.col("labels"), F.col("labels")), ".").alias("host"))
     )
+    ties = above.join(hosts, "host").groupBy("a").agg(F.max_by("host", "labels").alias("b"))
     both = ties.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionAll(
         ties.select(F.col("b").alias("src"), F.col("a").alias("dst"))
     )
     return links.unionAll(both.withColumn("weight", F.lit(1.0))).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def host_scores(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, trust, distrust) after ``rounds`` rounds, from ``seeds`` (host, allowed, blocked: numbers of pages).
+def host_scores(edges: DataFrame, seeds: DataFrame, change: float = CHANGE, damping: float = DAMPING) -> DataFrame:
+    """(host, trust, distrust) of every host that is reached from ``seeds`` (host, allowed, blocked: numbers of pages).
 
-    Teleports are in proportion to those numbers. What reaches a host without an edge is not dealt out again. A round is
-    a join and a sum per host; every fourth is written, so that a lost executor costs no long recomputation."""
+    Teleports are in proportion to those numbers. A round passes on what has just arrived at a host, and adds it to the
+    host's score; what arrives is passed on as long as it is more than ``change`` of that score, so a host that is reached
+    for the first time always passes it on, however far it lies from the seeds and however little it is. The rounds end when
+    nothing is left to pass on: what is neglected is less than change / (1 - damping) of a score. What reaches a host
+    without an edge is not dealt out again. Every fourth round is written, so that a lost executor costs no long
+    recomputation."""
     steps = edges.select(F.lit(0).alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "weight").unionAll(
         edges.select(F.lit(1).alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), "weight")
     )
@@ -90,19 +104,25 @@ def host_scores(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, dampin
     )
     total = {r.kind: r.n for r in counted.groupBy("kind").agg(F.sum("n").alias("n")).collect()}  # two rows
     part = F.when(F.col("kind") == 0, F.lit(total.get(0) or 1.0)).otherwise(F.lit(total.get(1) or 1.0))
-    start = stage(counted.filter("n > 0").select("kind", "host", (F.col("n") / part).alias("score")), "start")
-    state = start
-    for k in range(rounds):
-        moved = state.join(steps, ["kind", "host"]).select(
-            "kind", F.col("to").alias("host"), (F.col("score") * F.col("share") * damping).alias("score")
-        )
-        state = (
-            moved.unionAll(start.withColumn("score", F.col("score") * (1 - damping)))
-            .groupBy("kind", "host")
-            .agg(F.sum("score").alias("score"))
-        )
-        if k % 4 == 3 or k == rounds - 1:
-            state = stage(state, "scores")
+    first = counted.filter("n > 0").groupBy("kind", "host").agg(F.sum(F.col("n") / part).alias("new"))
+    state = stage(first.select("kind", "host", "new", F.col("new").alias("score")), "scores")
+    rounds = 0
+    while not state.filter("new > 0").isEmpty():
+        for _ in range(4):
+            moved = state.filter("new > 0").join(steps, ["kind", "host"]).select(
+                "kind", F.col("to").alias("host"), (F.col("new") * F.col("share") * damping).alias("new"), F.lit(0.0).alias("score")
+            )
+            state = (
+                moved.unionAll(state.select("kind", "host", F.lit(0.0).alias("new"), "score"))
+                .groupBy("kind", "host")
+                .agg(F.sum("new").alias("new"), F.sum("score").alias("score"))
+                .withColumn("score", F.col("score") + F.col("new"))
+                .withColumn("new", F.when(F.col("new") > change * F.col("score"), F.col("new")).otherwise(0.0))
+            )
+        state = stage(state, "scores")
+        rounds += 4
+    log.info("host scores after %d rounds", rounds)
+    state = state.withColumn("score", F.col("score") * (1 - damping))
     return state.groupBy("host").agg(
         F.sum(F.when(F.col("kind") == 0, F.col("score")).otherwise(0.0)).alias("trust"),
         F.sum(F.when(F.col("kind") == 1, F.col("score")).otherwise(0.0)).alias("distrust"),
@@ -113,7 +133,7 @@ def judged_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule (null without one) and verdict (allow or block) of every row of ``pages`` (page_id, url, html).
 
     A null url or one without :// has an empty host and path, no rule and no score, and is allowed, as is every host that
-    neither trust nor distrust reaches. Null html has no links; null ids are kept. Repeated rows are judged alike, and
+    neither trust nor distrust reaches. Urls and texts of any length are read whole. Null html has no links; null ids are kept. Repeated rows are judged alike, and
     their links count again. Other columns are ignored; an empty table gives an empty table."""
     clean = columns(pages, page_id="bigint", url="string", html="string")
     host, path = located(F.col("url"))
@@ -122,11 +142,15 @@ def judged_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     )
     is_a = lambda v: F.count(F.when(F.col("r.verdict") == v, 1))
     seeds = stage(
-        judged.filter("host <> ''").groupBy("host").agg(is_a("allow").alias("allowed"), is_a("block").alias("blocked")), "seeds"
+        judged.withColumn("host", node(F.col("host")))
+        .filter("host <> ''")
+        .groupBy("host")
+        .agg(is_a("allow").alias("allowed"), is_a("block").alias("blocked")),
+        "seeds",
     )
     scores = host_scores(stage(host_edges(clean), "edges"), seeds)
-    bad = scores.filter(F.col("distrust") > MARGIN * F.col("trust")).select("host", F.lit("block").alias("by_host"))
-    return judged.join(bad, "host", "left").select(
+    bad = scores.filter(F.col("distrust") > MARGIN * F.col("trust")).select(F.col("host").alias("node"), F.lit("block").alias("by_host"))
+    return judged.withColumn("node", node(F.col("host"))).join(bad, "node", "left").select(
         "page_id",
         "host",
         "path",
@@ -136,41 +160,38 @@ def judged_urls(pages: DataFrame, rules=RULES) -> DataFrame:
 
 
 def _verdicts_sql() -> str:
-    """The same for DuckDB: one materialised step for each round."""
+    """The same for DuckDB, by the series of what arrives round after round, until nothing above 1e-15 is left."""
     fits = "\n".join(
         f"    WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}') THEN '{v} {h}/{p}'"
         for v, (h, _, p) in sorted(((v, r.partition('/')) for v, r in RULES), key=lambda x: -len("".join(x[1])))
     )
-    rounds = "".join(
-        f"""s{k} AS MATERIALIZED (SELECT kind, host, sum(score) AS score FROM (
-  SELECT t.kind, t.dst AS host, s.score * t.share * {DAMPING} AS score FROM s{k - 1} s JOIN steps t ON s.kind = t.kind AND s.host = t.src
-  UNION ALL SELECT kind, host, score * (1 - {DAMPING}) FROM s0) GROUP BY kind, host),
-"""
-        for k in range(1, ROUNDS + 1)
-    )
     link = LINK.replace("'", "''")
+    name = lambda host: f"regexp_replace(regexp_replace({host}, '^.*@', ''), ':[0-9]*$', '')"
     return rf"""
-WITH u AS (SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '{ADDRESS}', 1), '{UPPER}', '{LOWER}') AS host,
+WITH RECURSIVE u AS (SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '{ADDRESS}', 1), '{UPPER}', '{LOWER}') AS host,
     regexp_extract(coalesce(url, ''), '{ADDRESS}', 2) AS path FROM pages),
-j AS MATERIALIZED (SELECT *, CASE
+j AS MATERIALIZED (SELECT *, {name('host')} AS node, CASE
 {fits} END AS hit FROM u),
-l AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS w FROM (SELECT host AS src, translate(unnest(regexp_extract_all(html, '{link}', 1)),
-    '{UPPER}', '{LOWER}') AS dst FROM u WHERE host <> '') WHERE src <> dst GROUP BY src, dst),
-h AS (SELECT host FROM u WHERE host <> '' UNION SELECT dst FROM l),
-sp AS (SELECT string_split(host, '.') AS p FROM h WHERE len(string_split(host, '.')) > 2),
-tie AS (SELECT DISTINCT array_to_string(p[i:], '.') AS a, array_to_string(p[i + 1:], '.') AS b
-    FROM (SELECT p, unnest(range(1, len(p) - 1)) AS i FROM sp)),
-e AS (SELECT src, dst, sum(w) AS w FROM (SELECT * FROM l UNION ALL SELECT a, b, 1 FROM tie WHERE a <> b
-    UNION ALL SELECT b, a, 1 FROM tie WHERE a <> b) GROUP BY src, dst),
+l AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS w FROM (SELECT src, {name('dst')} AS dst FROM (SELECT node AS src,
+    translate(unnest(regexp_extract_all(html, '{link}', 1)), '{UPPER}', '{LOWER}') AS dst FROM j WHERE node <> ''))
+    WHERE src <> dst AND dst <> '' GROUP BY src, dst),
+h AS (SELECT node AS host FROM j WHERE node <> '' UNION SELECT dst FROM l),
+up AS (SELECT host AS a, i, array_to_string(p[-i:], '.') AS b FROM (SELECT host, string_split(host, '.') AS p FROM h
+    WHERE NOT regexp_matches(host, '{NUMBERS}')) x, unnest(range(2, len(p))) AS y(i)),
+tie AS (SELECT a, arg_max(b, i) AS b FROM up WHERE b IN (SELECT host FROM h) GROUP BY a),
+e AS (SELECT src, dst, sum(w) AS w FROM (SELECT * FROM l UNION ALL SELECT a, b, 1 FROM tie UNION ALL SELECT b, a, 1 FROM tie)
+    GROUP BY src, dst),
 k AS (SELECT 0 AS kind, src, dst, w FROM e UNION ALL SELECT 1, dst, src, w FROM e),
 steps AS MATERIALIZED (SELECT kind, src, dst, w / sum(w) OVER (PARTITION BY kind, src) AS share FROM k),
-n AS (SELECT CASE WHEN hit LIKE 'allow%' THEN 0 ELSE 1 END AS kind, host, count(*) AS n FROM j
-    WHERE hit IS NOT NULL AND host <> '' GROUP BY 1, 2),
-s0 AS MATERIALIZED (SELECT kind, host, n / sum(n) OVER (PARTITION BY kind) AS score FROM n),
-{rounds}bad AS (SELECT host FROM s{ROUNDS} GROUP BY host
+n AS (SELECT CASE WHEN hit LIKE 'allow%' THEN 0 ELSE 1 END AS kind, node AS host, count(*) AS n FROM j
+    WHERE hit IS NOT NULL AND node <> '' GROUP BY 1, 2),
+s AS (SELECT kind, host, n / sum(n) OVER (PARTITION BY kind) AS score FROM n
+  UNION ALL SELECT t.kind, t.dst, sum(s.score * t.share * {DAMPING}) FROM s JOIN steps t ON s.kind = t.kind AND s.host = t.src
+  GROUP BY t.kind, t.dst HAVING sum(s.score * t.share * {DAMPING}) > 1e-15),
+bad AS (SELECT host FROM s GROUP BY host
     HAVING sum(CASE WHEN kind = 1 THEN score ELSE 0 END) > {MARGIN} * sum(CASE WHEN kind = 0 THEN score ELSE 0 END))
 SELECT page_id, host, path, nullif(substr(coalesce(hit, ''), 7), '') AS rule,
-    CASE WHEN hit IS NOT NULL THEN substr(hit, 1, 5) WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END AS verdict FROM j
+    CASE WHEN hit IS NOT NULL THEN substr(hit, 1, 5) WHEN node IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END AS verdict FROM j
 """
 
 

@@ -1,6 +1,8 @@
 """Quality rules, secrets, URL verdicts: native operators against plain Python."""
 
 import hashlib
+import math
+import random
 import re
 
 from panelweave.llm import quality_rules, secret_scan, url_filter
@@ -136,7 +138,7 @@ def test_url_rules(rows):
     assert url_filter.judged_urls(rows("page_id long, url string, html string", [])).count() == 0
 
 
-def brute_scores(edges, allowed, blocked, rounds=url_filter.ROUNDS, d=url_filter.DAMPING):
+def brute_scores(edges, allowed, blocked, rounds=400, d=url_filter.DAMPING):
     out = []
     for seeds, flip in ((allowed, False), (blocked, True)):
         e = [((b, a) if flip else (a, b), w) for (a, b), w in edges.items()]
@@ -175,11 +177,117 @@ def test_links_carry_trust_and_distrust(rows):
     assert verdict == {1: "allow", 2: "allow", 3: "block", 4: "block", 5: "allow"}
 
 
-def test_subdomains_are_tied(rows):
-    frame = rows("page_id long, url string, html string", [(1, "http://a.b.c.d/x", None)])
-    assert {(r.src, r.dst) for r in url_filter.host_edges(frame).collect()} == {
-        ("a.b.c.d", "b.c.d"),
-        ("b.c.d", "a.b.c.d"),
-        ("b.c.d", "c.d"),
-        ("c.d", "b.c.d"),
-    }
+def edges_of(rows, *pages):
+    frame = rows("page_id long, url string, html string", [(i, u, h) for i, (u, h) in enumerate(pages)])
+    return {(r.src, r.dst) for r in url_filter.host_edges(frame).collect()}
+
+
+def test_hosts_are_tied_to_the_nearest_host_above(rows):
+    both = lambda *pairs: {p for a, b in pairs for p in ((a, b), (b, a))}
+    found = edges_of(rows, ("http://a.b.c.d/x", None), ("http://c.d/x", None), ("http://z.b.c.d/", None), ("http://B.c.d", None))
+    assert found == both(("a.b.c.d", "b.c.d"), ("z.b.c.d", "b.c.d"), ("b.c.d", "c.d"))
+    assert edges_of(rows, ("http://a.b.c.d/x", None), ("http://c.d/x", None)) == both(("a.b.c.d", "c.d"))
+    # a public suffix is no host; an address has nothing above it; user info and port do not count
+    assert edges_of(rows, ("http://www.honest.co.uk/", None), ("http://spam.co.uk/", None)) == set()
+    assert edges_of(rows, ("http://10.1.2.3/", None), ("http://2.3/", None), ("http://1.2.3:80/", None)) == set()
+    assert edges_of(rows, ("http://me@www.x.org:8080/", None), ("http://x.org", "<a href='//x.org:99/a'>")) == both(("www.x.org", "x.org"))
+
+
+def verdicts(rows, *pages):
+    frame = rows("page_id long, url string, html string", [(i, u, h) for i, (u, h) in enumerate(pages)])
+    return [r.verdict for r in url_filter.judged_urls(frame).orderBy("page_id").collect()]
+
+
+def test_distrust_reaches_the_end_of_a_long_chain(rows):
+    chain = [(f"http://h{i}.net/", f'<a href="http://h{i + 1}.net/">') for i in range(40)]
+    assert verdicts(rows, *chain, ("http://h40.net/", "<a href='http://spam.com/'>"), ("http://spam.com/de/", None)) == ["block"] * 42
+
+
+def test_a_cycle_and_an_honest_neighbour(rows):
+    ring = [(f"http://r{i}.net/", f"<a href='http://r{(i + 1) % 5}.net/'>") for i in range(5)]
+    got = verdicts(rows, *ring, ("http://r0.net/b", "<a href='//spam.co.uk'>"), ("http://x.com/de/", "<a href='//r3.net'>"), ("http://www.honest.co.uk/", None), ("http://1.2.3.4:80/", None))
+    assert got == ["allow"] * 5 + ["allow", "block", "allow", "allow"]  # links from a blocked page blame nobody
+    got = verdicts(rows, *ring, ("http://r0.net/b", "<a href='//x.com'>"), ("http://x.com/de/", None), ("http://user@x.com:80/", None))
+    assert got == ["block"] * 8
+
+
+def test_scores_of_a_cycle_converge(rows):
+    edges = {("a", "b"): 1, ("b", "c"): 2, ("c", "a"): 1, ("c", "d"): 3, ("d", "c"): 1}
+    frame = rows("src string, dst string, weight double", [(a, b, float(w)) for (a, b), w in edges.items()])
+    trust, distrust = brute_scores(edges, {"a": 2}, {"d": 1, "b": 1})
+    seeds = rows("host string, allowed long, blocked long", [("a", 2, 0), ("d", 0, 1), ("b", 0, 1)])
+    for r in url_filter.host_scores(frame, seeds).collect():
+        assert abs(r.trust - trust.get(r.host, 0)) <= 1e-3 * trust.get(r.host, 0) and abs(r.distrust - distrust.get(r.host, 0)) <= 1e-3 * distrust.get(r.host, 0)
+
+
+DEGENERATE = ["=" * 30, "-" * 20, "A" + "=" * 25, "_" * 24, "+/" * 15, "A" * 40, "ab=" * 10, "=a" * 12, "0" * 31, "AB" + "=" * 18, "-_" * 12 + "==", "/" * 2000]
+
+
+def test_degenerate_tokens_are_no_secrets(rows):
+    data = [(i, f"a {t} b") for i, t in enumerate(DEGENERATE)] + [(99, " ".join(DEGENERATE))]
+    docs = rows("doc_id long, text string", data)
+    assert {r.spans for r in secret_scan.secret_report(docs).collect()} == {""}
+    assert {(r.doc_id, r.text) for r in secret_scan.redacted(docs).collect()} == set(data)
+
+
+def plain_bin(token):
+    plain = re.sub("=+$", "", token)
+    body = plain.lower() if re.fullmatch("[0-9a-f]+|[0-9A-F]+", plain) else plain.replace("-", "+").replace("_", "/")
+    if len(body) < 8:
+        return 0
+    a = 16 if re.fullmatch("[0-9a-f]+", body) else 32 if re.fullmatch("[A-Z2-7]+", body) else 64
+    letters = {16: secret_scan.HEX_ALPHABET, 32: secret_scan.BASE32_ALPHABET, 64: secret_scan.BASE64_ALPHABET}[a]
+    v, n, free, uneven = [letters.find(c) for c in body], len(body), a - 1, secret_scan.UNEVENNESS[a]
+    chi = a * sum(body.count(c) ** 2 for c in set(body)) / n - n
+    z = (chi - free - uneven * (n - 1)) / math.sqrt(2 * free + 4 * uneven * (n - 1))
+    p = 1 / (1 + math.exp(-(1.5976 * z + 0.07056 * z**3))) if 1.5976 * z + 0.07056 * z**3 > -700 else 0.0
+    high = [x >= a / 2 for x in v]
+    m = 2 * sum(high) * (n - sum(high))
+    sd = math.sqrt(max(m * (m - n) / (n * n * (n - 1)), 0))
+    mid = sum(v) / n
+    spread = sum((x - mid) ** 2 for x in v)
+    if not sd or not spread:
+        return 0
+    runs = (1 + sum(x != y for x, y in zip(high, high[1:], strict=False)) - m / n - 1) / sd
+    serial = sum((x - mid) * (y - mid) for x, y in zip(v, v[1:], strict=False)) / spread * math.sqrt(n)
+    even = ((chi / free) ** (1 / 3) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free)) if chi > 0 else -99
+    if even > 3 or abs(runs) > 3 or abs(serial) > 3:
+        return 0
+    return max(min(math.floor(-math.log10(max(p, 1e-30)) * 10), secret_scan.TOP_BIN), 0)
+
+
+def plain_random_spans(texts):
+    """{doc: [(start, end)]}: the battery and the false-discovery rule over all documents, in plain Python."""
+    found = []
+    for doc, text in texts:
+        base = [tuple(map(int, s.split(":")[1:])) for s in brute_base(text)[4].split(",") if s]
+        for m in re.finditer(secret_scan.CANDIDATE, text or ""):
+            if not any(s < m.end() and m.start() < e for s, e in base):
+                found.append((int(math.log2(m.end() - m.start())), plain_bin(m[0]), doc, m.start(), m.end()))
+    out = {}
+    for stratum in {f[0] for f in found}:
+        bins = [f[1] for f in found if f[0] == stratum]
+        cuts = [b for b in set(bins) if b > 0 and 10 ** (-b / 10) * len(bins) <= secret_scan.FALSE_SHARE * sum(x >= b for x in bins)]
+        for s, b, doc, lo, hi in found:
+            if s == stratum and cuts and b >= min(cuts):
+                out.setdefault(doc, []).append((lo, hi))
+    return out
+
+
+def test_random_spans_equal_the_plain_battery(rows):
+    rng = random.Random(11)
+    alphabets = [secret_scan.HEX_ALPHABET, secret_scan.BASE32_ALPHABET, secret_scan.BASE64_ALPHABET, "abcdefghijklmnopqrstuvwxyz", "aeioutnrs-_", "01", "AbC/+9"]
+    texts = []
+    for i in range(1000):
+        made = []
+        for _ in range(rng.randrange(1, 4)):
+            letters = rng.choice(alphabets)
+            made.append("".join(rng.choice(letters) for _ in range(rng.randrange(15, 70))) + "=" * rng.choice([0, 0, 1, 2, 30]))
+        texts.append((i, " ä ".join(made)))
+    texts += [(2000 + i, t) for i, t in enumerate(DEGENERATE)]
+    want = plain_random_spans(texts)
+    got = {r.doc_id: r.spans for r in secret_scan.secret_report(rows("doc_id long, text string", texts)).collect()}
+    assert sum(map(len, want.values())) > 300
+    for doc, _ in texts:
+        spans = [tuple(map(int, s.split(":")[1:])) for s in got[doc].split(",") if s.startswith("random")]
+        assert spans == sorted(want.get(doc, [])), doc
