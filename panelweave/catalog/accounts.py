@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions.scalars import month_end
-from ..operators import book as B, compare as Q, cross
+from ..operators import analogs as K, book as B, compare as Q, cross
 from ..operators.construct import CASH
+from ..operators.shape import with_position
 from ..plans.staging import stage
 from ..sources import adapters as A, ledgers as L
 from . import fixtures as X
@@ -101,14 +102,17 @@ def marked_holdings(spark, sf):
 
 
 @query(
-    "rebalance_orders", f"WITH {ORDERS} SELECT * FROM rb",
+    "rebalance_orders",
+    f"""WITH {ORDERS} SELECT *, row_number() OVER (ORDER BY CASE action WHEN 'SELL' THEN 0 WHEN 'BUY' THEN 1 WHEN 'HOLD' THEN 2
+WHEN 'CASH_ADJUST' THEN 3 WHEN 'MISSING_PRICE' THEN 4 WHEN 'BAD_PRICE' THEN 5 ELSE 9 END, ticker) AS position FROM rb""",
     "current_shares current_value target_weight portfolio_value current_weight target_value weight_diff target_shares trade_shares trade_value",
 )
 def rebalance_orders(spark, sf):
     prices, weights, marked = _marked(spark, sf)
     target = weights.filter(F.col("date") == REBALANCED).select("ticker", "final_weight")
-    return B.rebalance_orders(marked, target, prices, REBALANCED).select(
-        "ticker", "current_shares", "current_value", "target_weight", "portfolio_value", "latest_price", "current_weight",
+    orders = B.rebalance_orders(marked, target, prices, REBALANCED)
+    return with_position(orders, [B.action_position(), F.col("ticker")]).select(
+        "position", "ticker", "current_shares", "current_value", "target_weight", "portfolio_value", "latest_price", "current_weight",
         "target_value", "weight_diff", "target_shares", "trade_shares", "trade_value", "action",
     )
 
@@ -378,7 +382,24 @@ def schema_diff(spark, sf):
     return Q.schema_diff(X.grid(spark, sf), A.daily_bars(spark, sf))
 
 
-VALUE_FEATURES = ["ret_1m", "ret_6m", "vol_12m"]
+OWN_FEATURES = ["ret_1m", "ret_3m", "ret_6m", "ret_12m", "vol_12m", "stock_drawdown", "future_1m_return"]
+NEIGHBOR_FEATURES = [
+    "neighbor_count", "neighbor_avg_future_1m_return", "neighbor_avg_future_1m_excess_return", "neighbor_outperform_1m_rate",
+    "neighbor_positive_1m_return_rate",
+]
+VALUE_FEATURES = OWN_FEATURES + NEIGHBOR_FEATURES
+STATE = ["ret_1m", "ret_6m", "vol_12m"]  # the space in which the analogs of this comparison are sought
+
+
+def _near_on(name: str) -> str:
+    """The feature table of ``name`` on the newest common date with the statistics of its analogs."""
+    return f"""{name}_z AS (SELECT f.*, [{", ".join(STATE)}] AS z, f.future_1m_return - bx.r AS ex FROM {name}_feat f LEFT JOIN bx ON bx.date = f.date),
+{name}_nn AS (SELECT q.ticker, round(list_distance(q.z, h.z), 9) AS d, h.future_1m_return AS o, h.ex, row_number() OVER (PARTITION BY q.ticker ORDER BY round(list_distance(q.z, h.z), 9), h.date, h.ticker) AS i
+  FROM {name}_z q JOIN {name}_z h ON h.date < q.date WHERE q.date = (SELECT d FROM nd) AND h.future_1m_return IS NOT NULL AND {" AND ".join(f"{s}.{c} IS NOT NULL" for s in "qh" for c in STATE)}
+  AND (SELECT count(*) FROM {name}_z WHERE date < (SELECT d FROM nd) AND future_1m_return IS NOT NULL AND {" AND ".join(f"{c} IS NOT NULL" for c in STATE)}) >= 250 QUALIFY i <= 50),
+{name}_st AS (SELECT ticker, count(*) AS n, avg(o) AS ao, avg(ex) AS ae, avg(coalesce(ex > 0, false)::INT) AS pe, avg((o > 0)::INT) AS po FROM {name}_nn GROUP BY 1),
+{name}_w AS (SELECT z.*, coalesce(n, 0)::DOUBLE AS neighbor_count, ao AS neighbor_avg_future_1m_return, ae AS neighbor_avg_future_1m_excess_return, pe AS neighbor_outperform_1m_rate, po AS neighbor_positive_1m_return_rate
+  FROM {name}_z z LEFT JOIN {name}_st s ON s.ticker = z.ticker WHERE z.date = (SELECT d FROM nd))"""
 
 
 def _feat_on(px: str, name: str) -> str:
@@ -393,7 +414,8 @@ def _feat_on(px: str, name: str) -> str:
     "feature_value_diff",
     f"""WITH {NET}, {X.UNI}, {_feat_on('px', 'a')}, {_feat_on('netpx', 'b')},
 nd AS (SELECT max(date) AS d FROM (SELECT date FROM a_feat INTERSECT SELECT date FROM b_feat)),
-j AS (SELECT {", ".join(f"a.{c} AS a_{c}, b.{c} AS b_{c}" for c in VALUE_FEATURES)} FROM a_feat a JOIN b_feat b ON b.ticker = a.ticker AND b.date = a.date WHERE a.date = (SELECT d FROM nd))
+{X.BENCH}, bx AS (SELECT date, lead(price) OVER (ORDER BY date)/price - 1 AS r FROM bench), {_near_on('a')}, {_near_on('b')},
+j AS (SELECT {", ".join(f"a.{c} AS a_{c}, b.{c} AS b_{c}" for c in VALUE_FEATURES)} FROM a_w a JOIN b_w b ON b.ticker = a.ticker)
 """ + " UNION ALL ".join(
         f"SELECT '{c}' AS feature, count(b_{c} - a_{c}) AS overlap_count, avg(abs(b_{c} - a_{c})) AS mean_abs_diff, max(abs(b_{c} - a_{c})) AS max_abs_diff, "
         f"1 - count(a_{c})/count(*)::DOUBLE AS a_missing_share, 1 - count(b_{c})/count(*)::DOUBLE AS b_missing_share, median(abs(b_{c} - a_{c})) AS median_abs_diff, (SELECT d FROM nd) AS comparison_date FROM j"
@@ -405,9 +427,19 @@ def feature_value_diff(spark, sf):
     from ..operators.features import stock_features
     from ..operators.shape import dense_grid
 
-    u = A.universe(spark, sf)
-    a, b = (stage(stock_features(dense_grid(p, u, p)), "features") for p in _price_sources(spark, sf))
-    return Q.value_diff(a, b, VALUE_FEATURES)
+    u, bench = A.universe(spark, sf), X.bench(spark, sf)
+    following = Window.orderBy("date")  # one row per date
+    bench = stage(bench.select("date", (F.lead("price").over(following) / F.col("price") - 1.0).alias("_r")), "bench-returns")
+    tables = [stage(stock_features(dense_grid(p, u, p)), "features") for p in _price_sources(spark, sf)]
+    newest = tables[0].select("date").intersect(tables[1].select("date")).select(F.max("date").alias("date"))
+    both = []
+    for f in tables:
+        rows = f.join(bench, "date", "left").select(
+            "ticker", "date", F.array(*STATE).alias("z"), "future_1m_return", (F.col("future_1m_return") - F.col("_r")).alias("future_1m_excess_return")
+        )
+        near = K.neighbor_stats(rows, K.nearest_earlier(rows, only=newest)).withColumn("neighbor_count", F.col("neighbor_count").cast("double"))
+        both.append(stage(f.join(near.select("ticker", "date", *NEIGHBOR_FEATURES), ["ticker", "date"], "left"), "features"))
+    return Q.value_diff(*both, VALUE_FEATURES)
 
 
 @query(

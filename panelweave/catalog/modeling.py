@@ -8,8 +8,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.feature_names import feature_columns
+from ..operators.features import drop_unpriced
 from ..operators import analog_index as I, analogs as K, construct as C, cross, latent as M, ranking_model as R
 from ..operators.construct import Branch
+from ..operators.extras import cluster_flags
 from ..operators.ranks import fifths
 from ..plans.staging import new_path, stage
 from ..sources import adapters as A
@@ -76,7 +78,7 @@ def _recall(spark, sf, probes):
 
 
 def _panel_latents(spark, sf, k=16):
-    f = stage(X.labelled(spark, sf).filter("price is not null"), "features")
+    f = stage(drop_unpriced(X.labelled(spark, sf)), "features")
     features = feature_columns(f, "state")
     state = M.with_vector(M.state_matrix(f, features), features)
     return M.fit_latents(stage(state, "state"), features, k).transform(state)
@@ -95,7 +97,7 @@ def panel_latents_walk_forward(spark, sf):
     """Scaler and components fitted on rows before 2000 only, applied to all."""
     import datetime as dt
 
-    f = stage(X.labelled(spark, sf).filter("price is not null"), "features")
+    f = stage(drop_unpriced(X.labelled(spark, sf)), "features")
     features = feature_columns(f, "state")
     day = dt.date(2000, 1, 1)
     state = stage(M.with_vector(M.state_matrix(f, features, day), features), "state")
@@ -237,18 +239,19 @@ def cluster_summary(spark, sf):
 
 @query(
     "cluster_check",
-    f"SELECT count(*) AS rows, CAST(count(DISTINCT vec_id % {A.PERIODS}) AS BIGINT) AS dates, 4::BIGINT AS clusters, 0::BIGINT AS misplaced FROM embeddings",
+    f"SELECT count(*) AS rows, CAST(count(DISTINCT vec_id % {A.PERIODS}) AS BIGINT) AS dates, 4::BIGINT AS clusters, 0::BIGINT AS misplaced, count(*) AS flags FROM embeddings",
 )
 def cluster_check(spark, sf):
     """Every row is in exactly one cluster, the one whose centre is nearest."""
     rows, names = _vectors(spark, sf)
     latents = M.fit_latents(rows, names, 16).transform(rows)
-    c = M.cluster(latents.select("ticker", "date", "z"), starts=2)
+    c = cluster_flags(M.cluster(latents.select("ticker", "date", "z"), starts=2), 4)
     return c.agg(
         F.count(F.lit(1)).alias("rows"),
         F.countDistinct("date").alias("dates"),
         F.countDistinct("cluster").alias("clusters"),
         F.count_if(F.get("dist_cluster", F.col("cluster")) > F.array_min("dist_cluster") + 1e-9).alias("misplaced"),
+        F.sum(sum((F.col(f"cluster_{i}") for i in range(4)), F.lit(0))).alias("flags"),
     )
 
 
@@ -264,7 +267,7 @@ def validation_split(spark, sf):
 
 def _model_table(spark, sf):
     """The feature panel with the statistics of its analogs, in the space of eight components."""
-    f = stage(X.labelled(spark, sf).filter("price is not null"), "features")
+    f = stage(drop_unpriced(X.labelled(spark, sf)), "features")
     return stage(K.with_neighbor_features(f, _panel_analogs(spark, sf, (8,))[8]), "model-table")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.feature_names import feature_columns
 from ..operators import cross, extras, features as feats, medians, ranks
-from ..operators.shape import by_ticker
+from ..operators.shape import by_ticker, dense_grid
 from ..plans.staging import stage
 from ..sources import adapters as A
 from ..sources.tables import normalize_universe
@@ -202,20 +202,23 @@ _DAILY = {
 }
 
 
-@query(
-    "daily_feature_snapshot",
-    f"""WITH {X.DRET}, {_MKT}, q AS (SELECT d.*, bench_dret, close*volume AS dv, abs(dret)/nullif(close*volume,0) AS impact,
+_SNAPSHOT = f"""{X.DRET}, {_MKT}, q AS (SELECT d.*, bench_dret, close*volume AS dv, abs(dret)/nullif(close*volume,0) AS impact,
 pow(ln(CASE WHEN high/low < 1 THEN 1.0 ELSE high/low END), 2) AS hl2, CASE WHEN dret < 0 THEN dret END AS down FROM dret d LEFT JOIN mret m ON m.date = d.date),
 b AS (SELECT *, ({X.roll('covar_samp', 'dret,bench_dret', 252)})/({X.roll('var_samp', 'bench_dret', 252)}) AS beta, {X.roll('corr', 'dret,bench_dret', 126)} AS corr FROM q),
 r AS (SELECT *, dret - beta*bench_dret AS resid FROM b),
 df AS (SELECT ticker, date, {", ".join(f"{e} AS {c}" for c, e in _DAILY.items())} FROM r),
 ff AS (SELECT ticker, date, {", ".join(f"last_value({c} IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS {c}" for c in _DAILY)} FROM df),
-ends AS (SELECT DISTINCT ticker, last_day(date) AS date FROM dgrid)
-SELECT e.ticker, e.date, {", ".join(_DAILY)} FROM ends e ASOF LEFT JOIN ff ON e.ticker = ff.ticker AND e.date >= ff.date""",
-    " ".join(_DAILY),
-)
+ends AS (SELECT DISTINCT ticker, last_day(date) AS date FROM dgrid),
+snap AS (SELECT e.ticker, e.date, {", ".join(_DAILY)} FROM ends e ASOF LEFT JOIN ff ON e.ticker = ff.ticker AND e.date >= ff.date)"""
+
+
+@query("daily_feature_snapshot", f"WITH {_SNAPSHOT} SELECT * FROM snap", " ".join(_DAILY))
 def daily_feature_snapshot(spark, sf):
     """All daily-bar features, read at each month end."""
+    return _snapshot(spark, sf)
+
+
+def _snapshot(spark, sf):
     bars = stage(X.daily(spark, sf), "bars")
     ends = bars.select("ticker", F.last_day("date").alias("date")).distinct()
     return feats.period_snapshot(feats.daily_features(by_ticker(bars), _daily_market(spark, sf)), ends)
@@ -240,6 +243,62 @@ def macro_features(spark, sf):
     return feats.macro_features(wide, "view", "click", "error", "signup", "purchase", "purchase")
 
 
+# daily series out of the raw lines: one for each line number and each return flag
+_SERIES = [*(f"L{i}" for i in range(1, 8)), "A", "N", "R"]
+_ROLES = dict(zip("fear long_yield short_yield bonds gold risky safe large small market".split(), _SERIES))
+_MACRO_COLUMNS = (
+    "v3m_fear v3m_fear_chg_1m v3m_fear_z_12m v3m_long_yield v3m_short_yield v3m_term_spread v3m_term_spread_chg_3m v3m_bonds_ret_3m "
+    "v3m_gold_ret_3m v3m_risky_ret_3m v3m_credit_appetite_3m v3m_risky_drawdown v3m_large_minus_small_3m v3m_market_to_ma10m"
+)
+_R3 = lambda c: f"({c}/lag({c}, 3) {X._B} - 1)"
+MACRO_MONTHLY = f"""ml AS (SELECT CAST(l_shipdate AS DATE) AS date, unnest(['L'||l_linenumber, l_returnflag]) AS series, l_extendedprice, l_quantity FROM lineitem),
+mv AS (SELECT date, series, {X._UNIT} AS v FROM ml GROUP BY 1, 2),
+mw AS (SELECT date, {", ".join(f"max(v) FILTER (series = '{c}') AS {k}" for k, c in _ROLES.items())} FROM mv GROUP BY 1),
+mf AS (SELECT date, {", ".join(f"last_value({k} IGNORE NULLS) OVER (ORDER BY date ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS {k}" for k in _ROLES)} FROM mw),
+me AS (SELECT last_day(CAST(g AS DATE)) AS date FROM (SELECT unnest(generate_series(date_trunc('month', min(date)), date_trunc('month', max(date)), INTERVAL 1 MONTH)) AS g FROM mf)),
+mm AS (SELECT me.date, mf.* EXCLUDE (date) FROM me ASOF LEFT JOIN mf ON me.date >= mf.date),
+macro AS (SELECT date, fear AS v3m_fear, fear - lag(fear) {X._B} AS v3m_fear_chg_1m,
+(fear - ({X.roll_all('avg', 'fear', 12)}))/({X.roll_all('stddev_samp', 'fear', 12)}) AS v3m_fear_z_12m,
+long_yield AS v3m_long_yield, short_yield AS v3m_short_yield, long_yield - short_yield AS v3m_term_spread,
+(long_yield - short_yield) - lag(long_yield - short_yield, 3) {X._B} AS v3m_term_spread_chg_3m,
+{_R3('bonds')} AS v3m_bonds_ret_3m, {_R3('gold')} AS v3m_gold_ret_3m, {_R3('risky')} AS v3m_risky_ret_3m, {_R3('risky')} - {_R3('safe')} AS v3m_credit_appetite_3m,
+risky/max(risky) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS v3m_risky_drawdown, {_R3('large')} - {_R3('small')} AS v3m_large_minus_small_3m,
+market/({X.roll_all('avg', 'market', 10)}) AS v3m_market_to_ma10m FROM mm)"""
+
+
+def _macro_monthly(spark, sf):
+    wide = feats.macro_wide(A.line_series(spark, sf), _SERIES)
+    return feats.macro_monthly(stage(feats.macro_month_ends(wide), "macro"), _ROLES)
+
+
+@query("macro_features_monthly", f"WITH {MACRO_MONTHLY} SELECT * FROM macro", _MACRO_COLUMNS)
+def macro_features_monthly(spark, sf):
+    """Macro columns at month ends: levels, changes, spreads and returns of ten daily series."""
+    return _macro_monthly(spark, sf)
+
+
+# the base features on the monthly prices of the brands that the daily bars tell of
+_BASE = "ret_1m ret_3m ret_6m ret_12m price_to_ma_3m price_to_ma_6m price_to_ma_12m vol_3m vol_6m vol_12m stock_drawdown_6m stock_drawdown_12m stock_drawdown future_1m_return".split()
+WIDENED = f"""bpx AS (SELECT ticker, last_day(date) AS date, arg_max(close, date) AS price FROM bars GROUP BY 1, 2),
+bgrid AS (SELECT t.ticker, c.date, p.price FROM (SELECT DISTINCT ticker FROM bpx) t CROSS JOIN (SELECT DISTINCT date FROM bpx) c
+  LEFT JOIN bpx p ON p.ticker = t.ticker AND p.date = c.date), {X.FEAT[X.FEAT.index("f1 AS"):].replace("FROM grid)", "FROM bgrid)")}"""
+
+
+@query(
+    "widened_features",
+    f"""WITH {_SNAPSHOT}, {WIDENED}, {MACRO_MONTHLY}
+SELECT f.ticker, f.date, f.price, {", ".join(f"f.{c}" for c in _BASE)}, s.* EXCLUDE (ticker, date), m.* EXCLUDE (date)
+FROM feat f LEFT JOIN snap s ON s.ticker = f.ticker AND s.date = f.date LEFT JOIN macro m ON m.date = f.date""",
+    " ".join([*_BASE, *_DAILY, *_MACRO_COLUMNS.split()]),
+)
+def widened_features(spark, sf):
+    """The feature table of brands: base features of month-end closes, those of daily bars, and the macro columns."""
+    closes = A.daily_bars(spark, sf).groupBy("ticker", F.last_day("date").alias("date")).agg(F.max_by("close", "date").alias("price"))
+    closes = stage(closes, "closes")
+    base = feats.stock_features(dense_grid(closes, closes, closes)).select("ticker", "date", "price", *_BASE)
+    return feats.widened(base, _snapshot(spark, sf), _macro_monthly(spark, sf))
+
+
 @query(
     "scalar_functions",
     """SELECT o_orderkey, upper(trim(o_orderpriority)) AS code, TRY_CAST(split_part(o_orderpriority, '-', 1) AS DOUBLE) AS level,
@@ -322,7 +381,7 @@ def feature_medians(spark, sf):
 )
 def feature_medians_bracketed(spark, sf):
     """The same medians by the bracketing path that large inputs take."""
-    return medians.exact_medians(stage(X.feat(spark, sf).select(*PROFILE), "features"), PROFILE, 200, 200)
+    return medians.exact_medians(stage(X.feat(spark, sf).select(*PROFILE), "features"), PROFILE, digit=3)
 
 
 @query(

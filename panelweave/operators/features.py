@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.rolling import Rolling
 from ..functions.scalars import clip, holds, positive, ratio
-from .shape import asof_join, bounded_fill
+from .shape import asof_join, asof_scan, bounded_fill
 
 RETURN_WINDOWS = (1, 3, 6, 12)
 MA_WINDOWS = (3, 6, 12)
@@ -210,6 +210,52 @@ def macro_wide(macro: DataFrame, series: list[str]) -> DataFrame:
     return macro.groupBy("date").pivot("series", series).agg(F.max("value"))
 
 
+def macro_month_ends(wide: DataFrame, limit: int = 7) -> DataFrame:
+    """Daily levels at month ends: gaps filled for at most ``limit`` rows, then the last row at or before each end.
+
+    The months run from the first to the last with a row; one row per date and month, so the windows are calendar-sized."""
+    series = [c for c in wide.columns if c != "date"]
+    t = Rolling("_one")
+    filled = wide.withColumn("_one", F.lit(1)).select("date", *[t.fill(c, limit).alias(c) for c in series])
+    span = filled.agg(F.min(F.last_day("date")).alias("a"), F.max(F.last_day("date")).alias("b"))
+    months = F.sequence(F.trunc("a", "month"), F.trunc("b", "month"), F.expr("INTERVAL 1 MONTH"))
+    ends = span.select(F.explode(F.transform(months, F.last_day)).alias("date"))
+    return asof_scan(ends, filled)
+
+
+def macro_monthly(m: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Fourteen monthly columns out of levels at month ends (one row per month).
+
+    ``names`` says which series is fear, long_yield, short_yield, bonds, gold, risky, safe, large, small and market."""
+    s = {k: F.col(v) for k, v in names.items()}
+    t = Rolling("_one")
+    df = m.withColumn("_one", F.lit(1)).withColumn("_spread", s["long_yield"] - s["short_yield"])
+    ret = lambda k: t.ret(names[k], 3)
+    fear, market = names["fear"], names["market"]
+    return df.select(
+        "date",
+        s["fear"].alias("v3m_fear"),
+        t.change(fear, 1).alias("v3m_fear_chg_1m"),
+        ratio(F.col(fear) - t.mean(fear, 12), t.std(fear, 12)).alias("v3m_fear_z_12m"),
+        s["long_yield"].alias("v3m_long_yield"),
+        s["short_yield"].alias("v3m_short_yield"),
+        F.col("_spread").alias("v3m_term_spread"),
+        t.change("_spread", 3).alias("v3m_term_spread_chg_3m"),
+        ret("bonds").alias("v3m_bonds_ret_3m"),
+        ret("gold").alias("v3m_gold_ret_3m"),
+        ret("risky").alias("v3m_risky_ret_3m"),
+        (ret("risky") - ret("safe")).alias("v3m_credit_appetite_3m"),
+        t.drawdown(names["risky"]).alias("v3m_risky_drawdown"),
+        (ret("large") - ret("small")).alias("v3m_large_minus_small_3m"),
+        ratio(market, t.mean(market, 10)).alias("v3m_market_to_ma10m"),
+    )
+
+
+def widened(base: DataFrame, daily_at_ends: DataFrame, macro_at_ends: DataFrame) -> DataFrame:
+    """The base features with those of daily bars, on (date, ticker), and of macro series, on the date. Rows of the base stay."""
+    return base.join(daily_at_ends, ["date", "ticker"], "left").join(macro_at_ends, "date", "left")
+
+
 def macro_features(
     wide: DataFrame,
     level: str,

@@ -194,19 +194,18 @@ def evaluate_periods(signals: DataFrame, prices: DataFrame, bench: DataFrame) ->
 
     Start and end are the newest price dates at or before the signal and the evaluation date. A holding without
     both prices drops out of the return and is listed. Signals of the last date have no end yet and do not appear."""
-    from .shape import asof_join
+    from .shape import asof_scan
 
     # date-level tables: one row per calendar date
     lead = Window.orderBy("date")
     calendar = prices.select("date").distinct().select(
         "date",
-        F.lit(1).alias("_k"),
         F.col("date").alias("signal_price_date"),
         F.lead("date").over(lead).alias("evaluation_date"),
     )
-    asked = signals.select(F.col("signal_date").alias("date")).distinct().withColumn("_k", F.lit(1))
+    asked = signals.select(F.col("signal_date").alias("date")).distinct()
     span = (
-        asof_join(asked, calendar, ["_k"])
+        asof_scan(asked, calendar)
         .select(F.col("date").alias("signal_date"), "signal_price_date", "evaluation_date")
         .filter(F.col("evaluation_date").isNotNull())
     )

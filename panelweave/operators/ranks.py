@@ -1,9 +1,9 @@
 """Exact ranks inside groups of any size.
 
-A full rank of one date's cross-section would put that whole date into one task. Groups are therefore counted
-first. When the largest is within ``task_rows`` a plain window does it; beyond that each group is cut into
-ranges at sampled rows, ranked per range, and shifted by the sizes of the ranges before it. The sampled rows are
-boundaries only: every row is ranked.
+A full rank of one date's cross-section would put that whole date into one task. Rows are therefore dealt by ranges of group
+and order key: a group lies in one range or in several that follow each other. Each range is ranked by itself, and shifted by
+the rows of its group in the ranges before it, of which there is one line a range. Groups of one row and groups that
+hold most of the table go the same way; ranges are of even size, however the groups are spread.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.staging import stage
 
-TASK_ROWS = 2_000_000
+TASK_ROWS = 2_000_000  # of a range, about
 
 
 def rank_within(
@@ -28,28 +28,25 @@ def rank_within(
     For a descending number pass its negative. ``size`` names an optional column with the group's row count."""
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
     rows = stage(df.withColumn("_key", key), "rank-input")
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
-    largest = sizes.agg(F.max("_size")).first()[0] or 0
-    if size:
-        rows = rows.join(sizes.withColumnRenamed("_size", size), by)
-    if largest <= task_rows:
-        w = Window.partitionBy(*by).orderBy("_key")
-        return rows.withColumn(rank, F.row_number().over(w).cast("bigint")).drop("_key")
-
-    # about one boundary per half task; the hash of the unique key spreads them over the order
-    spread = F.pmod(F.xxhash64(*by, "_key"), F.lit(max(task_rows // 2, 1))) == 0
-    bounds = rows.filter(spread).groupBy(*by).agg(F.array_sort(F.collect_list("_key")).alias("_bounds"))
-    ranged = rows.join(bounds, by, "left").withColumn(
-        "_range", F.coalesce(F.size(F.filter("_bounds", lambda b: b <= F.col("_key"))), F.lit(0))
-    ).drop("_bounds")
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // task_rows))
+    ranged = rows.repartitionByRange(parts, *by, "_key").withColumn("_range", F.spark_partition_id())
+    ranged = stage(ranged, "rank-ranges")
     counts = ranged.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    shift = counts.select(*by, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    group = Window.partitionBy(*by)  # one line for each range that the group reaches into
+    before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shift = counts.select(
+        *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)],
+        F.col("_range").alias("_at"),
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"),
+        *([F.sum("_n").over(group).alias(size)] if size else []),
+    )
+    same = F.col("_range") == F.col("_at")
+    for i, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"_by{i}"))
     w = Window.partitionBy(*by, "_range").orderBy("_key")
-    return (
-        ranged.join(shift, [*by, "_range"])
-        .withColumn(rank, (F.row_number().over(w) + F.col("_shift")).cast("bigint"))
-        .drop("_key", "_range", "_shift")
+    placed = ranged.withColumn("_place", F.row_number().over(w)).join(shift, same)
+    return placed.withColumn(rank, (F.col("_place") + F.col("_shift")).cast("bigint")).select(
+        *df.columns, *([size] if size else []), rank
     )
 
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.rolling import Rolling
-from ..functions.scalars import as_col, month_end as month_end_of, ratio
+from ..functions.scalars import month_end as month_end_of, ratio
+from .ranks import rank_within
 
 
 def month_end(df: DataFrame, key: str = "ticker", date: str = "date", value: str = "price") -> DataFrame:
@@ -142,6 +144,37 @@ def asof_join(
     )
 
 
+def asof_scan(left: DataFrame, right: DataFrame, on: str = "date", matched_as: str | None = None) -> DataFrame:
+    """For each left row the last right row at or before it, without a key: a carry scan over the whole calendar.
+
+    Both sides are cut into spans of time, about the root of the covered time in number. The last right row of every span is
+    an aggregate; carried over the spans it is what a span begins with, and inside a span both sides are read in order. No task
+    sees more than one span, or one row for each span. ``on`` is a date or a timestamp; a right row wins over a left row of
+    the same time."""
+    intraday = dict(left.dtypes)[on] != "date" or dict(right.dtypes)[on] != "date"
+    at = F.unix_micros(F.col(on).cast("timestamp")) if intraday else F.unix_date(on).cast("bigint")
+    carried = [c for c in right.columns if c != on]
+    kept = [c for c in left.columns if c != on]
+    low, high, n = right.agg(F.min(at), F.max(at), F.count("*")).first()
+    width = max(1, (high - low + 1) // max(1, math.isqrt(n))) if n else 1
+    span = F.floor((at - F.lit(low or 0)) / width)
+    hit = F.struct(F.col(on).alias("_on"), *carried).alias("_right")
+    r = right.select(span.alias("_span"), at.alias("_at"), F.lit(0).alias("_side"), hit)
+    l = left.select(span.alias("_span"), at.alias("_at"), F.lit(1).alias("_side"), F.struct(on, *kept).alias("_left"))
+    ends = r.groupBy("_span").agg(F.max_by("_right", "_at").alias("_end"))
+    begun = l.select("_span").distinct().join(ends, "_span", "full")  # one row a span
+    before = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    begun = begun.select("_span", F.last("_end", ignorenulls=True).over(before).alias("_begin"))
+    inside = Window.partitionBy("_span").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    both = r.unionByName(l, allowMissingColumns=True).withColumn("_hit", F.last("_right", ignorenulls=True).over(inside))
+    out = both.filter("_side = 1").join(begun, "_span").withColumn("_hit", F.coalesce("_hit", "_begin"))
+    return out.select(
+        *[F.col(f"_left.{c}").alias(c) for c in (on, *kept)],
+        *([F.col("_hit._on").alias(matched_as)] if matched_as else []),
+        *[F.col(f"_hit.{c}").alias(c) for c in carried],
+    )
+
+
 def prices_asof(prices: DataFrame, as_of: dt.date | Column, date: str = "date") -> DataFrame:
     """All prices of the single newest date at or before ``as_of``."""
     seen = prices.filter(F.col(date) <= as_of)
@@ -182,11 +215,7 @@ def change_over_rows(grid: DataFrame, steps: tuple[int, ...] = (1, 21, 252), val
     ).filter(F.col("date") == newest)
 
 
-def join_by_date(panel: DataFrame, dated: DataFrame, how: str = "left") -> DataFrame:
-    """Date-level values onto a panel. The dated side is one row per date; it is broadcast only once counted."""
-    return panel.join(dated, "date", how)
-
-
-def at_least(c: Column | str, floor: float) -> Column:
-    c = as_col(c)
-    return F.when(c.isNotNull(), F.greatest(c, F.lit(floor)))
+def with_position(df: DataFrame, order: list[Column], position: str = "position") -> DataFrame:
+    """The place of every row in the order in which the table is to be read or written, from 1. A stored table has no order
+    of its own; whoever writes it out in order sorts by this column. End ``order`` with a unique key."""
+    return rank_within(df.withColumn("_table", F.lit(1)), ["_table"], order, position).drop("_table")

@@ -110,6 +110,16 @@ def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def line_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(date, series, value): daily unit price of the lines of each line number and of each return flag."""
+    lines = load(spark, sf_dir, "lineitem")
+    return (
+        lines.select(F.to_date("l_shipdate").alias("date"), F.explode(F.array(F.concat(F.lit("L"), "l_linenumber"), F.col("l_returnflag"))).alias("series"), "l_extendedprice", "l_quantity")
+        .groupBy("date", "series")
+        .agg((F.sum(cents("l_extendedprice")).cast("double") / (F.sum(F.col("l_quantity").cast("bigint")) * 100).cast("double")).alias("value"))
+    )
+
+
 def ticks(df: DataFrame) -> DataFrame:
     """Events as quotes; ``ts`` becomes a zoned timestamp, which watermarks need."""
     return df.select(

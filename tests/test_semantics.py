@@ -207,7 +207,7 @@ def test_medians_by_brackets_are_exact(spark):
     a = np.round(rng.normal(size=5000), 2)
     b = np.where(rng.random(5000) < 0.6, 0.0, rng.normal(size=5000))  # one value holds most rows
     df = rows(spark, [(float(x), float(y), None) for x, y in zip(a, b)], "a double, b double, c double")
-    got = {r.feature: r.median for r in medians.exact_medians(df, ["a", "b", "c"], 50, 100).collect()}
+    got = {r.feature: r.median for r in medians.exact_medians(df, ["a", "b", "c"], 5).collect()}
     assert got == {"a": np.median(a), "b": np.median(b), "c": None}
 
 
@@ -305,3 +305,47 @@ def test_price_spans_cover_common_dates_only(spark):
     got = {r.ticker: r for r in Q.price_diff(a, b).collect()}
     assert (got["A"].a_first_date, got["A"].b_last_date, got["A"].overlap_count) == (MONTHS[1], MONTHS[2], 2)
     assert (got["B"].overlap_count, got["B"].a_first_date, got["B"].b_last_date) == (0, None, None)
+
+
+@pytest.mark.parametrize("kind", ["date", "timestamp"])
+def test_asof_scan_equals_a_search(spark, kind):
+    import bisect
+    import random
+
+    from panelweave.operators.shape import asof_scan
+
+    rng = random.Random(4)
+    unit = dt.timedelta(days=1) if kind == "date" else dt.timedelta(minutes=7)
+    start = dt.date(2020, 1, 1) if kind == "date" else dt.datetime(2020, 1, 1, 9)
+    right = [(start + unit * i, float(i) if i % 5 else None) for i in sorted(rng.sample(range(3000), 120))]
+    left = [(start + unit * rng.randrange(-50, 3100), i) for i in range(200)] + [(right[3][0], 999)]
+    got = asof_scan(spark.createDataFrame(left, f"date {kind}, i int"), spark.createDataFrame(right, f"date {kind}, v double"), matched_as="hit")
+    days = [d for d, _ in right]
+    for r in got.collect():
+        at = bisect.bisect_right(days, r.date) - 1
+        assert (r.hit, r.v) == (right[at] if at >= 0 else (None, None))
+    assert got.count() == 201
+    empty = spark.createDataFrame([], f"date {kind}, v double")
+    assert asof_scan(spark.createDataFrame(left, f"date {kind}, i int"), empty).filter("v IS NULL").count() == 201
+
+
+def test_positions_follow_the_order(spark):
+    from panelweave.operators.shape import with_position
+
+    df = spark.createDataFrame([(i * 7 % 101, f"t{i:03d}") for i in range(101)], "a int, ticker string")
+    got = {r.ticker: r.position for r in with_position(df, [F.col("a") % 3, F.col("ticker")]).collect()}
+    order = sorted(((i * 7 % 101) % 3, f"t{i:03d}") for i in range(101))
+    assert [got[t] for _, t in order] == list(range(1, 102))
+
+
+def test_medians_of_odd_columns(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(0, 1e-300, 50), rng.normal(0, 1e300, 51), [-0.0, 0.0, 5e-324, -5e-324]])
+    data = [(float(v), None, float(i % 2), int(i), float("nan") if i % 3 else float(v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(data, "a double, b double, c double, d int, e double")
+    got = {r.feature: r.median for r in medians.exact_medians(df, list("abcde")).collect()}
+    e = [v for i, v in enumerate(x) if i % 3 == 0]
+    assert got == {"a": np.median(x), "b": None, "c": np.median([i % 2 for i in range(len(x))]), "d": np.median(range(len(x))), "e": np.median(e)}
+    assert {r.median for r in medians.exact_medians(df.limit(0), ["a"]).collect()} == {None}
