@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.feature_names import feature_columns
 from ..operators.features import drop_unpriced
-from ..operators import analog_index as I, analogs as K, construct as C, cross, latent as M, ranking_model as R
+from ..operators import analog_index as I, analogs as K, construct as C, cross, latent as M, latent_dates as LD, ranking_model as R
 from ..operators.construct import Branch
 from ..operators.extras import cluster_flags
 from ..operators.ranks import fifths
@@ -107,6 +107,48 @@ def panel_latents_walk_forward(spark, sf):
     )
 
 
+def _by_date(spark, sf):
+    """Feature panel (staged), its state columns, and the model of every date."""
+    f = stage(drop_unpriced(X.labelled(spark, sf)), "features")
+    features = feature_columns(f, "state")
+    return f, features, stage(LD.models_by_date(f, features, 8), "date-models")
+
+
+@query("panel_latents_by_date")
+def panel_latents_by_date(spark, sf):
+    """Components and reconstruction error of every row, each by a model of strictly earlier dates."""
+    f, features, models = _by_date(spark, sf)
+    return M.flat_components(LD.transformed(f, models, features).drop("model_date"), 8)
+
+
+@query(
+    "latents_by_date_check",
+    f"""WITH {X.LABELLED}, r AS (SELECT * FROM lab WHERE price IS NOT NULL),
+d AS (SELECT date, n AS rows, CAST(coalesce(sum(n) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rows_before FROM (SELECT date, count(*) AS n FROM r GROUP BY 1))
+SELECT *, true AS uncorrelated, true AS falling FROM d WHERE rows_before >= 250""",
+)
+def latents_by_date_check(spark, sf):
+    """For every date with a model: its rows, those the model has seen, and that the first components of the rows before the
+    date are uncorrelated under its model and fall in variance. All rows before a date meet its model, for every tenth
+    date; the others are checked on their number of rows."""
+    f, features, models = _by_date(spark, sf)
+    dates = [r.date for r in models.select("date").orderBy("date").collect()]  # a calendar
+    some = dates[::10]
+    own = LD.transformed(f, models, features).groupBy("date").agg(F.count("*").alias("rows"))
+    asked = f.withColumn("of", F.explode(F.filter(F.array(*[F.lit(d) for d in some]), lambda d: d > F.col("date"))))
+    seen = LD.transformed(asked, models, features, by="of")
+    z = [F.get("z", F.lit(i)) for i in range(4)]
+    judged = seen.groupBy(F.col("model_date").alias("date")).agg(
+        reduce(lambda a, b: a & b, [F.abs(F.corr(a, b)) < 1e-6 for a, b in zip(z, z[1:])]).alias("uncorrelated"),
+        reduce(lambda a, b: a & b, [F.variance(a) >= F.variance(b) for a, b in zip(z, z[1:])]).alias("falling"),
+    )
+    whole = models.select("date", F.col("n").alias("rows_before")).join(own, "date").join(judged, "date", "left")
+    checked = F.col("date").isin(some)
+    return whole.select(
+        "date", "rows", "rows_before", *[F.when(checked, F.coalesce(c, F.lit(False))).otherwise(True).alias(c) for c in ("uncorrelated", "falling")]
+    )
+
+
 DIMS = (4, 8, 16, 32)
 
 

@@ -6,9 +6,18 @@ from pyspark.sql import functions as F
 
 from ..functions.rolling import Rolling
 from ..operators import shape
-from ..plans.staging import stage
+from ..plans.staging import new_path, stage
 from ..sources import adapters as A
-from ..sources.tables import select_field, unpivot_panel, universe_keys
+from ..sources.tables import (
+    read_features,
+    read_ledger,
+    read_ohlcv,
+    read_or_empty,
+    select_field,
+    universe_keys,
+    unpivot_panel,
+    write_table,
+)
 from . import fixtures as X
 from .registry import query
 
@@ -71,6 +80,55 @@ def wide_panel_unpivot(spark, sf):
     return unpivot_panel(wide)
 
 
+@query("features_round_trip", f"WITH {X.FEAT} SELECT ticker, date, price, ret_1m, vol_12m FROM feat", "ret_1m vol_12m")
+def features_round_trip(spark, sf):
+    """The feature table, written by date and read back with typed keys and pruned columns."""
+    path = new_path(spark, "feature-file")
+    written = X.feat(spark, sf).withColumn("ticker", F.concat(F.lit(" "), F.lower("ticker")))
+    write_table(written, path, by=["date"])
+    return read_features(spark, path, ["date", "ticker", "price", "ret_1m", "vol_12m"])
+
+
+@query(
+    "bars_round_trip",
+    f"WITH {X.BARS} SELECT ticker, date, close, high, low, volume FROM bars",
+    "high low",
+)
+def bars_round_trip(spark, sf):
+    """Daily bars as four wide files, one for each field, read back as one long table."""
+    bars = stage(A.daily_bars(spark, sf), "bars")
+    tickers = sorted(r.ticker for r in bars.select("ticker").distinct().collect())  # columns of the wide files
+    paths = {}
+    for field in ("close", "high", "low", "volume"):
+        paths[field] = new_path(spark, f"{field}-file")
+        write_table(bars.groupBy("date").pivot("ticker", tickers).agg(F.max(field)), paths[field])
+    return read_ohlcv(spark, paths).filter("close IS NOT NULL")
+
+
+@query(
+    "ledger_round_trip",
+    """SELECT CAST(o_orderdate AS DATE) AS date, upper(trim(o_orderpriority)) AS ticker, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS final_weight,
+CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 2 = 0 END AS regime_risk_on, CAST(NULL AS BIGINT) AS best_rank, CAST(o_orderkey AS VARCHAR) AS note FROM orders""",
+    "final_weight",
+)
+def ledger_round_trip(spark, sf):
+    """A ledger as CSV with odd text, read back by its schema: tolerant numbers and dates, a missing column, one more column. A
+    ledger that is not there yet is empty."""
+    schema = "date date, ticker string, final_weight double, regime_risk_on boolean, best_rank bigint"
+    key = F.col("o_orderkey")
+    text = A.load(spark, sf, "orders").select(
+        F.to_date("o_orderdate").cast("string").alias("date"),
+        F.concat(F.lit(" "), F.lower("o_orderpriority"), F.lit(" ")).alias("ticker"),
+        F.when(key % 7 == 0, F.lit("n/a")).otherwise(F.col("o_totalprice").cast("string")).alias("final_weight"),
+        F.when(key % 3 == 0, (key % 2 == 0).cast("string")).otherwise("-").alias("regime_risk_on"),
+        key.cast("string").alias("note"),
+    )
+    path = new_path(spark, "ledger-file")
+    write_table(text, path, "csv")
+    kinds = spark.createDataFrame([], schema).schema
+    return read_ledger(spark, path, kinds).unionByName(read_or_empty(spark, path + "-none", kinds, "csv"), allowMissingColumns=True)
+
+
 @query(
     "price_coverage",
     f"""WITH {X.GRID}, ask AS (SELECT ticker FROM uni UNION SELECT 'MARKET'),

@@ -66,7 +66,7 @@ def with_benchmark(features: DataFrame, bench: DataFrame) -> DataFrame:
 
 def group_means(df: DataFrame, by: list[str], columns: list[str], prefix: str) -> DataFrame:
     """Mean of each column per group, joined back. Groups are averaged with map-side combine, so a sector that
-    holds most of a date is no hot task; the means are broadcast once their number is known to be small."""
+    holds most of a date is no hot task."""
     means = df.groupBy(*by).agg(*[F.avg(c).alias(f"{prefix}_{c}") for c in columns])
     return df.join(means, by, "left")
 

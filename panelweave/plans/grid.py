@@ -12,6 +12,7 @@ from ..operators.construct import hedged, inverse_vol
 from ..operators.ranks import top_n
 from .staging import stage
 
+# fixed values: names of the dimensions of a grid, and of its placeholders and blends below
 DIMENSIONS = ["orig_feats", "orig_topn", "neigh_dim", "neigh_topn", "blend", "hedge"]
 
 
