@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.feature_names import feature_columns
-from ..operators import cross, extras, features as feats, medians, ranks
+from ..operators import cross, extras, features as feats, medians, ranks, states
 from ..operators.shape import by_ticker, dense_grid
-from ..plans.staging import stage
+from ..plans.staging import new_path, stage
 from ..sources import adapters as A
 from ..sources.tables import normalize_universe
 from . import fixtures as X
@@ -299,6 +299,38 @@ def widened_features(spark, sf):
     return feats.widened(base, _snapshot(spark, sf), _macro_monthly(spark, sf))
 
 
+_CORRECTED = "date = DATE '1997-06-30' AND CAST(substr(ticker, 2) AS INT) % 3 = 0"
+
+
+@query(
+    "sector_relative_from_states",
+    f"""WITH {X.FEAT}, c AS (SELECT ticker, date, CASE WHEN {_CORRECTED} THEN ret_1m + 0.01 ELSE ret_1m END AS ret_1m, CASE WHEN {_CORRECTED} THEN NULL ELSE ret_6m END AS ret_6m FROM feat),
+j AS (SELECT c.*, sector FROM c JOIN uni u ON u.ticker = c.ticker)
+SELECT ticker, date, sector, ret_1m - avg(ret_1m) OVER w AS ret_1m_minus_sector, ret_6m - avg(ret_6m) OVER w AS ret_6m_minus_sector,
+count(ret_1m) OVER w AS known, CASE WHEN count(ret_1m) OVER w > 1 THEN stddev_samp(ret_1m) OVER w END AS ret_1m_std, 0::BIGINT AS computed_again FROM j WINDOW w AS (PARTITION BY date, sector)""",
+    "ret_1m_minus_sector ret_6m_minus_sector ret_1m_std",
+)
+def sector_relative_from_states(spark, sf):
+    """Returns less their sector's mean, out of states stored in three increments and corrected once. A further run over all
+    periods finds none to compute."""
+    by, columns = ["date", "sector"], ["ret_1m", "ret_6m"]
+    rows = stage(X.feat(spark, sf).join(A.universe(spark, sf), "ticker").select("ticker", *by, *columns), "panel")
+    path = new_path(spark, "sector-states")
+    for upto in ("1996-12-31", "1999-12-31", "2100-01-01"):
+        states.update(rows.filter(F.col("date") <= F.lit(upto).cast("date")), path, by, columns)
+    hit = F.expr(_CORRECTED)
+    right = rows.withColumn("ret_1m", F.when(hit, F.col("ret_1m") + 0.01).otherwise(F.col("ret_1m"))).withColumn(
+        "ret_6m", F.when(~hit, F.col("ret_6m"))
+    )
+    states.correct(rows.filter(hit), right.filter(hit), path, by, columns)
+    again = states.update(right, path, by, columns).count()
+    means = states.merged(spark, path, by, columns)
+    return right.join(means, by, "left").select(
+        "ticker", *by, *[(F.col(c) - F.col(f"{c}_mean")).alias(f"{c}_minus_sector") for c in columns],
+        F.coalesce("ret_1m_n", F.lit(0)).alias("known"), "ret_1m_std", F.lit(again).alias("computed_again"),
+    )
+
+
 @query(
     "scalar_functions",
     """SELECT o_orderkey, upper(trim(o_orderpriority)) AS code, TRY_CAST(split_part(o_orderpriority, '-', 1) AS DOUBLE) AS level,
