@@ -7,6 +7,8 @@ in double precision, and the best of all shards are the answer."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -20,7 +22,7 @@ SEARCH_WIDTH = 100
 RELAX = 1.2
 BATCH = 1000
 EXPANDED = 4  # beam entries that are opened at once
-BLOCK = 1000  # questions that one task answers on one shard
+BLOCK = 1000  # questions that are put to a shard at once
 TOP = 10
 
 
@@ -161,44 +163,61 @@ def build_index(rows: DataFrame, top: int = TOP, shard_rows: int = SHARD_ROWS) -
     )
 
 
+class _Shard:
+    """One shard as a task holds it."""
+
+    def __init__(self, row: dict):
+        get = lambda c, t: np.frombuffer(row[c], t)
+        self.x, self.ids = get("vectors", np.float64).reshape(-1, row["dim"]), get("ids", np.int64)
+        self.ends, self.entry = get("id_ends", np.int64), row["entry"]
+        self.graph = get("graph", np.int32).reshape(len(self.x), -1).astype(np.int64)
+        self.small = self.x.astype(np.float32)
+
+    def answer(self, own: list[int], q: np.ndarray, top: int, width: int) -> list[tuple[int, int, float]]:
+        """(question, id, distance): what the beams hold, measured again in double precision, ``top`` for each question."""
+        beam, _ = beam_search(self.small, self.graph, self.entry, q.astype(np.float32), width)
+        out = []
+        for name, v, nodes in zip(own, q, beam, strict=True):
+            nodes = nodes[nodes >= 0]
+            exact = np.sqrt(((self.x[nodes] - v) ** 2).sum(axis=1))
+            found = [
+                (float(d), int(i))
+                for n, d in zip(nodes, exact, strict=True)
+                for i in self.ids[(self.ends[n - 1] if n else 0) : self.ends[n]]
+                if i != name
+            ]
+            out += [(name, i, d) for d, i in sorted(found)[:top]]
+        return out
+
+
 def search(index: DataFrame, asked: DataFrame, top: int = TOP, width: int = SEARCH_WIDTH) -> DataFrame:
-    """(query_id, rank, vec_id, score) for ``asked`` (vec_id, v): every question goes to every shard, in blocks."""
-
-    def answer(key, questions: pa.Table, shard: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if questions.num_rows and shard.num_rows:
-            dim = shard.column("dim")[0].as_py()
-            get = lambda c, t: np.frombuffer(shard.column(c)[0].as_py(), t)
-            x, ids, ends = get("vectors", np.float64).reshape(-1, dim), get("ids", np.int64), get("id_ends", np.int64)
-            graph = get("graph", np.int32).reshape(len(x), -1).astype(np.int64)
-            q = np.array(questions.column("v").to_pylist(), np.float64)
-            small = x.astype(np.float32)
-            for lo in range(0, len(q), BLOCK):
-                some = q[lo : lo + BLOCK]
-                beam, _ = beam_search(small, graph, shard.column("entry")[0].as_py(), some.astype(np.float32), width)
-                for own, v, nodes in zip(questions.column("vec_id").to_pylist()[lo : lo + BLOCK], some, beam, strict=True):
-                    nodes = nodes[nodes >= 0]
-                    exact = np.sqrt(((x[nodes] - v) ** 2).sum(axis=1))
-                    found = [
-                        (float(d), int(i))
-                        for n, d in zip(nodes, exact, strict=True)
-                        for i in ids[(ends[n - 1] if n else 0) : ends[n]]
-                        if i != own
-                    ]
-                    out += [(own, i, d) for d, i in sorted(found)[:top]]
-        kinds = {"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()}
-        return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate(kinds.items())})
-
-    n = max(1, -(-asked.count() // BLOCK))
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("part")
-    shards = index.select(F.col("shard").alias("at"), F.col("dim").alias("length"))
-    left = asked.select("vec_id", "v", block).join(shards, F.size("v") == F.col("length"))
-    right = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    met = (
-        left.groupBy("at", "length", "part")
-        .cogroup(right.groupBy("shard", "dim", "block"))
-        .applyInArrow(answer, "query_id bigint, vec_id bigint, score double")
-    )
+    """(query_id, rank, vec_id, score) for ``asked`` (vec_id, v): every question goes to every shard.
+
+    The index is shuffled once: a task gets whole shards, each followed by the questions, and holds one shard and ``BLOCK``
+    questions at a time, however many there are."""
+    n = max(1, index.count())
+    shards = index.select("shard", "dim")
+    sent = asked.join(shards, F.size("v") == F.col("dim")).select("shard", "dim", F.lit(True).alias("asks"), "vec_id", "v")
+    held = index.withColumn("asks", F.lit(False))
+    kinds = {"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = None
+        for batch in batches:
+            asks = batch.column("asks").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(asks[1:] != asks[:-1]) + 1), len(asks)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo < hi and not asks[lo]:
+                    shard = _Shard(batch.slice(hi - 1, 1).to_pylist()[0])  # of shards that nobody asks only the last counts
+                    continue
+                for at in range(lo, hi, BLOCK):
+                    some = batch.slice(at, min(BLOCK, hi - at))
+                    q = some.column("v").flatten().to_numpy(zero_copy_only=False).reshape(some.num_rows, -1)
+                    out = shard.answer(some.column("vec_id").to_pylist(), q, top, width)
+                    yield pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds.values())], names=list(kinds))
+
+    together = held.unionByName(sent, allowMissingColumns=True).repartition(n, "shard", "dim")
+    met = together.sortWithinPartitions("shard", "dim", "asks").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
     nearest = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return (
         met.withColumn("rank", F.row_number().over(nearest))

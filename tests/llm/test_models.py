@@ -178,3 +178,18 @@ def test_search_edge_cases(rows):
     few = rows("vec_id long, embedding array<double>", [(0, same), (1, [1.0, 3.0])])
     assert [tuple(r) for r in graph_search.nearest(few).collect()] == [(0, 1, 1, 1.0)]
     assert graph_search.nearest(docs.limit(0)).count() == 0
+
+
+def test_recall_of_a_full_shard(rows):
+    """The production constants on a shard as full as it gets, of vectors that lie as far apart as they can."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(graph_search.SHARD_ROWS, 64)).astype(np.float32).astype(float)
+    graph, entry = graph_search.build_graph(x.astype(np.float32))
+    asked = x[::100]
+    beam, _ = graph_search.beam_search(x.astype(np.float32), graph, entry, asked.astype(np.float32), graph_search.SEARCH_WIDTH)
+    hit = 0
+    for own, q, found in zip(range(0, len(x), 100), asked, beam, strict=True):
+        gap = ((x - q) ** 2).sum(axis=1)
+        gap[own] = np.inf
+        hit += len(set(np.argsort(gap)[:10].tolist()) & set(found.tolist()))
+    assert hit >= 0.9 * 10 * len(asked)
