@@ -42,15 +42,22 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("id"), "text"
     ).select("row", "id", "text", F.struct(blank.alias("blank"), F.xxhash64("text").alias("h")).alias("by"))
     several = keyed.filter("id IS NOT NULL").groupBy("id").agg(F.min("by").alias("lo"), F.max("by").alias("hi")).filter("lo <> hi")
-    most = keyed.agg(F.max("id")).first()[0] or 0
-    later = F.lit(most) + 1 + F.pmod(F.xxhash64("id", "by.h"), F.lit(max((1 << 63) - 2 - most, 1)))
-    keyed = keyed.join(several.select("id", "lo"), "id", "left").select(
-        "row", "text", F.when(F.col("lo").isNull() | (F.col("by") == F.col("lo")), F.col("id")).otherwise(later).alias("key")
-    )
-    judged = near_dedup.near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text"), percent=NEAR_PERCENT)
+    several = stage(several.select("id", "lo"), "several")
+    if several.isEmpty():
+        keyed = keyed.select("row", "text", F.col("id").alias("key"))
+    else:
+        most = keyed.agg(F.max("id")).first()[0] or 0
+        later = F.lit(most) + 1 + F.pmod(F.xxhash64("id", "by.h"), F.lit(max((1 << 63) - 2 - most, 1)))
+        keyed = keyed.join(several, "id", "left").select(
+            "row", "text", F.when(F.col("lo").isNull() | (F.col("by") == F.col("lo")), F.col("id")).otherwise(later).alias("key")
+        )
+    judged = stage(near_dedup.near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text"), percent=NEAR_PERCENT), "judged")
     dropped = judged.filter("NOT kept").select(F.col("doc_id").alias("key")).distinct()
-    again = stage(judged.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("key")), "again")
+    again = judged.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("key"))
+    again = stage(again, "again")
     left = keyed.join(dropped, "key", "left_anti").select("row", "key")
+    if again.isEmpty():
+        return left.select("row.*")
     once = left.join(again, "key", "left_anti").select("row.*")
     first = left.join(again, "key", "left_semi").groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
     return once.unionByName(first)
