@@ -42,7 +42,9 @@ HEADLINE = [
     "analog_neighbors",
     "analog_statistics",
     "panel_latents",
+    "panel_analog_features",
     "rank_model_scores",
+    "walk_forward_scores",
     "stream_closed_days",
     "stream_valuation",
 ]
