@@ -16,7 +16,8 @@ from ..operators.ranks import fifths
 from ..plans.staging import new_path, stage
 from ..sources import adapters as A
 from ..streaming.period_close import close_days
-from ..streaming.valuation import stream_snapshots
+from ..streaming.quote_state import run_quote_state, state_quotes
+from ..streaming.valuation import day_snapshots, stream_snapshots
 from . import fixtures as X
 from .registry import query
 
@@ -426,19 +427,33 @@ def stream_closed_days(spark, sf):
     return close_days(A.tick_stream(spark, sf))
 
 
-@query(
-    "stream_valuation",
-    """WITH q AS (SELECT CAST(ts AS DATE) AS day, 'U'||user_id AS ticker, arg_max(value, (ts, event_id)) AS p FROM events GROUP BY 1, 2),
+VALUATION = """WITH q AS (SELECT CAST(ts AS DATE) AS day, 'U'||user_id AS ticker, arg_max(value, (ts, event_id)) AS p FROM events GROUP BY 1, 2),
 h AS (SELECT 'U'||o_custkey AS ticker, count(*)::DOUBLE AS shares FROM orders GROUP BY 1),
 d AS (SELECT q.day, h.ticker, shares*q.p AS cv, shares*b.p AS pv FROM h JOIN q ON q.ticker = h.ticker LEFT JOIN q b ON b.ticker = q.ticker AND b.day = q.day - 1),
 s AS (SELECT day, coalesce(sum(pv), 0) AS previous_close_value, coalesce(sum(cv), 0) AS current_value, 0.0::DOUBLE AS cash_value, count(*) AS stock_positions,
 coalesce(arg_min(ticker, (-(cv - pv), ticker)) FILTER (cv - pv IS NOT NULL), 'NONE') AS best_ticker, coalesce(max(cv - pv), 0) AS best_day_pnl,
 coalesce(arg_min(ticker, (cv - pv, ticker)) FILTER (cv - pv IS NOT NULL), 'NONE') AS worst_ticker, coalesce(min(cv - pv), 0) AS worst_day_pnl FROM d GROUP BY 1)
 SELECT *, (SELECT count(*) FROM h) - stock_positions AS missing_quote_count, current_value - previous_close_value AS day_pnl,
-CASE WHEN previous_close_value > 0 THEN (current_value - previous_close_value)/previous_close_value ELSE 0 END AS day_return, 0.0::DOUBLE AS cash_weight FROM s""",
-    "previous_close_value current_value cash_value best_day_pnl worst_day_pnl day_pnl day_return cash_weight", 4,
-)
+CASE WHEN previous_close_value > 0 THEN (current_value - previous_close_value)/previous_close_value ELSE 0 END AS day_return, 0.0::DOUBLE AS cash_weight FROM s"""
+VALUATION_COLUMNS = "previous_close_value current_value cash_value best_day_pnl worst_day_pnl day_pnl day_return cash_weight"
+
+
+@query("stream_valuation", VALUATION, VALUATION_COLUMNS, 4)
 def stream_valuation(spark, sf):
     """A book valued against the quote stream, one snapshot per day."""
     holdings = stage(A.event_book(spark, sf).select("ticker", "shares"), "book")
     return stream_snapshots(A.tick_stream(spark, sf), holdings)
+
+
+@query("stream_valuation_resumed", VALUATION, VALUATION_COLUMNS, 4)
+def stream_valuation_resumed(spark, sf):
+    """The same from keyed state: the quotes arrive in three parts, and every part is taken in by a stream that starts anew."""
+    holdings = stage(A.event_book(spark, sf).select("ticker", "shares"), "book")
+    events = A.load(spark, sf, "events")
+    first, last = events.agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
+    part = F.floor(F.datediff(F.to_date("ts"), F.lit(first)) * 3 / ((last - first).days + 1))
+    inbox, quotes, checkpoint = (new_path(spark, label) for label in ("events-inbox", "quotes", "quote-state"))
+    for n in range(3):
+        events.filter(part == n).write.mode("append").parquet(inbox)
+        run_quote_state(A.ticks(spark.readStream.schema(events.schema).parquet(inbox)), quotes, checkpoint)
+    return day_snapshots(stage(state_quotes(spark, quotes), "day-quotes"), holdings)

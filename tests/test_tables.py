@@ -11,6 +11,7 @@ from panelweave.plans.grid import variants
 from panelweave.plans.staging import new_path, pick
 from panelweave.sources import adapters as A, ledgers as L, schemas, tables as T
 from panelweave.streaming.period_close import close_months, closed_days
+from panelweave.streaming.quote_state import run_quote_state, state_quotes
 from panelweave.streaming.valuation import all_quotes, day_snapshots, last_quotes, merge_quotes, run_valuation
 
 D = dt.date
@@ -140,3 +141,35 @@ def test_months_of_closed_days(spark):
     )
     got = {(r.date, r.price) for r in close_months(days).collect()}
     assert got == {(D(2020, 1, 31), 2.0), (D(2020, 2, 29), 3.0)}
+
+
+def _quotes(spark, rows, folder):
+    made = spark.createDataFrame(rows, "ticker string, at string, event_id long, price double")
+    made.select("ticker", F.col("at").cast("timestamp").alias("ts"), "event_id", "price").coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_quote_state_closes_days_and_counts_what_is_late(spark):
+    inbox, out, check = (new_path(spark, n) for n in ("inbox", "out", "check"))
+    stream = lambda: spark.readStream.schema("ticker string, ts timestamp, event_id long, price double").parquet(inbox)
+    got = lambda: {(r.ticker, r.day.day): (r.current_price, r.quotes, r.closed) for r in state_quotes(spark, out).collect()}
+    _quotes(spark, [("A", "2020-01-01 10:00:00", 1, 1.0), ("A", "2020-01-01 11:00:00", 2, 2.0), ("A", "2020-01-01 11:00:00", 1, 9.0),
+                    ("A", None, 3, 5.0), (None, "2020-01-01 10:00:00", 4, 7.0)], inbox)
+    assert run_quote_state(stream(), out, check) == 0
+    assert got() == {("A", 1): (2.0, 3, False), (None, 1): (7.0, 1, False)}
+    # an older quote of the open day counts, and changes no price that is newer; a null price stands if it is the newest
+    _quotes(spark, [("A", "2020-01-01 09:00:00", 5, 3.0), ("B", "2020-01-01 00:00:01", 6, 4.0), (None, "2020-01-01 12:00:00", None, None)], inbox)
+    assert run_quote_state(stream(), out, check) == 0
+    assert got() == {("A", 1): (2.0, 4, False), ("B", 1): (4.0, 1, False), (None, 1): (None, 2, False)}
+    _quotes(spark, [("A", "2020-01-02 09:00:00", 7, 6.0)], inbox)  # the day before closes
+    assert run_quote_state(stream(), out, check) == 0
+    closed = {("A", 1): (2.0, 4, True), ("B", 1): (4.0, 1, True), (None, 1): (None, 2, True)}
+    assert got() == {**closed, ("A", 2): (6.0, 1, False)}
+    _quotes(spark, [("A", "2020-01-01 23:00:00", 8, 99.0), ("B", "2020-01-02 23:00:00", 9, 8.0)], inbox)
+    assert run_quote_state(stream(), out, check) == 1
+    assert got() == {**closed, ("A", 2): (6.0, 1, False), ("B", 2): (8.0, 1, False)}
+    held = spark.read.format("statestore").option("stateVarName", "newest").load(check)
+    assert {r.key.ticker for r in held.select("key").collect()} == {"A", "B"} and held.count() == 2  # open days only
+    # with a day of grace the same late quote still counts
+    late, check = new_path(spark, "out"), new_path(spark, "check")
+    assert run_quote_state(stream(), late, check, grace_days=1) == 0
+    assert {(r.ticker, r.day.day): r.current_price for r in state_quotes(spark, late).collect()}[("A", 1)] == 99.0
