@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.frames import Frames
 from ..functions.rolling import Rolling
 from ..functions.scalars import clip, holds, positive, ratio
 from .shape import asof_join, asof_scan, bounded_fill
@@ -117,85 +118,108 @@ def daily_returns(bars: DataFrame) -> DataFrame:
 KEYS = ("ticker", "date")
 
 
-def liquidity_features(
-    bars: DataFrame, short: int = 21, mid: int = 63, long: int = 252, min_obs: int = 40, keep=KEYS
-) -> DataFrame:
-    t = Rolling()
-    turnover = F.col("close") * F.col("volume")
-    df = bars.withColumn("_dv", turnover).withColumn("_impact", ratio(F.abs("dret"), F.nullif("_dv", F.lit(0.0))))
-    return df.select(
-        *keep,
+def _liquidity(t: Frames, short: int = 21, mid: int = 63, long: int = 252, min_obs: int = 40) -> list[Column]:
+    t.add("_dv", F.col("close") * F.col("volume"))
+    t.add("_impact", ratio(F.abs("dret"), F.nullif("_dv", F.lit(0.0))))
+    return [
         F.log(clip(t.mean("_dv", short), lo=1.0)).alias("v3_log_dollar_vol_1m"),
         ratio(t.mean("volume", mid), t.mean("volume", long)).alias("v3_volume_ratio_3m_12m"),
         (t.mean("_impact", mid, min_obs) * 1e9).alias("v3_amihud_3m"),
-    )
+    ]
 
 
-def range_features(bars: DataFrame, short: int = 21, mid: int = 63, min_down: int = 20, keep=KEYS) -> DataFrame:
-    t = Rolling()
+def _range(t: Frames, short: int = 21, mid: int = 63, min_down: int = 20) -> list[Column]:
     year = math.sqrt(PERIODS_PER_YEAR_DAILY)
     log_range = F.log(clip(ratio("high", "low"), lo=1.0))
-    df = bars.withColumn("_hl2", log_range * log_range).withColumn("_down", F.when(F.col("dret") < 0, F.col("dret")))
+    t.add("_hl2", log_range * log_range)
+    t.add("_down", F.when(F.col("dret") < 0, F.col("dret")))
 
     def parkinson(n):
         return F.sqrt(t.mean("_hl2", n) / (4.0 * math.log(2.0))) * year
 
-    return df.select(
-        *keep,
+    return [
         parkinson(short).alias("v3_parkinson_vol_1m"),
         parkinson(mid).alias("v3_parkinson_vol_3m"),
         ratio(t.max("high", short) - t.min("low", short), "close").alias("v3_intramonth_range"),
         (t.std("_down", mid, min_down) * year).alias("v3_downside_vol_3m"),
-    )
+    ]
 
 
-def shape_features(bars: DataFrame, short: int = 21, mid: int = 63, min_obs: int = 40, keep=KEYS) -> DataFrame:
-    t = Rolling()
-    return bars.select(
-        *keep,
+def _shape(t: Frames, short: int = 21, mid: int = 63, min_obs: int = 40) -> list[Column]:
+    return [
         t.skew("dret", mid, min_obs).alias("v3_ret_skew_3m"),
         t.kurt("dret", mid, min_obs).alias("v3_ret_kurt_3m"),
         t.max("dret", short).alias("v3_max_daily_ret_1m"),
         t.min("dret", short).alias("v3_min_daily_ret_1m"),
-    )
+    ]
 
 
-def position_features(bars: DataFrame, year: int = 252, fast: int = 50, slow: int = 200, keep=KEYS) -> DataFrame:
-    t = Rolling()
-    return bars.select(
-        *keep,
+def _position(t: Frames, year: int = 252, fast: int = 50, slow: int = 200) -> list[Column]:
+    return [
         (ratio("close", t.max("close", year)) - 1.0).alias("v3_pct_from_52w_high"),
         (ratio("close", t.min("close", year)) - 1.0).alias("v3_pct_from_52w_low"),
         ratio("close", t.mean("close", fast)).alias(f"v3_price_to_ma{fast}"),
         ratio("close", t.mean("close", slow)).alias(f"v3_price_to_ma{slow}"),
         ratio(t.mean("close", fast), t.mean("close", slow)).alias(f"v3_ma{fast}_over_ma{slow}"),
-    )
+    ]
+
+
+def _market(t: Frames, year: int = 252, half: int = 126) -> list[Column]:
+    return [
+        ratio(t.cov("dret", "bench_dret", year), t.var("bench_dret", year)).alias("v3_beta_12m"),
+        t.corr("dret", "bench_dret", half).alias("v3_corr_6m"),
+    ]
+
+
+def _left_over(df: DataFrame, keep, half: int = 126, min_resid: int = 60) -> DataFrame:
+    """``df`` plus the volatility of what the row's own beta leaves of its return."""
+    t = Frames(df)
+    t.add("_resid", F.col("dret") - F.col("v3_beta_12m") * F.col("bench_dret"))
+    volatility = (t.std("_resid", half, min_resid) * math.sqrt(PERIODS_PER_YEAR_DAILY)).alias("v3_idio_vol_6m")
+    return t.done().select(*keep, volatility)
+
+
+def liquidity_features(bars: DataFrame, short: int = 21, mid: int = 63, long: int = 252, min_obs: int = 40, keep=KEYS) -> DataFrame:
+    t = Frames(bars)
+    found = _liquidity(t, short, mid, long, min_obs)
+    return t.done().select(*keep, *found)
+
+
+def range_features(bars: DataFrame, short: int = 21, mid: int = 63, min_down: int = 20, keep=KEYS) -> DataFrame:
+    t = Frames(bars)
+    found = _range(t, short, mid, min_down)
+    return t.done().select(*keep, *found)
+
+
+def shape_features(bars: DataFrame, short: int = 21, mid: int = 63, min_obs: int = 40, keep=KEYS) -> DataFrame:
+    t = Frames(bars)
+    found = _shape(t, short, mid, min_obs)
+    return t.done().select(*keep, *found)
+
+
+def position_features(bars: DataFrame, year: int = 252, fast: int = 50, slow: int = 200, keep=KEYS) -> DataFrame:
+    t = Frames(bars)
+    found = _position(t, year, fast, slow)
+    return t.done().select(*keep, *found)
 
 
 def market_features(
     bars: DataFrame, bench_returns: DataFrame, year: int = 252, half: int = 126, min_resid: int = 60, keep=KEYS
 ) -> DataFrame:
     """Beta and correlation to the benchmark's (date, bench_dret), and the volatility of what beta leaves over."""
-    t = Rolling()
-    df = bars.join(bench_returns, "date", "left")
-    with_beta = df.withColumn("_beta", ratio(t.cov("dret", "bench_dret", year), t.var("bench_dret", year)))
-    with_resid = with_beta.withColumn("_resid", F.col("dret") - F.col("_beta") * F.col("bench_dret"))
-    return with_resid.select(
-        *keep,
-        F.col("_beta").alias("v3_beta_12m"),
-        t.corr("dret", "bench_dret", half).alias("v3_corr_6m"),
-        (t.std("_resid", half, min_resid) * math.sqrt(PERIODS_PER_YEAR_DAILY)).alias("v3_idio_vol_6m"),
-    )
+    t = Frames(bars.join(bench_returns, "date", "left"))
+    found = _market(t, year, half)
+    first = t.done().select(*dict.fromkeys([*keep, *KEYS, "dret", "bench_dret"]), *found)
+    return _left_over(first, [*keep, "v3_beta_12m", "v3_corr_6m"], half, min_resid)
 
 
 def daily_features(bars: DataFrame, bench_returns: DataFrame) -> DataFrame:
-    """All daily-bar features: the steps are chained on one partitioning by ticker, so there is nothing to join."""
-    start = daily_returns(bars)
-    out = start
-    for step in (liquidity_features, range_features, shape_features, position_features):
-        out = step(out, keep=out.columns)
-    out = market_features(out, bench_returns, keep=out.columns)
-    return out.select(*KEYS, *[c for c in out.columns if c.startswith("v3_")])
+    """All daily-bar features on one partitioning by ticker; all frames but the last share the lags of their tables."""
+    t = Frames(daily_returns(bars).join(bench_returns, "date", "left"))
+    found = [c for part in (_liquidity, _range, _shape, _position, _market) for c in part(t)]
+    first = t.done().select(*KEYS, "dret", "bench_dret", *found)
+    made = [c for c in first.columns if c.startswith("v3_")]
+    return _left_over(first, [*KEYS, *made])
 
 
 def period_snapshot(daily: DataFrame, ends: DataFrame, limit: int = 7) -> DataFrame:
