@@ -9,6 +9,7 @@ earlier dates only. A missing value counts as 0, whatever the other rows hold, s
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -127,3 +128,20 @@ def transformed(rows: DataFrame, models: DataFrame, features: list[str], key: st
 def latents_by_date(rows: DataFrame, features: list[str], k: int = 16, least: int = 250) -> DataFrame:
     """(ticker, date, model_date, z, reconstruction_error) of every row that has a model of its date."""
     return transformed(rows, stage(models_by_date(rows, features, k, least), "date-models"), features)
+
+
+FLAT = 1e-12  # of the first component's variance: a component that does not vary but for rounding
+
+
+def judged(rows: DataFrame, n: int, by: str = "model_date") -> DataFrame:
+    """(by, uncorrelated, falling): whether the first ``n`` components z are uncorrelated and fall in variance. A component that does
+    not vary, as where few features do, is uncorrelated with any and may come last only."""
+    z = [F.get("z", F.lit(i)) for i in range(n)]
+    sums = rows.groupBy(by).agg(
+        *[F.variance(c).alias(f"v{i}") for i, c in enumerate(z)], *[F.covar_samp(a, b).alias(f"c{i}") for i, (a, b) in enumerate(zip(z, z[1:]))]
+    )
+    flat = [F.col(f"v{i}") <= FLAT * F.col("v0") for i in range(n)]
+    alone = [flat[i + 1] | (F.abs(f"c{i}") < 1e-6 * F.sqrt(F.col(f"v{i}") * F.col(f"v{i + 1}"))) for i in range(n - 1)]
+    fall = [flat[i + 1] | (~flat[i] & (F.col(f"v{i}") >= F.col(f"v{i + 1}"))) for i in range(n - 1)]
+    both = lambda a, b: a & b
+    return sums.select(by, reduce(both, alone).alias("uncorrelated"), reduce(both, fall).alias("falling"))

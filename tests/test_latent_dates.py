@@ -52,3 +52,15 @@ def test_no_rows_and_too_few(made):
     df, _ = made
     assert L.latents_by_date(df.limit(0), NAMES, 2).count() == 0
     assert L.latents_by_date(df, NAMES, 2, least=1000).count() == 0
+
+
+def test_components_that_do_not_vary_are_judged(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200, 2)) @ np.diag([3.0, 1.0])
+    x = (x - x.mean(axis=0)) @ np.linalg.svd(x - x.mean(axis=0), full_matrices=False)[2].T
+    flat = [(1, [float(a), float(b), 0.0, 0.0]) for a, b in x]
+    mixed = [(2, [float(a), float(a + b), 0.0, 0.0]) for a, b in x]
+    rising = [(3, [float(b), float(a), 0.0, 0.0]) for a, b in x]
+    df = spark.createDataFrame(flat + mixed + rising, "model_date int, z array<double>")
+    got = {r.model_date: (r.uncorrelated, r.falling) for r in L.judged(df, 4).collect()}
+    assert got[1] == (True, True) and not got[2][0] and got[3] == (True, False)
