@@ -7,7 +7,8 @@ reaches it; a chunk is the matrix of path weights between the states at its two
 blocks, blocks are chained, the states at all cuts follow backwards, and every chunk then finds its own pieces alone.
 With weights of 0 and minus infinity a row of a matrix is a set, and is held as the bits of an integer.
 
-No piece joins characters across the start of a word, so words inside a chunk are solved once and remembered."""
+No piece joins characters across the start of a word, or a letter and another character, so words inside a chunk are cut there,
+solved once and remembered."""
 
 from __future__ import annotations
 
@@ -25,11 +26,13 @@ from .text import Remembered, columns
 VOCABULARY = "piece_bpe_32k.model"
 CHUNK = 1 << 16  # characters
 BLOCK = 256  # chunks whose matrices are multiplied together
-KNOWN_WORDS = 400_000  # in each of two generations
-KNOWN_PAIRS = 20_000  # after one piece
+KNOWN_WORDS = 150_000  # in each of two generations
+KNOWN_PAIRS = 200_000
 SPACE = "▁"
 
-_WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+# no piece joins letters and others, or goes on into the next word; `Codec` looks whether that holds for its model
+_LETTER = r"[^\W\d_²]"
+_WORDS = re.compile(f"{SPACE}*(?:{_LETTER}+|(?:(?!{_LETTER})[^{SPACE}])+)|{SPACE}+")
 _codecs: dict[str, "Codec"] = {}
 
 
@@ -43,13 +46,14 @@ class Codec:
         n = sp.get_piece_size()
         plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.ids = {sp.id_to_piece(i): i for i in plain}
+        self.raw = {p: i.to_bytes(4, "little") for p, i in self.ids.items()}
         self.score = {p: sp.get_score(i) for p, i in self.ids.items()}
         self.unknown = sp.unk_id()
         self.byte = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.longest = max(map(len, self.ids))
         self.beginnings = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
-        if any(SPACE in p.lstrip(SPACE) for p in self.ids):
-            raise ValueError("pieces that run into the next word are not supported")
+        if any(not _WORDS.fullmatch(p) for p in self.ids):
+            raise ValueError("pieces that run into the next word, or join letters and others, are not supported")
         self.bytes = [b""] * n
         for p, i in self.ids.items():
             self.bytes[i] = p.replace(SPACE, " ").encode()
@@ -58,6 +62,7 @@ class Codec:
         self.bytes[self.unknown] = " ⁇ ".encode()
         self.known = Remembered(lambda words: list(map(self.word, words)), KNOWN_WORDS)
         self.stable: dict[str, dict[str, bool]] = {}
+        self.pairs = 0  # in ``stable``
 
     @classmethod
     def of(cls, path: str) -> "Codec":
@@ -80,12 +85,12 @@ class Codec:
 
     def joins(self, a: str, b: str) -> bool:
         """Whether the edge a -> b weighs 0; a is empty at the start of a text or word."""
-        after = self.stable.setdefault(a, {})
-        found = after.get(b)
+        found = self.stable.get(a, {}).get(b)
         if found is None:
-            if len(after) >= KNOWN_PAIRS:
-                after.clear()
-            found = after[b] = self.merged(a + b) == ([a, b] if a else [b])
+            if self.pairs >= KNOWN_PAIRS:
+                self.stable, self.pairs = {}, 0
+            self.pairs += 1
+            found = self.stable.setdefault(a, {})[b] = self.merged(a + b) == ([a, b] if a else [b])
         return found
 
     def paths(self, text: str, begin: dict[int, dict[str, int]], stop: int) -> list[dict[str, list]]:
@@ -121,42 +126,45 @@ class Codec:
         return out[::-1]
 
     def to_ids(self, pieces: list[str]) -> bytes:
-        out = []
-        for p in pieces:
-            if p in self.ids:
-                out.append(self.ids[p])
-            elif self.byte:
-                out += [self.byte[b] for b in p.encode("utf-8", "surrogatepass")]
-            else:
-                out.append(self.unknown)
-        return b"".join(i.to_bytes(4, "little") for i in out)
+        return b"".join([self.raw.get(p) or self.spelled(p) for p in pieces])
+
+    def spelled(self, piece: str) -> bytes:
+        """Ids of a character that is no piece: of its bytes, where the model has such."""
+        own = [self.byte[b] for b in piece.encode("utf-8", "surrogatepass")] if self.byte else [self.unknown]
+        return b"".join(i.to_bytes(4, "little") for i in own)
+
+    def starts(self, word: str, at: int) -> list[str]:
+        """The pieces that the word can go on with, short ones first; a single character always can."""
+        ids, beginnings, out = self.ids, self.beginnings, [word[at]]
+        for j in range(at + 2, min(at + self.longest, len(word)) + 1):
+            piece = word[at:j]
+            if piece not in beginnings:
+                break
+            if piece in ids:
+                out.append(piece)
+        return out
 
     def word(self, word: str) -> bytes:
-        """The same for one word from its start, where every prefix has exactly one path."""
-        n, ids, stable, joins, longest = len(word), self.ids, self.stable, self.joins, self.longest
-        beginnings = self.beginnings
-        last: list[str | None] = ["", *[None] * n]
-        origin = [0] * (n + 1)
-        for i in range(n):
-            before = last[i]
-            if before is None:
-                continue
-            after = stable.setdefault(before, {})
-            for j in range(i + 1, min(i + longest, n) + 1):
-                piece = word[i:j]
-                if piece not in beginnings and j > i + 1:
+        """The same for one word from its start. Every prefix has exactly one path, so whatever order edges are tried in, no
+        place is met twice: long pieces first, and back where none leads on."""
+        n, at, before, path, left = len(word), 0, "", [], []
+        while at < n:
+            options = self.starts(word, at)
+            after = self.stable.get(before) or {}
+            while True:
+                if not options:  # no piece leads on from here: back to where this one began
+                    at -= len(path.pop())
+                    before, options = path[-1] if path else "", left.pop()
+                    after = self.stable.get(before) or {}
+                    continue
+                piece = options.pop()
+                ok = after.get(piece)
+                if ok or ok is None and self.joins(before, piece):
                     break
-                if last[j] is None and (piece in ids or j == i + 1):
-                    ok = after.get(piece)
-                    if ok is None:
-                        ok = joins(before, piece)
-                    if ok:
-                        last[j], origin[j] = piece, i
-        out, end = [], n
-        while end:
-            out.append(last[end])
-            end = origin[end]
-        return self.to_ids(out[::-1])
+            path.append(piece)
+            left.append(options)
+            before, at = piece, at + len(piece)
+        return self.to_ids(path)
 
     def words(self, text: str) -> bytes:
         """Ids of a text that starts and ends between words."""

@@ -49,6 +49,16 @@ def test_ids_are_those_of_the_library(library, codec, text, chunk):
         assert scan(codec, text, chunk) == want
 
 
+def test_letters_and_marks_are_solved_apart_and_pairs_are_bounded(library, monkeypatch):
+    monkeypatch.setattr(sentencepiece_scan, "KNOWN_PAIRS", 40)
+    codec, asked = sentencepiece_scan.Codec(public_tokenizers.path(sentencepiece_scan.VOCABULARY)), []
+    solve, codec.known.solve = codec.known.solve, lambda words: [asked.extend(words), solve(words)][1]
+    for text in ("alpha, alpha. alpha", "alpha!  (alpha)", "reation\nthndble 12² m²x_1 été, 数据 ÅÉ\u0301x"):
+        assert codec.words(sentencepiece_scan.marked(text)) == np.array(library.encode(text), "<u4").tobytes()
+        assert sum(map(len, codec.stable.values())) <= 40
+    assert asked.count("▁alpha") == 1 and asked.count(",") == 1 and not {"▁alpha,", "▁alpha."} & {*asked}
+
+
 def test_products_of_matrices_do_not_depend_on_grouping(codec):
     rng = random.Random(3)
     a, b, c = ([rng.randrange(1 << 6) for _ in range(6)] for _ in range(3))
