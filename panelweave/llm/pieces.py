@@ -23,12 +23,19 @@ KNOWN_WORDS = 500_000  # words whose ids a worker remembers, in each of two gene
 MARKS = ".,;:!?|$&%*#"
 TOGETHER = 256
 GROUP = 1 << 16  # characters of short texts that are encoded together
+SPACED_GROUP = 1 << 21  # the same where Arrow finds the different words of a group
 SLICE = 1 << 20  # characters that are split into words at a time
 
 _GAPS = re.compile(r"[ \t\n\r\x0b\x0c]+")
 _SPACED = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
 _ODD_GAPS = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-_RUNS = [c + " " for c in " \t\n\r\x0b\x0c"]
+# bytes by kind: letters (all of U+00C0 to U+027F but two signs), digits, others, gaps; ``_ALIEN`` starts any other character
+_KIND = np.full(256, 2, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xCA)]] = 0
+_KIND[48:58] = 1
+_KIND[[32, *range(9, 14)]] = 3
+_ALIEN = np.zeros(256, bool)
+_ALIEN[[0xC2, *range(0xCA, 256)]] = True
 _encoders: dict[tuple, "WordIds"] = {}
 
 
@@ -37,12 +44,45 @@ def _odd(text: str) -> bool:
     return any(c in text for c in "\x1c\x1d\x1e\x1f") or not text.isascii() and _ODD_GAPS.search(text) is not None
 
 
+def unit_starts(b: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where the parts begin that the rules of a vocabulary with white space cut UTF-8 texts into, one text after the other: runs of
+    letters, of digits or of others with the space before them, endings like 's, and gaps. What stands between two gaps stays
+    whole if it holds a character that not all readers may class alike."""
+    first = np.zeros(len(b) + 1, bool)
+    first[begins] = True
+    first, kind = first[:-1], _KIND[b]
+    gap = kind == 3
+    after_gap, leads = np.zeros(len(b), bool), np.zeros(len(b), bool)
+    after_gap[1:] = gap[:-1]
+    leads[:-1] = ~gap[1:] & ~first[1:]  # the last of a run of gaps is apart; a space goes with what follows
+    changed, spaced = first.copy(), np.zeros(len(b), bool)
+    changed[1:] |= kind[1:] != kind[:-1]
+    spaced[1:] = b[:-1] == 32
+    start = np.where(gap, first | ~after_gap | leads, first | changed & ~spaced)
+    at = np.flatnonzero((b == 39) & start)
+    padded = np.append(np.where(first, 0, b), [0, 0]).astype(np.int64)  # an ending does not reach into the next text
+    one, two = padded[at + 1], padded[at + 1] << 8 | padded[at + 2]
+    for size, found in ((1, np.isin(one, [*b"sdmt"])), (2, np.isin(two, [int.from_bytes(e) for e in (b"ll", b"ve", b"re")]))):
+        ends = at[found] + size + 1
+        start[at[found] + 1] = False
+        start[ends[ends < len(b)]] = True
+    alien = _ALIEN[b]
+    alien[:-1] |= (b[:-1] == 0xC3) & ((b[1:] == 0x97) | (b[1:] == 0xB7))
+    if alien.any():
+        edge = start & (gap | after_gap | first)
+        between = np.cumsum(edge)
+        whole = np.zeros(between[-1] + 1, bool)
+        whole[between[alien]] = True
+        start &= edge | ~whole[between]
+    return np.flatnonzero(start)
+
+
 class WordIds:
     """Token ids of whole texts, by way of the ids of their words.
 
-    ``spaced``: the vocabulary keeps white space, so a word is taken with the space before it, where all spaces are single,
-    and with the whole gap before it elsewhere; else gaps and case are dropped. Both are exact for vocabularies whose rules never
-    join characters across a gap."""
+    ``spaced``: the vocabulary keeps white space, so texts are cut as its own rules cut them, or, with gaps that only some
+    readers know or with added tokens, before every gap; else gaps and case are dropped. Both are exact for vocabularies whose rules never join
+    characters across a gap."""
 
     def __init__(self, path: str, spaced: bool, kind: str):
         import os
@@ -51,7 +91,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.spaced, self.kind = Tokenizer.from_file(path), spaced, np.dtype(kind)
-        self.known = Remembered(self._solve, KNOWN_WORDS)
+        self.known = Remembered(self._solve_units if spaced else self._solve, KNOWN_WORDS)
+        self.added = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cores: dict[str, bytes] = {}
         self.rests: dict[str, bytes] = {}
         tokens = (self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size()))
@@ -84,28 +125,15 @@ class WordIds:
                 yield raw[at * step : end * step]
                 at = end
 
-    def _parts(self, word: str, lead: str = "") -> list[tuple[bool, str]]:
+    def _parts(self, word: str) -> list[tuple[bool, str]]:
         """(letters only, text) parts of a word that the vocabulary's own rules take apart: letters and the marks behind."""
         core = word.rstrip(MARKS)
         if core.isalpha() and (core.isascii() or core.lower().isalpha()):
-            out = [(True, core.lower() if core.isascii() and not self.spaced else lead + core)]
+            out = [(True, core.lower() if core.isascii() else core)]
             if len(core) < len(word):
                 out.append((False, word[len(core) :]))
             return out
-        return [(False, lead + word)]
-
-    def _spaced_parts(self, word: str) -> list[tuple[bool, str]]:
-        """The same for a word with a space before it, in which lines may end."""
-        first, *lines = word.split("\n")
-        if not lines:
-            return self._parts(word, " ")
-        if [first, *lines] != word.split():
-            return [(False, " " + word)]
-        out = self._parts(first, " ")
-        for line in lines:
-            out.append((False, "\n"))
-            out += [(False, text) for _, text in self._parts(line)]
-        return out
+        return [(False, word)]
 
     def _kept(self, cache: dict[str, bytes], wanted: set[str], encode) -> dict[str, bytes]:
         new = list(wanted.difference(cache))
@@ -115,13 +143,9 @@ class WordIds:
         return cache
 
     def _solve(self, words: list[str]) -> list[bytes]:
-        split = self._spaced_parts if self.spaced else self._parts
-        lead = " " if self.spaced else ""
         # most words are plain letters; only the others are taken apart
-        plain = [lead + w if w.isascii() and w.isalpha() else None for w in words]
-        if not self.spaced:
-            plain = [w and w.lower() for w in plain]
-        parts = [None if p else split(w) for p, w in zip(plain, words, strict=True)]
+        plain = [w.lower() if w.isascii() and w.isalpha() else None for w in words]
+        parts = [None if p else self._parts(w) for p, w in zip(plain, words, strict=True)]
         rest = [part for found in parts if found for part in found]
         self.cores = self._kept(self.cores, {*filter(None, plain), *(t for letters, t in rest if letters)}, self._letters)
         self.rests = self._kept(self.rests, {t for letters, t in rest if not letters}, self._encoded)
@@ -131,6 +155,13 @@ class WordIds:
             for p, found in zip(plain, parts, strict=True)
         ]
 
+    def _solve_units(self, units: list[str]) -> list[bytes]:
+        cores = [u for u in units if u[0] == " " and u[1:].isalpha()]
+        found = dict(zip(cores, self._letters(cores), strict=True))
+        others = [u for u in units if u not in found]
+        found.update(zip(others, self._encoded(others), strict=True))
+        return [found[u] for u in units]
+
     def _words(self, text: str) -> list[str]:
         if _odd(text):
             return _GAPS.split(text)
@@ -139,16 +170,23 @@ class WordIds:
     def _all(self, texts: list[str]) -> list[bytes]:
         if not self.spaced:
             return self.known.all_joined([self._words(t) for t in texts])
-        heads, words = [], []
-        for text in texts:
-            if text.endswith(" ") or any(two in text for two in _RUNS) or _odd(text):
-                heads.append(b"".join(self._encoded(_SPACED.findall(text))))
-                words.append([])
-            else:
-                first, *rest = text.split(" ")
-                heads.append(self._encoded([first])[0] if first else b"")
-                words.append(rest)
-        return [h + w for h, w in zip(heads, self.known.all_joined(words), strict=True)]
+        odd = [_odd(t) or any(a in t for a in self.added) for t in texts]
+        units = self._by_units([t for t, o in zip(texts, odd, strict=True) if not o])
+        return [b"".join(self._encoded(_SPACED.findall(t))) if o else next(units) for t, o in zip(texts, odd, strict=True)]
+
+    def _by_units(self, texts: list[str]) -> Iterator[bytes]:
+        """Arrow finds the different parts of all texts; each is asked once."""
+        raw = [t.encode() for t in texts]
+        whole, begins = b"".join(raw), np.cumsum([0, *map(len, raw)])
+        starts = unit_starts(np.frombuffer(whole, np.uint8), begins[:-1])
+        offsets = np.append(starts, len(whole)).astype(np.int32)
+        units = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(whole)).dictionary_encode()
+        solved = pa.array(self.known.each(units.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary())
+        _, ends, data = solved.take(units.indices).buffers()
+        cuts = np.frombuffer(ends, np.int64)[np.searchsorted(starts, begins)].tolist()
+        data = memoryview(data or b"")
+        for at, end in zip(cuts, cuts[1:], strict=False):
+            yield bytes(data[at:end])
 
     def ids(self, text: str) -> bytes:
         """Little-endian ids, one after the other; a long text is taken in slices that end before a gap."""
@@ -164,9 +202,9 @@ class WordIds:
 
     def many(self, texts: Iterator[str]) -> Iterator[bytes]:
         """The ids of every text, short ones together."""
-        some, size = [], 0
+        some, size, group = [], 0, SPACED_GROUP if self.spaced else GROUP
         for text in texts:
-            if size + len(text) > GROUP:
+            if size + len(text) > group:
                 yield from self._all(some)
                 some, size = [], 0
             if len(text) > SLICE:

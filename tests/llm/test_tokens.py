@@ -202,3 +202,21 @@ def test_words_forgotten_and_solved_again():
     assert kept.joined(["c", "d"]) == b"cd" and kept.joined(["a", "d"]) == b"ad"
     assert sorted(asked) == ["a", "b", "c", "d"]
     assert pieces.WordIds.of(public_tokenizers.path("byte_bpe_50k.json"), True, "<u2").ids("") == b""
+
+
+UNITS = [*"aabsdmtlvreLS''  \n\n\t.,!\"12é×÷²½ªßſɏʼ…“数İ̈😀\x0b\x1c\xa0_-\r", "'s", "'ll", "'ve", " '", "<|endoftext|>"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(UNITS), max_size=30).map("".join), max_size=8))
+def test_ids_of_texts_together_are_those_of_each(texts):
+    encoder = pieces.WordIds.of(public_tokenizers.path("byte_bpe_50k.json"), True, "<u2")
+    want = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    assert list(encoder.many(iter(texts))) == want
+
+
+def test_parts_of_words_are_solved_once():
+    encoder, asked = pieces.WordIds(public_tokenizers.path("byte_bpe_50k.json"), True, "<u2"), []
+    solve, encoder.known.solve = encoder.known.solve, lambda new: [asked.extend(new), solve(new)][1]
+    list(encoder.many(iter(["so alpha, alpha. alpha!", "an alpha\nalpha's, 12", "", "alpha"])))
+    assert sorted(asked) == sorted(["so", " alpha", ",", ".", "!", "an", "\n", "alpha", "'s", " 12"])
