@@ -15,17 +15,17 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.staging import stage
-from .text import Remembered, columns
+from .text import columns
 
 GROUPS = 24
 TOKENS = GROUPS * GROUPS
@@ -37,7 +37,8 @@ ROUNDS = 2
 STEP_TOKENS = 8192
 RATE = 0.1
 PAD = TOKENS
-KNOWN_WORDS = 500_000
+CHUNK_WORDS = 500_000  # words of consecutive texts that are looked up at once, about
+COUNTED_WORDS = 500_000  # different words that a task counts before it sends them on, about
 SENT_WORDS = 60_000  # words whose shares are sent to the tasks, at most; the result does not depend on it
 SENT_CHARS = 64  # longer words are not sent
 
@@ -76,39 +77,59 @@ def initial(counts: np.ndarray) -> Weights:
     return w
 
 
-LEAF = np.dtype([("token", "<u2"), ("share", "<f8")])
-
-
 class Vocabulary:
     """Word -> token and, for a word that shares its token, the log of its share of it: not a number where ``shares`` does
     not hold the word, 0 for a word that has a token of its own."""
 
     def __init__(self, words: list[str], shares: dict[str, float] | None = None):
         shares = shares or {}
-        made = lambda token, share: np.array((token, share), LEAF).tobytes()
-        own = {w: made(i, 0.0) for i, w in enumerate(words)}
-        spare = TOKENS - HASHED
-        unsent = [made(spare + t, np.nan) for t in range(HASHED)]
+        self.own, self.sent = pa.array(words, pa.string()), pa.array(list(shares), pa.string())
+        self.shares = np.array([*shares.values(), np.nan])
+
+    def leaves(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(token, share) of different words."""
+        own = _places(words, self.own)
+        shares = np.where(own >= 0, 0.0, self.shares[_places(words, self.sent)])  # the last one for words not held
+        rest = np.flatnonzero(own < 0)
+        own[rest] = TOKENS - HASHED + _hashes(words.take(pa.array(rest))) % HASHED
+        return own, shares
 
-        def one(w: str) -> bytes:
-            if w in own:
-                return own[w]
-            t = zlib.crc32(w.encode("utf-8", "surrogatepass")) % HASHED
-            return made(spare + t, shares[w]) if w in shares else unsent[t]
+    def tokens(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """Of every text, in turn."""
+        for ends, words in chunks(texts):
+            own, _ = self.leaves(words.dictionary)
+            yield from np.split(own[words.indices], ends[:-1])
 
-        self.known = Remembered(lambda new: list(map(one, new)), KNOWN_WORDS)
 
-    def leaves(self, words: list[str]) -> np.ndarray:
-        return np.frombuffer(self.known.joined(words), LEAF)
+def _places(words: pa.StringArray, held: pa.StringArray) -> np.ndarray:
+    """Where ``held`` has the words; -1 for those it has not."""
+    return pc.fill_null(pc.index_in(words, value_set=held), -1).to_numpy(zero_copy_only=False).astype(np.int32)
 
-    def tokens(self, text: str | None) -> np.ndarray:
-        return self.leaves(split(text))["token"].astype(np.int32)
+
+def _hashes(words: pa.StringArray) -> np.ndarray:
+    """CRC-32 of the words' UTF-8."""
+    raw = words.cast(pa.binary()).to_numpy(zero_copy_only=False)
+    return np.fromiter(map(zlib.crc32, raw), np.int64, len(raw))
 
 
 def split(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
+def chunks(texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, pa.DictionaryArray]]:
+    """The words of consecutive texts, about CHUNK_WORDS at once, and where every text ends in them. Different words are
+    found by Arrow, so that Python handles each of them once a chunk and keeps none."""
+    words, ends = [], []
+    for text in texts:
+        words += split(text)
+        ends.append(len(words))
+        if len(words) >= CHUNK_WORDS or len(ends) >= CHUNK_WORDS:
+            yield np.array(ends), pa.array(words, pa.string()).dictionary_encode()
+            words, ends = [], []
+    if ends:
+        yield np.array(ends), pa.array(words, pa.string()).dictionary_encode()
+
+
 _SHIFTS = np.array([k for k in range(-SIDE, SIDE + 1) if k], np.int32)
 
 
@@ -118,42 +139,64 @@ def contexts(stream: np.ndarray, scored: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, stream[at[:, None] + _SHIFTS]
 
 
-def _softmax_log(z: np.ndarray) -> np.ndarray:
-    """In place; the scores are bounded by the weights, so that nothing overflows before 80."""
-    np.clip(z, -80, 80, out=z)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
+ROWS = 1024  # rows of scores that are handled at once, so that they stay in a core's cache
+
+
+def _log_sums(z: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The logs of the summed exponentials of ``z``, which is bounded in place, so that nothing overflows before 80. Hidden
+    values lie within 1: mostly the weights ``w`` and ``b`` that made ``z`` keep it in bounds."""
+    bounded = (np.abs(w).sum(axis=-2) + np.abs(b)).max() < 79
+    out = np.empty((len(z), 1), z.dtype)
+    for at in range(0, len(z), ROWS):
+        part = z[at : at + ROWS]
+        if not bounded:
+            np.clip(part, -80, 80, out=part)
+        np.log(np.exp(part).sum(axis=1, keepdims=True), out=out[at : at + ROWS])
+    return out
 
 
 def forward(w: Weights, windows: np.ndarray, target: np.ndarray):
     """Log-probability of each target, and what the backward pass needs. Rows are handled in the order of their group."""
-    order = np.argsort(target // GROUPS, kind="stable")
-    windows, target = windows[order], target[order]
-    group, inner = target // GROUPS, target % GROUPS
-    x = w["e"][windows].reshape(len(target), -1)
-    h = np.tanh(x @ w["w"] + w["b"])
-    lg = _softmax_log(h @ w["gw"] + w["gb"])
-    z = np.empty((len(target), GROUPS), np.float32)
-    ends = np.searchsorted(group, np.arange(GROUPS + 1))
+    n = len(target)
+    order = np.argsort((target // GROUPS).astype(np.uint8), kind="stable")
+    windows, target = windows.take(order, axis=0), target.take(order)
+    group, inner = np.divmod(target, GROUPS)
+    x = w["e"].take(windows, axis=0).reshape(n, -1)
+    h = x @ w["w"]
+    h += w["b"]
+    np.tanh(h, out=h)
+    zg = h @ w["gw"]
+    zg += w["gb"]
+    zt = np.empty((n, GROUPS), np.float32)
+    ends = np.searchsorted(group, np.arange(GROUPS + 1, dtype=group.dtype))
     for g in range(GROUPS):
         part = slice(ends[g], ends[g + 1])
-        z[part] = h[part] @ w["tw"][g] + w["tb"][g]
-    lt = _softmax_log(z)
-    rows = np.arange(len(target))
-    value = np.empty(len(target), np.float32)
-    value[order] = lg[rows, group] + lt[rows, inner]
-    return value, (windows, group, inner, x, h, lg, lt, ends)
+        if part.stop > part.start:
+            zt[part] = h[part] @ w["tw"][g]
+            zt[part] += w["tb"][g]
+    sg, st = _log_sums(zg, w["gw"], w["gb"]), _log_sums(zt, w["tw"], w["tb"])
+    at = np.arange(n) * GROUPS
+    of_group, of_inner = at + group, at + inner  # the targets' places in the scores
+    value = np.empty(n, np.float32)
+    value[order] = (zg.ravel().take(of_group) - sg[:, 0]) + (zt.ravel().take(of_inner) - st[:, 0])
+    return value, (windows, of_group, of_inner, x, h, (zg, sg), (zt, st), ends)
+
+
+def _errors(z: np.ndarray, sums: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """In place: the probabilities, less 1 at the targets, over the number of rows."""
+    for at in range(0, len(z), ROWS):
+        part = z[at : at + ROWS]
+        part -= sums[at : at + ROWS]
+        np.exp(part, out=part)
+    z.ravel()[targets] -= 1
+    z /= len(z)
+    return z
 
 
 def gradients(w: Weights, kept) -> Weights:
-    """Of the mean negative log-probability."""
-    windows, group, inner, x, h, lg, lt, ends = kept
-    n, rows = len(group), np.arange(len(group))
-    dg, dt = np.exp(lg), np.exp(lt)
-    dg[rows, group] -= 1
-    dt[rows, inner] -= 1
-    dg /= n
-    dt /= n
+    """Of the mean negative log-probability. Uses up the scores in ``kept``."""
+    windows, of_group, of_inner, x, h, group_scores, inner_scores, ends = kept
+    dg, dt = _errors(*group_scores, of_group), _errors(*inner_scores, of_inner)
     dh = dg @ w["gw"].T
     out = {"gw": h.T @ dg, "gb": dg.sum(axis=0), "tw": np.zeros_like(w["tw"]), "tb": np.zeros_like(w["tb"])}
     for g in range(GROUPS):
@@ -164,9 +207,9 @@ def gradients(w: Weights, kept) -> Weights:
             dh[part] += dt[part] @ w["tw"][g].T
     dz = dh * (1 - h * h)
     out["w"], out["b"] = x.T @ dz, dz.sum(axis=0)
-    dx = (dz @ w["w"].T).reshape(-1, EMBEDDED)
-    flat = windows.ravel()
-    out["e"] = np.stack([np.bincount(flat, dx[:, k], TOKENS + 1) for k in range(EMBEDDED)], axis=1).astype(np.float32)
+    dx = np.ascontiguousarray((dz @ w["w"].T).reshape(-1, EMBEDDED).T)
+    flat = windows.ravel().astype(np.intp)
+    out["e"] = np.stack([np.bincount(flat, d, TOKENS + 1) for d in dx], axis=1).astype(np.float32)
     return out
 
 
@@ -224,21 +267,29 @@ def score_texts(w: Weights, texts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[str | None]:
+    return (text.as_py() for batch in batches for text in batch.column("text"))
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over all documents; counted within tasks first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
-        for batch in batches:
-            for text in batch.column("text"):
-                counts.update(split(text.as_py()))
-            if len(counts) > KNOWN_WORDS:
-                yield table(counts)
-                counts = Counter()
-        yield table(counts)
-
-    def table(counts):
-        return pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+        parts: list[pa.Table] = []
+        for _, words in chunks(texts(batches)):
+            n = np.bincount(words.indices, minlength=len(words.dictionary))
+            parts.append(pa.table({"word": words.dictionary, "n": n}))
+            if sum(map(len, parts)) >= 2 * COUNTED_WORDS:
+                parts = [merged(parts)]
+            if len(parts[0]) >= COUNTED_WORDS:
+                yield from merged(parts).to_batches()
+                parts = []
+        if parts:
+            yield from merged(parts).to_batches()
+
+    def merged(parts: list[pa.Table]) -> pa.Table:
+        counted = pa.concat_tables(parts).group_by("word", use_threads=False).aggregate([("n", "sum")])
+        return pa.table({"word": counted["word"], "n": counted["n_sum"]})
 
     return docs.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -289,8 +340,7 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> Model:
 def _round(docs: DataFrame, words: list[str], weights: Weights) -> Weights:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer, vocabulary, n = Trainer(weights), Vocabulary(words), 0
-        texts = (vocabulary.tokens(t.as_py()) for batch in batches for t in batch.column("text"))
-        for stream, _, scored in streams(texts):
+        for stream, _, scored in streams(vocabulary.tokens(texts(batches))):
             n += trainer.step(stream, scored)
         if n:
             flat = pack(trainer.w).astype(np.float64)
@@ -308,7 +358,13 @@ def _round(docs: DataFrame, words: list[str], weights: Weights) -> Weights:
     return unpack(flat)
 
 
-ASKED = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
+def _asked(number: np.ndarray, words: pa.DictionaryArray, n: int) -> pa.ListArray:
+    """For each of ``n`` texts its different words, from the words and the number of the text that each lies in."""
+    size = max(len(words.dictionary), 1)
+    pairs, counts = np.unique(number * size + words.indices.to_numpy(), return_counts=True)
+    offsets = np.searchsorted(pairs, np.arange(n + 1) * size).astype(np.int32)
+    found = pa.StructArray.from_arrays([words.dictionary.take(pa.array(pairs % size)), pa.array(counts)], ["word", "n"])
+    return pa.ListArray.from_arrays(pa.array(offsets), found)
 
 
 def scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -323,25 +379,24 @@ def scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, row = Vocabulary(words, sent), TaskContext.get().partitionId() << 40
         for batch in batches:
-            tokens, shares, asked = [], [], []
-            for text in batch.column("text"):
-                own = split(text.as_py())
-                leaves = vocabulary.leaves(own)
-                unsent = np.isnan(leaves["share"])
-                tokens.append(leaves["token"].astype(np.int32))
-                shares.append(leaves["share"][~unsent].sum())
-                asked.append(list(Counter(own[i] for i in np.flatnonzero(unsent).tolist()).items()))
-            yield pa.record_batch(
-                [
-                    pa.array(np.arange(row, row + len(tokens), dtype=np.int64)),
-                    batch.column("doc_id"),
-                    pa.array([len(t) for t in tokens], pa.int64()),
-                    pa.array(score_texts(weights, tokens) + np.array(shares, float)),
-                    pa.array([[{"word": w, "n": n} for w, n in a] for a in asked], ASKED),
-                ],
-                names=["row", "doc_id", "n_tokens", "known", "asked"],
-            )
-            row += len(tokens)
+            ids, at = batch.column("doc_id"), 0
+            for ends, chunk in chunks(texts([batch])):
+                n, sizes = len(ends), np.diff(ends, prepend=0)
+                leaf, share = (of[chunk.indices] for of in vocabulary.leaves(chunk.dictionary))
+                number = np.repeat(np.arange(n), sizes)
+                unsent = np.isnan(share)
+                share[unsent] = 0.0
+                yield pa.record_batch(
+                    [
+                        pa.array(np.arange(row, row + n)),
+                        ids.slice(at, n),
+                        pa.array(sizes, pa.int64()),
+                        pa.array(score_texts(weights, np.split(leaf, ends[:-1])) + np.bincount(number, share, n)),
+                        _asked(number[unsent], chunk.take(pa.array(np.flatnonzero(unsent))), n),
+                    ],
+                    names=["row", "doc_id", "n_tokens", "known", "asked"],
+                )
+                row, at = row + n, at + n
 
     made = clean.mapInArrow(
         run, "row bigint, doc_id bigint, n_tokens bigint, known double, asked array<struct<word: string, n: bigint>>"

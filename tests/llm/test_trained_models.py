@@ -1,9 +1,12 @@
 """Compression classifier, masked language model and graph search."""
 
 import random
+import tracemalloc
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from panelweave.llm import graph_search, masked_lm, quality_classifier
@@ -129,6 +132,42 @@ def test_words_that_share_a_token_are_told_apart(rows, monkeypatch, sent):
     assert len(shares) == 2 and np.exp(shares).sum() == pytest.approx(1)
 
 
+def test_looking_up_words_keeps_none_of_them(monkeypatch):
+    monkeypatch.setattr(masked_lm, "CHUNK_WORDS", 1000)
+    own, texts = ["w0", "w7"], [" ".join(f"W{i}" for i in range(k, k + 500)) for k in range(0, 100_000, 500)] + [None, "w7 w0 x x"]
+    vocabulary = masked_lm.Vocabulary(own, {"x": -1.0})
+    tracemalloc.start()
+    seen = 0
+    for text, tokens in zip(texts, vocabulary.tokens(texts), strict=True):
+        words = (text or "").lower().split()
+        shared = [masked_lm.TOKENS - masked_lm.HASHED + zlib.crc32(w.encode()) % masked_lm.HASHED for w in words]
+        assert tokens.tolist() == [own.index(w) if w in own else t for w, t in zip(words, shared, strict=True)]
+        seen += len(tokens)
+    assert seen == 100_004 and tracemalloc.get_traced_memory()[1] < 2_000_000
+    tracemalloc.stop()
+
+
+def test_asked_words_of_every_text():
+    texts = ["b a b", "", "c", None, "a b"]
+    (ends, words), = masked_lm.chunks(texts)
+    number = np.repeat(np.arange(5), np.diff(ends, prepend=0))
+    got = masked_lm._asked(number, words, 5).to_pylist()
+    assert [{d["word"]: d["n"] for d in g} for g in got] == [dict(Counter((t or "").split())) for t in texts]
+    none = masked_lm._asked(number[:0], words.slice(0, 0), 2)
+    assert none.to_pylist() == [[], []] and none.type == pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
+
+
+def test_long_texts_in_several_chunks(rows):
+    """More words in a task than are looked up at once: every row keeps its id and its own words."""
+    texts = {5: "a b " * 150_000, 6: None, 7: "c D e " * 100_000, 8: "a c", None: "d", 9: "b " * 10}
+    docs = rows("doc_id long, text string", list(texts.items())).coalesce(1)
+    got = {r.doc_id: r for r in masked_lm.scores(docs).collect()}
+    assert {i: r.n_tokens for i, r in got.items()} == {i: len((t or "").split()) for i, t in texts.items()}
+    assert all((r.log_likelihood < 0) == (r.n_tokens > 0) for r in got.values())
+    counted = {r.word: r.n for r in masked_lm.word_counts(docs).collect()}
+    assert counted == {"a": 150_001, "b": 150_010, "c": 100_001, "d": 100_001, "e": 100_000}
+
+
 def brute_nearest(data, every, top):
     clean = {}
     for i, v in data:
