@@ -67,3 +67,8 @@ def test_ranges_are_not_a_task_for_every_few_rows():
     assert ranks.range_count(5_000_000, 25, 8) == ranks.SMALL_RANGES
     assert ranks.range_count(1000, 25, 8) == 40 and ranks.range_count(10, 25, 8) == 8
     assert ranks.range_count(10**10, 25, 8) == 10**10 // ranks.TASK_ROWS
+
+
+def test_a_row_meets_few_bounds_of_small_ranges():
+    """Spark compares a row with one bound after the other where there are up to 128 ranges."""
+    assert max(ranks.range_count(n, 25, 8) for n in (10_000, 4_583_717, 36_000_000)) <= 48
