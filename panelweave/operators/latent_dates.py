@@ -84,8 +84,10 @@ def models_by_date(rows: DataFrame, features: list[str], k: int, least: int = 25
 
 
 def transformed(rows: DataFrame, models: DataFrame, features: list[str], key: str = "ticker", date: str = "date", by: str = "date") -> DataFrame:
-    """``rows`` (key, date and features) with z and reconstruction_error under the model of the date in column ``by``; rows whose
-    date has no model do not appear. A task gets the model of a date ahead of the rows of a part of it."""
+    """``rows`` (key, date and features) with z and reconstruction_error under the model of the date in column ``by``, or under those
+    of all dates where ``by`` is an array; a date that has no model gives no row. A row is sent once, however many models it meets."""
+    if dict(rows.dtypes)[by].startswith("array"):
+        return _transformed_by_all(rows, models, features, key, date, by)
     most = rows.groupBy(by).count().agg(F.max("count")).first()[0] or 1
     parts = -(-most // PART_ROWS)
     kinds, p = dict(rows.dtypes), len(features)
@@ -125,6 +127,63 @@ def transformed(rows: DataFrame, models: DataFrame, features: list[str], key: st
     return met.mapInArrow(run, schema)
 
 
+def _transformed_by_all(rows: DataFrame, models: DataFrame, features: list[str], key: str, date: str, by: str) -> DataFrame:
+    """A task gets every model, one for each date of a calendar, ahead of a part of the rows."""
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // PART_ROWS))
+    kinds, p = dict(rows.dtypes), len(features)
+    arrays = ("mean", "scale", "loadings")
+    sent = models.select(
+        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"), F.lit(0).alias("_kind"), F.array(date).alias("_by"), *arrays
+    )
+    held = rows.select(
+        F.pmod(F.xxhash64(key, date), F.lit(parts)).cast("int").alias("_part"), F.lit(1).alias("_kind"), F.col(by).alias("_by"),
+        F.col(key).alias("_key"), F.col(date).alias("_date"), F.array(*[F.coalesce(finite(c), F.lit(0.0)) for c in features]).alias("_x"),
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
+        part = None
+        for batch in batches:
+            at = batch.column("_part").to_numpy()
+            kind = batch.column("_kind").to_numpy()
+            change = np.flatnonzero((at[1:] != at[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for lo, hi in zip([0, *change], [*change, batch.num_rows], strict=True):
+                if lo == hi:
+                    continue
+                if at[lo] != part:
+                    part, known = at[lo], {}
+                own = batch.slice(lo, hi - lo)
+                lists = own.column("_by")
+                if kind[lo] == 0:
+                    for r, day in enumerate(lists.flatten().to_pylist()):
+                        mean, scale, loadings = (np.frombuffer(own.column(c)[r].as_buffer()) for c in arrays)
+                        known[day] = mean, scale, loadings.reshape(p, -1)
+                    continue
+                x = own.column("_x").flatten().to_numpy().reshape(-1, p)
+                row = np.repeat(np.arange(len(own)), lists.value_lengths().fill_null(0).to_numpy())
+                asked = lists.flatten().dictionary_encode()
+                code = asked.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                order = np.argsort(code, kind="stable")
+                edges = np.searchsorted(code[order], np.arange(len(asked.dictionary) + 1))
+                for c, day in enumerate(asked.dictionary.to_pylist()):
+                    if day not in known:
+                        continue
+                    mean, scale, loadings = known[day]
+                    of = row[order[edges[c] : edges[c + 1]]]
+                    s = (x[of] - mean) / scale
+                    z = s @ loadings
+                    error = np.maximum((s * s).sum(axis=1) - (z * z).sum(axis=1), 0.0) / p
+                    sizes = np.arange(0, z.size + 1, z.shape[1], dtype=np.int32)
+                    taken = own.select(["_key", "_date"]).take(pa.array(of))
+                    made = [*taken.columns, pa.repeat(asked.dictionary[c], len(of)), pa.ListArray.from_arrays(sizes, z.ravel()), pa.array(error)]
+                    yield pa.record_batch(made, names=[key, date, "model_date", "z", "reconstruction_error"])
+
+    met = sent.unionByName(held, allowMissingColumns=True).repartitionById(parts, "_part").sortWithinPartitions("_part", "_kind")
+    model_date = dict(models.dtypes)[date]
+    schema = f"{key} {kinds[key]}, {date} {kinds[date]}, model_date {model_date}, z array<double>, reconstruction_error double"
+    return met.mapInArrow(run, schema)
+
+
 def latents_by_date(rows: DataFrame, features: list[str], k: int = 16, least: int = 250) -> DataFrame:
     """(ticker, date, model_date, z, reconstruction_error) of every row that has a model of its date."""
     return transformed(rows, stage(models_by_date(rows, features, k, least), "date-models"), features)

@@ -1,9 +1,13 @@
 """Latents of every date against numpy on the rows before it."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from panelweave.catalog import modeling
 from panelweave.operators import latent_dates as L
+from paths import SMALL
 
 NAMES = ["a", "b", "c", "d"]
 
@@ -64,3 +68,39 @@ def test_components_that_do_not_vary_are_judged(spark):
     df = spark.createDataFrame(flat + mixed + rising, "model_date int, z array<double>")
     got = {r.model_date: (r.uncorrelated, r.falling) for r in L.judged(df, 4).collect()}
     assert got[1] == (True, True) and not got[2][0] and got[3] == (True, False)
+
+
+def test_rows_meet_the_models_of_many_dates_as_of_each(made, monkeypatch):
+    monkeypatch.setattr(L, "PART_ROWS", 40)
+    df, _ = made
+    models = L.models_by_date(df, NAMES, 2, least=60).cache()
+    asked = df.filter("date < 9").withColumn("of", F.array(F.col("date"), F.lit(5), F.lit(8), F.lit(77)))
+    one = L.transformed(asked.withColumn("of", F.explode("of")), models, NAMES, by="of").collect()
+    all_at_once = L.transformed(asked.repartition(5), models, NAMES, by="of").collect()
+    key = lambda r: (r.ticker, r.date, r.model_date)
+    assert len(one) == len(all_at_once) > 500 and {r.model_date for r in one} == {3, 4, 5, 6, 7, 8}
+    for a, b in zip(sorted(one, key=key), sorted(all_at_once, key=key), strict=True):
+        assert key(a) == key(b) and a.z == pytest.approx(b.z, abs=1e-12) and a.reconstruction_error == pytest.approx(b.reconstruction_error, abs=1e-12)
+
+
+def test_every_date_of_the_check_is_judged(spark, monkeypatch):
+    """A model that is turned at one date, which is none of the tenth ones, is found there."""
+    right = L.models_by_date
+
+    def turned(*args, **kw):
+        models = right(*args, **kw)
+        day = sorted(r.date for r in models.select("date").collect())[13]
+
+        def turn(group):
+            out = group.to_pylist()
+            for r in out:
+                v = np.frombuffer(r["loadings"]).reshape(-1, 8).copy()
+                v[:, 0] += v[:, 1]
+                r["loadings"] = v.tobytes() if r["date"] == day else r["loadings"]
+            return pa.Table.from_pylist(out, schema=group.schema)
+
+        return models.groupBy("date").applyInArrow(turn, models.schema)
+
+    monkeypatch.setattr(L, "models_by_date", turned)
+    rows = sorted(modeling.latents_by_date_check(spark, SMALL).collect(), key=lambda r: r.date)
+    assert [i for i, r in enumerate(rows) if not r.uncorrelated] == [13]
