@@ -72,3 +72,18 @@ def test_ranges_are_not_a_task_for_every_few_rows():
 def test_a_row_meets_few_bounds_of_small_ranges():
     """Spark compares a row with one bound after the other where there are up to 128 ranges."""
     assert max(ranks.range_count(n, 25, 8) for n in (10_000, 4_583_717, 36_000_000)) <= 48
+
+
+def test_a_group_is_sent_no_later_history_than_it_asks(spark):
+    asking = spark.createDataFrame([(0, 3, [0, 1]), (0, 5, [0]), (1, 2, [1])], "grp int, day bigint, visits array<int>")
+    history = spark.createDataFrame([(10 * c + d, d, c) for c in range(3) for d in range(8)], "id bigint, day bigint, cell int")
+    sent = sorted((r.grp, r.cell, r.day) for r in S.asked_history(asking, history).collect())
+    assert sent == [(0, 0, d) for d in range(5)] + [(0, 1, d) for d in range(3)] + [(1, 1, d) for d in range(2)]
+
+
+def test_near_rows_are_put_in_order_as_by_three_keys():
+    rng = np.random.default_rng(8)
+    for scale in (1.0, 1e3, 1e9):  # the last is too wide for one number
+        owner, ids = rng.integers(0, 20, 500), rng.integers(0, 99, 500)
+        distance = np.round(rng.integers(0, 9, 500) * scale / 7, S.DIGITS)
+        assert (S._nearest_first(owner, distance, ids) == np.lexsort((ids, distance, owner))).all()
